@@ -7,14 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, mixing, warc
-from .common import table
+from . import jpeg, mixing, quality, simhash, warc
+from .common import fold_of, table
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.features(jpeg.store(table(spark, sf_dir, "documents")))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = simhash.groups(table(spark, sf_dir, "documents"))
+    return g.select(F.col("id").alias("doc_id"), simhash.hex_digits().alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = mixing.plan(table(spark, sf_dir, "documents"))
     return p.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -24,8 +29,17 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = quality.fit(docs, table(spark, sf_dir, "labels"))
+    p = quality.probabilities(docs, net)
+    return p.select(F.col("id").alias("doc_id"), (fold_of("id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media": op3_media,
+    "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
     "op7_warc": op7_warc,
+    "op8_quality": op8_quality,
 }
