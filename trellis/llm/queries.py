@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, mixing, quality, simhash, warc
+from . import jpeg, mixing, quality, simhash, vectors, warc
 from .common import fold_of, table
 
 
+def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return g.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.features(jpeg.store(table(spark, sf_dir, "documents")))
 
@@ -37,6 +42,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_vectors": op2_vectors,
     "op3_media": op3_media,
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
