@@ -51,4 +51,24 @@ SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id)::BIGINT AS
 FROM embeddings e JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = e.vec_id
 """
 
-ORACLES: dict[str, str] = {"op2_vectors": VECTORS, "op6_mixing": MIXING, "op7_warc": WARC}
+LINES = r"""
+WITH l AS (
+  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
+s AS MATERIALIZED (SELECT doc_id, pos, line, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS ws FROM l),
+c AS MATERIALIZED (SELECT ws, len(ws) AS n, min((doc_id, pos)) AS first FROM s WHERE len(ws) > 0 GROUP BY ws),
+df AS (SELECT w, count(*) AS df FROM (SELECT unnest(ws) AS w FROM c) GROUP BY w),
+o AS (SELECT c.first, x.w, row_number() OVER (PARTITION BY c.first ORDER BY df.df, x.w) AS i, c.n
+      FROM c, (SELECT first AS f, unnest(ws) AS w FROM c) x, df WHERE c.first = x.f AND x.w = df.w),
+p AS MATERIALIZED (SELECT first, w, n FROM o WHERE i <= n - (4 * n + 4) // 5 + 1),
+pairs AS (SELECT DISTINCT a.first AS f, b.first AS e FROM p a JOIN p b ON a.w = b.w AND b.first < a.first AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n),
+gone AS (
+  SELECT DISTINCT f FROM pairs JOIN c a ON a.first = f JOIN c b ON b.first = e
+  WHERE 5 * len(list_intersect(a.ws, b.ws)) >= 4 * (a.n + b.n - len(list_intersect(a.ws, b.ws)))),
+fate AS (
+  SELECT s.doc_id, s.pos, s.line, len(s.ws) = 0 OR ((s.doc_id, s.pos) = c.first AND c.first NOT IN (SELECT f FROM gone)) AS keep
+  FROM s LEFT JOIN c ON s.ws = c.ws)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (keep), '') AS text, count(*) FILTER (NOT keep)::BIGINT AS n_removed
+FROM fate GROUP BY doc_id
+"""
+
+ORACLES: dict[str, str] = {"op2_vectors": VECTORS, "op4_lines": LINES, "op6_mixing": MIXING, "op7_warc": WARC}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, mixing, quality, simhash, vectors, warc
+from . import jpeg, lines, mixing, quality, simhash, vectors, warc
 from .common import fold_of, table
 
 
@@ -20,6 +20,11 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.features(jpeg.store(table(spark, sf_dir, "documents")))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup(docs, count_col="n_removed").select("doc_id", "text", "n_removed")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = simhash.groups(table(spark, sf_dir, "documents"))
     return g.select(F.col("id").alias("doc_id"), simhash.hex_digits().alias("fingerprint"), F.col("component").alias("component_id"))
@@ -44,6 +49,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_vectors": op2_vectors,
     "op3_media": op3_media,
+    "op4_lines": op4_lines,
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
     "op7_warc": op7_warc,
