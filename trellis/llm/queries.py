@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, lines, mixing, quality, simhash, vectors, warc
+from . import hpyp, jpeg, lines, mixing, quality, simhash, vectors, warc
 from .common import fold_of, table
 
 
+def op1_hpyp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpyp.score(table(spark, sf_dir, "documents"))
+
+
 def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
     return g.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
@@ -47,6 +51,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hpyp": op1_hpyp,
     "op2_vectors": op2_vectors,
     "op3_media": op3_media,
     "op4_lines": op4_lines,
