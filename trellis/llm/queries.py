@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hpyp, jpeg, lines, mixing, quality, simhash, vectors, warc
+from . import hpyp, jpeg, lines, mixing, pieces, quality, simhash, vectors, warc
 from .common import fold_of, table
 
 
@@ -50,6 +50,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("id").alias("doc_id"), (fold_of("id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hpyp": op1_hpyp,
     "op2_vectors": op2_vectors,
@@ -59,4 +63,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_warc": op7_warc,
     "op8_quality": op8_quality,
+    "op9_pieces": op9_pieces,
 }
