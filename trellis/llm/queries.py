@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hpyp, jpeg, lines, mixing, pieces, quality, simhash, vectors, warc
+from . import hpyp, jpeg, language, lines, mixing, pieces, quality, simhash, vectors, warc
 from .common import fold_of, table
 
 
@@ -54,6 +54,10 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "pages"), language.fit(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hpyp": op1_hpyp,
     "op2_vectors": op2_vectors,
@@ -64,4 +68,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc": op7_warc,
     "op8_quality": op8_quality,
     "op9_pieces": op9_pieces,
+    "op10_language": op10_language,
 }
