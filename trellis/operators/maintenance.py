@@ -11,11 +11,11 @@ from ..schemas import KEYS
 
 def upsert(table: DataFrame, rows: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
     """table with rows put in; of rows with equal keys the last by order wins, and keeps the id of the row it replaces."""
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(order)).alias("r")).select("r.*")
     if "id" in table.columns and "id" not in keys:
         held = table.groupBy(*keys).agg(F.min("id").alias("__held"))
         last = last.join(held, list(keys), "left").withColumn("id", F.coalesce("__held", "id")).drop("__held")
-    return table.join(last, list(keys), "left_anti").unionByName(last.select(*table.columns))
+    return table.join(last, list(keys), "left_anti").select(*table.columns).unionByName(last.select(*table.columns))
 
 
 def insert_ignore(table: DataFrame, rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
