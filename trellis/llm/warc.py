@@ -79,7 +79,7 @@ class _Files:
             self.close()
             self.name = f"part-{self.shard:06d}-{len(self.done):05d}.warc.gz"
             self.tmp = f"{self.dir}/_tmp-{self.tag}-{self.name}"
-            self.out, self.size, self.n, self.sha = self.fs.open_output_stream(self.tmp), 0, 0, hashlib.sha256()
+            self.out, self.size, self.n, self.sha = self.fs.open_output_stream(self.tmp, compression=None), 0, 0, hashlib.sha256()
             info = b"software: trellis\r\nformat: WARC File Format 1.1\r\n"
             self._put(member(_head([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(None, self.name, None)), ("WARC-Date", DATE), ("WARC-Filename", self.name), ("Content-Type", "application/warc-fields"), ("Content-Length", len(info))]) + info + b"\r\n\r\n"))
         self._put(data)
@@ -202,7 +202,7 @@ def _reader(root: str):
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(root)
-        with store.open_input_stream(f"{base}/{name}") as f:
+        with store.open_input_stream(f"{base}/{name}", compression=None) as f:
             for h, block in records(iter(lambda: f.read(1 << 20), b"")):
                 if h["WARC-Type"] == "warcinfo":
                     continue
