@@ -45,12 +45,24 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Shuffle files go once the execution that wrote them ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
-    """A table written once and read again: it survives lost executors and cuts lineage."""
+    """A table written once and read again: it survives lost executors and cuts lineage.
+
+    The shuffle files of its making are removed when it is written, as nothing reads them again.
+    """
 
     def __init__(self, df: DataFrame, label: str):
         self.spark, self.path = df.sparkSession, scratch_path(df.sparkSession, label)
-        df.write.option("compression", "zstd").parquet(self.path)
+        before = self.spark.conf.get(CLEAN_UP, "false")
+        self.spark.conf.set(CLEAN_UP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(self.path)
+        finally:
+            self.spark.conf.set(CLEAN_UP, before)
         self.schema = df.schema
 
     def read(self) -> DataFrame:

@@ -3,13 +3,13 @@
 A line is the set of its words. Lines with equal sets are one class, whose first line
 stays. Classes are joined on the rarest words of their sets: in order of rarity, two sets
 whose Jaccard similarity reaches the threshold share a word of their prefixes. Length and
-position in the prefix bound the overlap from above, and so do 64 parities of the words
+position in the prefix bound the overlap from above, and so do parities of the words
 (every difference of parity is a word that only one set has). What passes is verified on
 the whole sets, and a class goes if an earlier one is similar.
 
 Both joins are semi joins: they end at the first partner, so a group of near copies costs
 no pairs. An earlier line counts even if it goes itself, so the result doesn't depend on
-the order of work. Words compare by their XXH64.
+the order of work. Words compare by 55 bits of their XXH64.
 
 Defined cases: blank lines stay; a null text stays null; a text may become empty. Lines
 are in order of (id, null last, then a hash of the text, then place); rows that repeat in
@@ -19,24 +19,25 @@ id and text count as one and lose the same lines.
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-SPACE = r"[\x20\x09-\x0D]+"
+OTHER_SPACE = "\t\x0b\x0c\r"
 BUCKETS = 1 << 16
 THRESHOLD = Fraction(4, 5)
+#: The joins run in as many slices of the words, one after the other: only one slice's shuffle is on disk.
+SLICES = 4
+PARITIES = ["parity0", "parity1", "parity2", "parity3"]
 
 
-def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, SPACE), lambda w: w != "")
-
-
-def set_of(line: Column) -> Column:
-    """Distinct words of a line, as sorted XXH64."""
-    return F.sort_array(F.array_distinct(F.transform(words_of(line), lambda w: F.xxhash64(w))))
+def even_spaces(text: Column) -> Column:
+    """text with other white space than line ends as spaces; the search for it is cheaper than a pattern."""
+    odd = reduce(lambda a, b: a | b, [text.contains(c) for c in OTHER_SPACE])
+    return F.when(odd, F.translate(text, OTHER_SPACE, " " * len(OTHER_SPACE))).otherwise(text)
 
 
 def bucket_levels(lines: DataFrame) -> list[int]:
@@ -44,7 +45,7 @@ def bucket_levels(lines: DataFrame) -> list[int]:
 
     It counts every word of every line; what comes to the driver has BUCKETS rows at most.
     """
-    words = lines.select(F.explode(F.split("line", SPACE)).alias("w"))
+    words = lines.select(F.explode(F.split("line", " ")).alias("w"))
     counts = words.select(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).groupBy("b").count()
     levels = [0] * BUCKETS
     for r in counts.select("b", F.floor(F.log2("count") * 6).cast("int").alias("level")).collect():
@@ -52,11 +53,32 @@ def bucket_levels(lines: DataFrame) -> list[int]:
     return levels
 
 
-def by_rarity(hashes: Column, levels: list[int]) -> Column:
-    """The words of a set as longs whose natural order is by rarity: a level, then 55 bits of the hash."""
-    table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<int>")
-    level = lambda h: F.element_at(table, (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int")).cast("long")
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(level(h), 55).bitwiseOR(h.bitwiseAND(F.lit((1 << 55) - 1)))))
+def set_of(line: Column, levels: list[int]) -> Column:
+    """Distinct words of a line as sorted longs, the rarest first: a level of frequency, then 55 bits of the hash."""
+    table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
+    level = lambda h: F.element_at(table, (h.bitwiseAND(F.lit(BUCKETS - 1)) + 1).cast("int"))
+    words = F.array_remove(F.split(line, " "), "")
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.shiftleft(level(F.xxhash64(w)), 55).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << 55) - 1))))))
+
+
+def _parity(mask: int = 0, part: int = 0) -> Column:
+    """Bit b: whether b stands in six bits of the hashes of an odd number of words; only of those with part in the bits of mask."""
+    bit = "shiftleft(1L, int(shiftright(h, 49)))"  # a shift takes the last six bits of its distance
+    return F.expr(f"aggregate(words, 0L, (s, h) -> s ^ {f'if((shiftright(h, 43) & {mask}) = {part}, {bit}, 0L)' if mask else bit})")
+
+
+def measured(sets: DataFrame, t: Fraction) -> DataFrame:
+    """sets (words) with n, their prefixes for t, and parities: 64 of them, 128 above 64 words, 256 above 200."""
+    n = F.size("words")
+    kept = (n - F.ceil(n * t.numerator / t.denominator) + 1).cast("int")
+    none = F.lit(0).cast("long")
+    parities = [
+        F.when(n > 200, _parity(3, 0)).when(n > 64, _parity(1, 0)).otherwise(_parity()),
+        F.when(n > 200, _parity(3, 1)).when(n > 64, _parity(1, 1)).otherwise(none),
+        F.when(n > 200, _parity(3, 2)).otherwise(none),
+        F.when(n > 200, _parity(3, 3)).otherwise(none),
+    ]
+    return sets.select("*", n.alias("n"), F.slice("words", F.lit(1), kept).alias("prefix"), *[c.alias(p) for c, p in zip(parities, PARITIES, strict=True)])
 
 
 def _need(na: Column, nb: Column, t: Fraction) -> Column:
@@ -70,17 +92,30 @@ def _fits(a: str, b: str, t: Fraction) -> Column:
     c = lambda side, name: F.col(f"{side}.{name}")
     na, nb = c(a, "n"), c(b, "n")
     need = _need(na, nb, t)
+    apart = na + nb - need * 2  # words that only one of them may have
+    xor = lambda *ps: reduce(Column.bitwiseXOR, (c(side, p) for side in (a, b) for p in ps))
+    bits = lambda *groups: sum((F.bit_count(xor(*g)) for g in groups), F.lit(0))
+    p0, p1, p2, p3 = PARITIES
+    less = F.least(na, nb)
     return (
         (na * t.denominator >= nb * t.numerator)
         & (nb * t.denominator >= na * t.numerator)
         & (F.least(na - c(a, "i"), nb - c(b, "i")) >= need)
-        & (F.bit_count(c(a, "parity").bitwiseXOR(c(b, "parity"))) <= na + nb - need * 2)
+        & (bits(PARITIES) <= apart)
+        & ((less <= 64) | (bits((p0, p2), (p1, p3)) <= apart))
+        & ((less <= 200) | (bits((p0,), (p1,), (p2,), (p3,)) <= apart))
     )
 
 
-def _postings(classes: DataFrame, t: Fraction) -> DataFrame:
-    """One row a word of each prefix; sets too small for a partner but themselves have none."""
-    return classes.filter(F.col("n") > F.lit(t.numerator / (t.denominator - t.numerator)) - 1).select("*", F.posexplode("prefix").alias("i", "word")).drop("prefix")
+def _postings(classes: DataFrame, t: Fraction, part: int) -> DataFrame:
+    """One row a word of each prefix, of one slice; sets too small for a partner but themselves have none."""
+    rows = classes.filter(F.col("n") > F.lit(t.numerator / (t.denominator - t.numerator)) - 1).select("*", F.posexplode("prefix").alias("i", "word")).drop("prefix")
+    return rows.filter(F.col("word").bitwiseAND(F.lit(SLICES - 1)) == part)
+
+
+def _sliced(find, label: str) -> DataFrame:
+    """Distinct rows of find(slice) over all slices, each written before the next is worked on."""
+    return reduce(DataFrame.unionByName, [Scratch(find(k).distinct(), label).read() for k in range(SLICES)]).distinct()
 
 
 def removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: Fraction = THRESHOLD, broadcast_bytes: int = 4 << 20) -> DataFrame:
@@ -88,21 +123,26 @@ def removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     t = Fraction(threshold)
     handle = [F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash")]
     rows = docs.filter(F.col(text_col).isNotNull())
-    lines = rows.select(*handle, F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
+    lines = rows.select(*handle, F.posexplode(F.split(even_spaces(F.col(text_col)), "\n")).alias("pos", "line"))
     levels = bucket_levels(lines)
-    sets = lines.select("id", "text_hash", "pos", set_of(F.col("line")).alias("hashes")).filter(F.size("hashes") > 0)
-    key = [F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(1), "hashes").alias("k2")]
+    sets = lines.select("id", "text_hash", "pos", set_of(F.col("line"), levels).alias("words")).filter(F.size("words") > 0)
+    key = [F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2")]
+    wide = Scratch(measured(sets, t).select("id", "text_hash", "pos", *key, "n", "prefix", *PARITIES), "lines-sets")
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("text_hash"), F.col("pos"))
-    n = F.size("hashes")
-    kept = (n - F.ceil(n * t.numerator / t.denominator) + 1).cast("int")
-    parity = F.expr("aggregate(hashes, 0L, (s, h) -> s ^ shiftleft(1L, int(shiftrightunsigned(h, 58))))")
-    prefix = F.slice(by_rarity(F.col("hashes"), levels), F.lit(1), kept)
-    seen = sets.select(*key, F.struct(order.alias("first"), n.alias("n"), parity.alias("parity"), prefix.alias("prefix")).alias("v"))
-    classes = Scratch(seen.groupBy("k1", "k2").agg(F.min("v").alias("v"), F.count("*").alias("rows")).select("k1", "k2", "rows", "v.*"), "lines-classes").read()
+    # equal sets have equal values but for their places
+    first = F.min(F.struct(order.alias("first"), "n", "prefix", *PARITIES)).alias("v")
+    grouped = Scratch(wide.read().groupBy("k1", "k2").agg(first, F.count("*").alias("rows")).select("k1", "k2", "rows", "v.*"), "lines-classes")
+    every = Scratch(wide.read().select("id", "text_hash", "pos", "k1", "k2"), "lines-keys").read()
+    wide.drop()
+    candidates = grouped.read().select("k1", "n", "prefix", *PARITIES)
 
-    posted = _postings(classes.select("k1", "n", "parity", "prefix"), t)
-    hit = posted.alias("a").join(posted.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("a.k1") != F.col("b.k1")) & _fits("a", "b", t), "left_semi")
-    maybe = Scratch(hit.select("k1").distinct(), "lines-maybe").read()
+    def partnered(part: int) -> DataFrame:
+        p = _postings(candidates, t, part)
+        return p.alias("a").join(p.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("a.k1") != F.col("b.k1")) & _fits("a", "b", t), "left_semi").select("k1")
+
+    maybe = Scratch(_sliced(partnered, "lines-maybe"), "lines-maybe").read()
+    classes = Scratch(grouped.read().select("k1", "k2", "rows", "first"), "lines-first").read()
+    grouped.drop()
 
     # whole sets of the first lines of classes that may have a partner
     wanted = classes.join(maybe, "k1", "left_semi").select("k1", "k2", "first", F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash"), F.col("first.pos").alias("pos"))
@@ -110,16 +150,20 @@ def removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     places = wanted.groupBy(F.col("id").alias("w_id"), F.col("text_hash").alias("w_hash")).agg(F.collect_list(F.struct("pos", "k1", "k2", "first")).alias("places"))
     if wanted.count() * 64 <= broadcast_bytes:
         places = F.broadcast(places)
-    texts = rows.select(*handle, F.col(text_col).alias("text")).join(places, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")))
-    at = texts.withColumn("lines", F.split("text", "\n")).select("lines", F.explode("places").alias("p")).select("p.k1", "p.k2", "p.first", set_of(F.element_at("lines", F.col("p.pos") + 1)).alias("hashes"))
-    whole = Scratch(at.groupBy("k1", "k2").agg(F.min("first").alias("first"), F.min("hashes").alias("hashes")), "lines-whole").read()
-    later = _postings(whole.select("k1", "k2", "first", "hashes", n.alias("n"), parity.alias("parity"), prefix.alias("prefix")), t)
-    similar = F.size(F.array_intersect("a.hashes", "b.hashes")) >= _need(F.col("a.n"), F.col("b.n"), t)
-    gone = later.alias("a").join(later.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("b.first") < F.col("a.first")) & _fits("a", "b", t) & similar, "left_semi")
-    gone = Scratch(gone.select("k1", "k2").distinct().withColumn("gone", F.lit(True)), "lines-gone").read()
+    texts = rows.select(*handle, even_spaces(F.col(text_col)).alias("text")).join(places, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")))
+    at = texts.withColumn("lines", F.split("text", "\n")).select("lines", F.explode("places").alias("p")).select("p.k1", "p.k2", "p.first", set_of(F.element_at("lines", F.col("p.pos") + 1), levels).alias("words"))
+    whole = Scratch(at.groupBy("k1", "k2").agg(F.min("first").alias("first"), F.min("words").alias("words")), "lines-whole").read()
+    full = measured(whole, t)
+    similar = F.size(F.array_intersect("a.words", "b.words")) >= _need(F.col("a.n"), F.col("b.n"), t)
+
+    def beaten(part: int) -> DataFrame:
+        p = _postings(full, t, part)
+        return p.alias("a").join(p.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("b.first") < F.col("a.first")) & _fits("a", "b", t) & similar, "left_semi").select("k1", "k2")
+
+    gone = Scratch(_sliced(beaten, "lines-gone").withColumn("gone", F.lit(True)), "lines-gone").read()
 
     fate = classes.join(gone, ["k1", "k2"], "left").filter("gone or rows > 1").select("k1", "k2", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
-    judged = sets.select("id", "text_hash", "pos", *key).join(fate, ["k1", "k2"]).filter(F.col("gone") | (order != F.col("first")))
+    judged = every.select("id", "text_hash", "pos", "k1", "k2").join(fate, ["k1", "k2"]).filter(F.col("gone") | (order != F.col("first")))
     return judged.select("id", "text_hash", "pos").distinct().groupBy("id", "text_hash").agg(F.sort_array(F.collect_list("pos")).alias("lost"))
 
 
