@@ -1,18 +1,15 @@
 """SentencePiece encoding and decoding by a relational lattice (operator 9).
 
-Texts are cut into units that no piece crosses (a run of spaces with what follows, a line
-end alone). The distinct units of the corpus become rows; their substrings up to the
-longest piece are exploded and joined to the piece table, the edges are grouped by unit,
-and a Viterbi fold with the aggregate function finds the path of the largest sum of
-scores. Characters without a piece fall back to byte pieces at a score below all others.
-Chunks of documents then ask each part of the unit table once for each of their distinct
-units.
-
-The path is the best one by the model's scores. A model whose type is BPE merges in an
-order of its own, so its library may cut some words elsewhere; both decode to the text.
-
-Defined cases: a null text has null ids; an empty one has none. Of equally good paths the
-one wins whose last piece is longest, and so on backwards. U+2581 in a text decodes to a
+Texts are cut into units that no piece crosses: before a run of spaces, around a line end,
+and between characters that stand side by side in no piece. The distinct units of the corpus become rows;
+their substrings up to the longest piece are exploded and joined to the piece table, the
+edges are grouped by unit, and a fold with the aggregate function picks the pieces: for a
+unigram model Viterbi, the path of the largest sum of scores; for a BPE model the merges
+that define its ids, over the same edges, as the best sum is another path for about half
+of the distinct units. Characters without a piece fall back to byte pieces. Chunks of
+documents then ask each part of the unit table once for each of their distinct units.
+
+Defined cases: a null text has null ids; an empty one has none. U+2581 in a text decodes to a
 space, as in the format itself; `intact` tells. A unit of more than UNIT characters is cut every UNIT
 characters.
 """
@@ -35,7 +32,7 @@ from .common import Scratch
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-UNIT, CHUNK_UNITS, PART_BYTES = 1024, 1_500_000, 24 << 20
+UNIT, CHUNK_WORDS, PART_BYTES = 128, 750_000, 24 << 20
 SEED = 42  # of Spark's xxhash64
 
 
@@ -46,7 +43,7 @@ class Pieces:
     texts: dict[str, tuple[int, float]]
     bytes_at: list[int]
     decoded: list[bytes]  # by id; empty for control pieces
-    unknown: int
+    merges: bool  # of the BPE type: ids come from merges in order of score, not from the best sum
 
     @property
     def longest(self) -> int:
@@ -78,27 +75,64 @@ def load(path: str = MODEL) -> Pieces:
             decoded.append(piece.replace(SPACE, " ").encode())
     if any(SPACE in t.lstrip(SPACE) for t in texts):
         raise ValueError("a piece goes on after a space; units can't be cut at spaces")
-    return Pieces(texts, bytes_at, decoded, m.unk_id())
-
-
-def cutter(pieces: Pieces):
-    """Function: text -> its units."""
-    stop = re.escape(pieces.breaks())
-    find = re.compile(f"{SPACE}*[^{SPACE}{stop}]+|{SPACE}+|[{stop}]" if stop else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-
-    def cut(text: str) -> list[str]:
+    from sentencepiece import sentencepiece_model_pb2
+
+    spec = sentencepiece_model_pb2.ModelProto()
+    spec.ParseFromString(m.serialized_model_proto())
+    return Pieces(texts, bytes_at, decoded, spec.trainer_spec.model_type == spec.trainer_spec.BPE)
+
+
+class Cutter:
+    """Cuts texts into words and words into units. No piece holds two characters between which a cut is, so no path crosses one."""
+
+    def __init__(self, pieces: Pieces):
+        stop = re.escape(pieces.breaks())
+        self.find = re.compile(f"{SPACE}*[^{SPACE}{stop}]+|{SPACE}+|[{stop}]" if stop else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        self.plain = "\n" in stop
+        chars = sorted({c for t in pieces.texts for c in t})
+        #: A small number for each character of a piece, 0 for the rest; and which pairs of them are in a piece.
+        self.number = np.zeros(0x110000, np.uint16)
+        self.number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.pair = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        for t in pieces.texts:
+            n = self.number[[ord(c) for c in t]]
+            self.pair[n[:-1], n[1:]] = True
+
+    def words(self, text: str) -> list[str]:
+        """Words of a text; empty ones count for nothing."""
         if not text:
             return []
-        units = find(SPACE + text.replace(" ", SPACE))
-        if len(text) > UNIT and max(map(len, units)) > UNIT:
-            units = [u[k : k + UNIT] for u in units for k in range(0, len(u), UNIT)]
-        return units
-
-    return cut
+        if "  " in text or SPACE in text or not self.plain:
+            return self.find(SPACE + text.replace(" ", SPACE))
+        return (SPACE + text.replace(" ", " " + SPACE).replace("\n", " \n ")).split(" ")  # the same words by plain splits
+
+    def units(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """Units of all words, and how many each word has."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = self.number[flat]
+        cut = np.ones(len(flat) + 1, bool)
+        cut[1:-1] = ~self.pair[n[:-1], n[1:]]
+        starts = np.cumsum(lengths) - lengths
+        cut[starts[lengths > 0]] = True
+        edges = np.flatnonzero(cut)
+        if len(edges) > 1 and np.diff(edges).max() > UNIT:
+            edges = np.concatenate([np.arange(x, y, UNIT) for x, y in zip(edges.tolist(), edges[1:].tolist(), strict=False)] + [edges[-1:]])
+        counts = np.searchsorted(edges, starts + lengths) - np.searchsorted(edges, starts)
+        whole = "".join(words)
+        e = edges.tolist()
+        return [whole[x:y] for x, y in zip(e, e[1:], strict=False)], counts
+
+    def __call__(self, text: str) -> list[str]:
+        return self.units(self.words(text))[0] if text else []
+
+
+def cutter(pieces: Pieces) -> Cutter:
+    return Cutter(pieces)
 
 
 def best_path(unit: str, pieces: Pieces) -> list[int]:
-    """Viterbi in plain Python, for tests."""
+    """Viterbi in plain Python, for tests; of equally good paths the one with the longest last piece wins."""
     best = [(0.0, 0, [])] + [None] * len(unit)
     for e in range(1, len(unit) + 1):
         for s in range(max(0, e - pieces.longest), e):
@@ -116,74 +150,126 @@ def best_path(unit: str, pieces: Pieces) -> list[int]:
     return [i for ids in reversed(out) for i in ids]
 
 
-def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, ids) of distinct units (column unit): lattice, join, grouping and fold."""
-    spark = units.sparkSession
+def spans_of(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """The lattice of distinct units (column unit): (unit, s, e, piece, id, rank), id null for a character without a piece."""
+    order = {x: k for k, x in enumerate(sorted({x for _, x in pieces.texts.values()}, reverse=True))}
     # the table of a model: tens of thousands of short rows, whatever the corpus
-    table = spark.createDataFrame([(t, i, float(s)) for t, (i, s) in pieces.texts.items()], "piece string, id int, score double")
-    at = F.array(*[F.lit(i) for i in pieces.bytes_at])
+    table = units.sparkSession.createDataFrame([(t, i, order[x]) for t, (i, x) in pieces.texts.items()], "piece string, id int, rank int")
     spans = (
         units.filter(F.length("unit") > 0)
         .select("unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
         .select("unit", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.length("unit"), F.col("s") + pieces.longest))).alias("e"))
         .withColumn("piece", F.expr("substring(unit, s + 1, e - s)"))
     )
-    edges = spans.join(F.broadcast(table), "piece", "left").filter("id is not null or e = s + 1")
-    raw = F.expr("transform(sequence(1, octet_length(piece)), k -> int(conv(substring(hex(piece), 2 * k - 1, 2), 16, 10)) + 1)")
-    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(F.transform(raw, lambda b: F.element_at(at, b)))
-    edges = edges.select("unit", F.struct("e", "s", F.coalesce("score", F.lit(pieces.fallback)).alias("score"), ids.alias("ids")).alias("edge"))
+    return spans.join(F.broadcast(table), "piece", "left").filter("id is not null or e = s + 1")
+
+
+def _bytes_of(start: str) -> str:
+    """SQL: byte pieces of the unit's character at a start."""
+    ch = f"substring(unit, {start} + 1, 1)"
+    return f"transform(sequence(1, octet_length({ch})), k -> element_at(bytes_at, cast(conv(substring(hex({ch}), 2 * k - 1, 2), 16, 10) as int) + 1))"
+
+
+def merge_units(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """(unit, ids) by merges: of the pairs of neighbours whose join is a piece the best by score, the first of equals, becomes one, again and again.
+
+    The fold's state is the borders between the unit's parts; a merge takes one out. An edge
+    is one long: its rank, start, end and id.
+    """
+    edges = spans_of(units, pieces).select("unit", F.expr("case when id is not null then shiftleft(cast(rank as bigint), 41) | shiftleft(cast(s as bigint), 31) | shiftleft(cast(e as bigint), 20) | id end").alias("edge"))
+    grouped = edges.groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges")).withColumn("bytes_at", F.split(F.lit(",".join(map(str, pieces.bytes_at))), ",").cast("array<int>"))
+    s, e, i = (lambda x: f"cast(shiftright({x}, 31) & 1023 as int)"), (lambda x: f"cast(shiftright({x}, 20) & 2047 as int)"), (lambda x: f"cast({x} & 1048575 as int)")
+    # state: the borders, and the edges of several characters whose ends are borders, the best first
+    merge = f"""
+      aggregate(if(length(unit) > 1, sequence(1, length(unit) - 1), cast(array() as array<int>)),
+        struct(sequence(0, length(unit)) as b, filter(edges, x -> {e("x")} > {s("x")} + 1) as g),
+        (a, k) -> if(size(a.g) = 0, a, element_at(transform(array(get(filter(a.g, x -> array_position(a.b, {e("x")}) = array_position(a.b, {s("x")}) + 2), 0)),
+          y -> if(y is null, struct(a.b as b, cast(array() as array<bigint>) as g),
+            element_at(transform(array(element_at(a.b, cast(array_position(a.b, {s("y")}) as int) + 1)),
+              m -> struct(array_remove(a.b, m) as b, filter(a.g, x -> {s("x")} <> m and {e("x")} <> m and x <> y) as g)), 1))), 1)),
+        a -> a.b)"""
+    spelled = f"""
+      flatten(transform(slice(b, 1, size(b) - 1), (p, j) -> element_at(transform(array(get(edges, cast(array_position(places, p * 2048 + element_at(b, j + 2)) as int) - 1)),
+        y -> if(y is null, {_bytes_of("p")}, array({i("y")}))), 1)))"""
+    placed = grouped.withColumn("places", F.expr("transform(edges, x -> cast(shiftright(x, 20) & 2097151 as int))"))
+    return placed.withColumn("b", F.expr(merge)).select("unit", F.expr(spelled).alias("ids"))
+
+
+def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """(unit, ids) of distinct units (column unit): lattice, join, grouping and fold."""
+    return merge_units(units, pieces) if pieces.merges else viterbi_units(units, pieces)
+
+
+def viterbi_units(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """(unit, ids) of the best path by sums of scores; of equally good ones that with the longest last piece, and so on backwards."""
+    found = spans_of(units, pieces)
+    # an edge is one long: its end, its start, and its piece plus one; 0 is a character without a piece
+    edges = found.select("unit", F.expr("shiftleft(cast(e as bigint), 48) | shiftleft(cast(s as bigint), 32) | coalesce(id + 1, 0)").alias("edge"))
     grouped = edges.groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    # state: scores of the ends so far, their pieces and starts, and the end in work
+    by_id = [pieces.fallback] + [0.0] * len(pieces.decoded)
+    for i, score in pieces.texts.values():
+        by_id[i + 1] = float(score)
+    grouped = grouped.withColumn("scores", F.split(F.lit(",".join(map(repr, by_id))), ",").cast("array<double>"))
+    # state: scores and best edges of the ends so far, and the end in work; edges come by end, then start
     step = """
       aggregate(edges,
-        struct(array(0D) as score, cast(array() as array<int>) as start, cast(array() as array<array<int>>) as ids,
-               0 as e, 0D as best, 0 as s, cast(array() as array<int>) as now),
-        (a, x) -> if(x.e <> a.e and a.e > 0,
-          struct(array_append(a.score, a.best) as score, array_append(a.start, a.s) as start, array_append(a.ids, a.now) as ids,
-                 x.e as e, element_at(array_append(a.score, a.best), x.s + 1) + x.score as best, x.s as s, x.ids as now),
-          if(a.e = 0 or element_at(a.score, x.s + 1) + x.score > a.best,
-            struct(a.score as score, a.start as start, a.ids as ids, x.e as e, element_at(a.score, x.s + 1) + x.score as best, x.s as s, x.ids as now),
-            a)),
-        a -> struct(array_append(a.start, a.s) as start, array_append(a.ids, a.now) as ids))"""
+        struct(array(0D) as score, cast(array() as array<bigint>) as edge, 0 as e, 0D as best, 0L as now),
+        (a, x) -> if(cast(shiftright(x, 48) as int) = a.e,
+          if(element_at(a.score, cast(shiftright(x, 32) & 65535 as int) + 1) + element_at(scores, cast(x & 4294967295 as int) + 1) > a.best,
+            struct(a.score as score, a.edge as edge, a.e as e, element_at(a.score, cast(shiftright(x, 32) & 65535 as int) + 1) + element_at(scores, cast(x & 4294967295 as int) + 1) as best, x as now),
+            a),
+          if(a.e = 0,
+            struct(a.score as score, a.edge as edge, cast(shiftright(x, 48) as int) as e, element_at(scores, cast(x & 4294967295 as int) + 1) as best, x as now),
+            struct(array_append(a.score, a.best) as score, array_append(a.edge, a.now) as edge, cast(shiftright(x, 48) as int) as e,
+                   element_at(array_append(a.score, a.best), cast(shiftright(x, 32) & 65535 as int) + 1) + element_at(scores, cast(x & 4294967295 as int) + 1) as best, x as now))),
+        a -> array_append(a.edge, a.now))"""
     back = """
-      aggregate(sequence(size(v.start), 1), struct(size(v.start) as at, cast(array() as array<array<int>>) as path),
-        (a, k) -> if(k = a.at, struct(element_at(v.start, k) as at, array_prepend(a.path, element_at(v.ids, k)) as path), a),
-        a -> flatten(a.path))"""
-    return grouped.select("unit", F.expr(step).alias("v")).select("unit", F.expr(back).alias("ids"))
+      aggregate(sequence(size(v), 1), struct(size(v) as at, cast(array() as array<bigint>) as path),
+        (a, k) -> if(k = a.at, struct(cast(shiftright(element_at(v, k), 32) & 65535 as int) as at, array_prepend(a.path, element_at(v, k)) as path), a),
+        a -> a.path)"""
+    at = ",".join(map(str, pieces.bytes_at))
+    spelled = """
+      flatten(transform(path, x -> if(x & 4294967295 > 0, array(cast(x & 4294967295 as int) - 1),
+        @bytes)))""".replace("@bytes", _bytes_of("cast(shiftright(x, 32) & 65535 as int)"))
+    paths = grouped.select("unit", F.expr(step).alias("v")).select("unit", F.expr(back).alias("path"))
+    return paths.withColumn("bytes_at", F.split(F.lit(at), ",").cast("array<int>")).select("unit", F.expr(spelled).alias("ids"))
 
 
 class Chunk:
     """Some documents' units as indices of the chunk's distinct units, in order of (part, hash)."""
 
-    def __init__(self, texts: list[str | None], units: list[list[str]], parts: int):
+    def __init__(self, cut: Cutter, texts: list[str | None], words: list[list[str]], parts: int):
         seen: dict[str, int] = {}
-        self.lengths = np.array([len(u) for u in units])
-        flat = np.fromiter((seen.setdefault(w, len(seen)) for u in units for w in u), np.int64, int(self.lengths.sum()))
-        self.names = list(seen)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(u.encode(), SEED) for u in seen), np.uint64, len(seen))
+        at = np.fromiter((seen.setdefault(w, len(seen)) for ws in words for w in ws), np.int64, sum(map(len, words)))
+        units, counts = cut.units(list(seen))
+        names: dict[str, int] = {}
+        of_word = np.fromiter((names.setdefault(u, len(names)) for u in units), np.int64, len(units))
+        hashes = np.fromiter((xxhash.xxh64_intdigest(u.encode(), SEED) for u in names), np.uint64, len(names))
         part = (hashes % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((hashes, part))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        self.flat, self.hashes, self.part = rank[flat], hashes[order], part[order]
+        self.flat, self.hashes, self.part = rank[_gather((np.cumsum(counts) - counts)[at], counts[at], of_word)], hashes[order], part[order]
+        ends = np.concatenate(([0], np.cumsum(counts[at])))
+        self.lengths = np.diff(ends[np.concatenate(([0], np.cumsum([len(ws) for ws in words])))])
         self.sums = [None if t is None else np.uint64(xxhash.xxh64_intdigest(t.encode())).astype(np.int64).item() for t in texts]
-        self.mark = int((hashes.sum(dtype=np.uint64) ^ np.uint64(len(flat))).astype(np.int64))
+        self.mark = int((hashes.sum(dtype=np.uint64) ^ np.uint64(len(self.flat))).astype(np.int64))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], cut, parts: int):
-    base, n, rows, texts, units, size = TaskContext.get().partitionId() << 32, 0, [], [], [], 0
+def _chunks(batches: Iterator[pa.RecordBatch], cut: Cutter, parts: int):
+    base, n, rows, texts, words, size = TaskContext.get().partitionId() << 32, 0, [], [], [], 0
     for b in batches:
         for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             t = t.as_py()
             rows.append(i)
             texts.append(t)
-            units.append(cut(t or ""))
-            size += len(units[-1]) + 1
-            if size >= CHUNK_UNITS:
-                yield base + n, rows, Chunk(texts, units, parts)
-                n, rows, texts, units, size = n + 1, [], [], [], 0
+            words.append(cut.words(t or ""))
+            size += len(words[-1]) + 1
+            if size >= CHUNK_WORDS:
+                yield base + n, rows, Chunk(cut, texts, words, parts)
+                n, rows, texts, words, size = n + 1, [], [], [], 0
     if rows:
-        yield base + n, rows, Chunk(texts, units, parts)
+        yield base + n, rows, Chunk(cut, texts, words, parts)
 
 
 ROWS = "part int, chunk long, mark long, doc_ids array<long>, sums array<long>, lengths binary, flat binary, sizes binary, ids binary"
@@ -198,9 +284,19 @@ def _rows(columns: list) -> pa.RecordBatch:
 def _names(pieces: Pieces):
     def run(batches):
         cut = cutter(pieces)
-        for _, _, c in _chunks(batches, cut, 1):
-            for k in range(0, len(c.names), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c.names[k : k + 50_000], pa.string())], ["unit"])
+        seen: set[str] = set()
+
+        def send() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(set(cut.units(list(seen))[0])), pa.string())], ["unit"])
+
+        for b in batches:
+            for text in b.column(0):
+                seen.update(cut.words(text.as_py() or ""))
+                if len(seen) > 200_000:
+                    yield send()
+                    seen.clear()
+        if seen:
+            yield send()
 
     return run
 
@@ -231,7 +327,15 @@ def _gather(starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.nda
     return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
-def _answer(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+def _id_kind(pieces: Pieces):
+    return np.uint16 if len(pieces.decoded) <= 65536 else np.uint32
+
+
+def _answer(pieces: Pieces):
+    return lambda key, left, right: _answers(key, left, right, _id_kind(pieces))
+
+
+def _answers(key: tuple, left: pa.Table, right: pa.Table, kind) -> pa.Table:
     h = right.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
     lists = right.column("ids").combine_chunks()
@@ -245,7 +349,7 @@ def _answer(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if (h[at] != ask).any():
             raise RuntimeError("a unit has no encoding")
         sizes = offsets[at + 1] - offsets[at]
-        rows.append((key[0].as_py(), left.column("chunk")[k].as_py(), left.column("mark")[k].as_py(), None, None, None, None, sizes.astype(np.uint16 if UNIT * 4 < 65536 else np.uint32).tobytes(), _gather(offsets[at], sizes, values).astype(np.int32).tobytes()))
+        rows.append((key[0].as_py(), left.column("chunk")[k].as_py(), left.column("mark")[k].as_py(), None, None, None, None, sizes.astype(np.uint16 if UNIT * 4 < 65536 else np.uint32).tobytes(), _gather(offsets[at], sizes, values).astype(kind).tobytes()))
     return pa.Table.from_batches([_rows(list(zip(*rows, strict=True)) or [[] for _ in _KINDS])])
 
 
@@ -258,7 +362,7 @@ def _finish(pieces: Pieces):
             raise RuntimeError("two readings of the documents were dealt differently to tasks")
         get = lambda n, k, d: np.frombuffer(t.column(n)[k].as_py(), d)
         sizes = np.concatenate([get("sizes", k, np.uint16).astype(np.int64) for k in rest] or [np.zeros(0, np.int64)])
-        values = np.concatenate([get("ids", k, np.int32) for k in rest] or [np.zeros(0, np.int32)])
+        values = np.concatenate([get("ids", k, _id_kind(pieces)) for k in rest] or [np.zeros(0, np.uint16)])
         lengths = get("lengths", head, np.uint32).astype(np.int64)
         flat = np.ascontiguousarray(np.frombuffer(zlib.decompress(t.column("flat")[head].as_py()), np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
         starts = np.cumsum(sizes) - sizes
@@ -287,12 +391,12 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
-    units = rows.mapInArrow(_names(pieces), "unit string").distinct()
+    units = rows.select("text").mapInArrow(_names(pieces), "unit string").distinct()
     table = Scratch(encode_units(units, pieces).select(F.xxhash64("unit").alias("h"), "ids"), "pieces-units").read()
     # an unsigned remainder, as the chunks take it
     part = F.pmod(F.pmod(F.shiftrightunsigned("h", 1), F.lit(parts)) * 2 + F.col("h").bitwiseAND(F.lit(1)), F.lit(parts)).cast("int")
     asked = rows.mapInArrow(_asks(pieces, parts), ROWS)
-    answers = asked.groupBy("part").cogroup(table.withColumn("part", part).groupBy("part")).applyInArrow(_answer, ROWS)
+    answers = asked.groupBy("part").cogroup(table.withColumn("part", part).groupBy("part")).applyInArrow(_answer(pieces), ROWS)
     told = rows.mapInArrow(_texts(pieces, parts), ROWS).unionByName(answers)
     return told.groupBy("chunk").applyInArrow(_finish(pieces), OUT)
 
