@@ -57,6 +57,25 @@ def test_hpyp_probabilities_sum_to_one():
         assert abs(m.after(np.array([k]), cc, tt, parent).sum() - 1) < 1e-9
 
 
+def test_hpyp_contexts_of_equal_top_bits_stay_apart(spark):
+    """Two words whose hashes agree in their top 16 bits are contexts of their own."""
+    import xxhash
+
+    seen = {}
+    for k in range(10_000):
+        top = xxhash.xxh64_intdigest(b"w%d" % k) >> 48
+        if top in seen:
+            one, two = f"w{seen[top]}", f"w{k}"
+            break
+        seen[top] = k
+    docs = [(k, f"{one} left {two} right " * 20) for k in range(20)]
+    asked = {10_007 + k: t for k, t in enumerate((f"{one} left", f"{one} right"))}
+    assert all(not hpyp.held_out(k, 1 << 20) for k in asked)
+    got = {r.doc_id: r.score for r in hpyp.score(spark.createDataFrame(docs + list(asked.items()), "doc_id long, text string").repartition(3), folds=1 << 20).collect()}
+    # "right" came after the second word 400 times and once after the first
+    assert got[10_007] - got[10_008] > 1
+
+
 def test_table_counts_follow_their_distribution():
     """Draws of the number of tables against the exact conditional, by enumeration of seatings."""
     d, theta, p, others, c = 0.5, 1.0, 0.2, 3, 5
