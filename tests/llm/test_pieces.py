@@ -40,3 +40,25 @@ def test_viterbi_equals_brute_force(spark):
     units = sorted({u for t in TEXTS if t and len(t) < 100 for u in cut(t)})
     got = {r.unit: r.ids for r in pieces.viterbi_units(spark.createDataFrame([(u,) for u in units], "unit string"), p).collect()}
     assert got == {u: pieces.best_path(u, p) for u in units}
+
+
+def test_long_units_equal_the_library(spark):
+    """Units above UNIT characters are encoded whole."""
+    import random
+
+    import sentencepiece
+
+    rng = random.Random(5)
+    m = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = ["a" * 3000, "-" * 200, "=" * 130, " " * 700 + "x", "".join(rng.choice(["the", "ing", "ab", "é", "日", "and"]) for _ in range(900)), "a" * 128, "ha" * 40_000, "-" * 300_000]
+    p = pieces.load()
+    cut = pieces.cutter(p)
+    assert all("".join(cut(t)) == pieces.SPACE + t.replace(" ", pieces.SPACE) for t in texts)
+    assert max(len(u) for t in texts for u in cut(t)) > pieces.UNIT
+    got = {r.doc_id: r for r in pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, t in enumerate(texts):
+        assert got[k].ids == m.encode(t) and got[k].intact, t[:50]
+    # both ways of a short unit agree
+    units = sorted({u for t in TEXTS if t and len(t) < 100 for u in cut(t)} | {"a" * 90, "-" * 77})
+    folded = {r.unit: r.ids for r in pieces.merge_units(spark.createDataFrame([(u,) for u in units], "unit string"), p).collect()}
+    assert folded == {u: pieces.merged(u, p) for u in units}

@@ -10,12 +10,14 @@ of the distinct units. Characters without a piece fall back to byte pieces. Chun
 documents then ask each part of the unit table once for each of their distinct units.
 
 Defined cases: a null text has null ids; an empty one has none. U+2581 in a text decodes to a
-space, as in the format itself; `intact` tells. A unit of more than UNIT characters is cut every UNIT
-characters.
+space, as in the format itself; `intact` tells. A unit of more than UNIT characters is not folded in
+SQL, whose time grows with the square of its length: the same merges, or the same path, are made
+over the whole unit in Python, by a heap or in one pass.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .hpyp import pack, unpack
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -116,8 +119,6 @@ class Cutter:
         starts = np.cumsum(lengths) - lengths
         cut[starts[lengths > 0]] = True
         edges = np.flatnonzero(cut)
-        if len(edges) > 1 and np.diff(edges).max() > UNIT:
-            edges = np.concatenate([np.arange(x, y, UNIT) for x, y in zip(edges.tolist(), edges[1:].tolist(), strict=False)] + [edges[-1:]])
         counts = np.searchsorted(edges, starts + lengths) - np.searchsorted(edges, starts)
         whole = "".join(words)
         e = edges.tolist()
@@ -132,7 +133,7 @@ def cutter(pieces: Pieces) -> Cutter:
 
 
 def best_path(unit: str, pieces: Pieces) -> list[int]:
-    """Viterbi in plain Python, for tests; of equally good paths the one with the longest last piece wins."""
+    """Viterbi in plain Python, for long units and tests; of equally good paths the one with the longest last piece wins."""
     best = [(0.0, 0, [])] + [None] * len(unit)
     for e in range(1, len(unit) + 1):
         for s in range(max(0, e - pieces.longest), e):
@@ -150,6 +151,49 @@ def best_path(unit: str, pieces: Pieces) -> list[int]:
     return [i for ids in reversed(out) for i in ids]
 
 
+def merged(unit: str, pieces: Pieces) -> list[int]:
+    """The merges of merge_units in plain Python: a heap of the pairs of neighbours, and links between the parts left."""
+    n = len(unit)
+    before, after, end = list(range(-1, n - 1)), [*range(1, n), -1], list(range(1, n + 1))
+    heap: list[tuple[float, int, int]] = []  # score, start and end of a join; one is stale when its parts have changed
+
+    def offer(s: int) -> None:
+        if s >= 0 and after[s] >= 0 and (got := pieces.texts.get(unit[s : end[after[s]]])):
+            heapq.heappush(heap, (-got[1], s, end[after[s]]))
+
+    for s in range(n):
+        offer(s)
+    while heap:
+        _, s, e = heapq.heappop(heap)
+        if end[s] < 0 or after[s] < 0 or end[after[s]] != e:
+            continue
+        gone = after[s]
+        end[s], end[gone], after[s] = e, -1, after[gone]
+        if after[s] >= 0:
+            before[after[s]] = s
+        offer(before[s])
+        offer(s)
+    out, s = [], 0
+    while 0 <= s < n:
+        got = pieces.texts.get(unit[s : end[s]])
+        out += [got[0]] if got else [pieces.bytes_at[b] for b in unit[s].encode()]
+        s = after[s]
+    return out
+
+
+def long_units(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """(unit, ids) of units too long for the fold, each whole."""
+    one = merged if pieces.merges else best_path
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for unit in b.column(0):
+                u = unit.as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([u], pa.string()), pa.array([one(u, pieces)], pa.list_(pa.int32()))], ["unit", "ids"])
+
+    return units.mapInArrow(run, "unit string, ids array<int>")
+
+
 def spans_of(units: DataFrame, pieces: Pieces) -> DataFrame:
     """The lattice of distinct units (column unit): (unit, s, e, piece, id, rank), id null for a character without a piece."""
     order = {x: k for k, x in enumerate(sorted({x for _, x in pieces.texts.values()}, reverse=True))}
@@ -197,7 +241,8 @@ def merge_units(units: DataFrame, pieces: Pieces) -> DataFrame:
 
 def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     """(unit, ids) of distinct units (column unit): lattice, join, grouping and fold."""
-    return merge_units(units, pieces) if pieces.merges else viterbi_units(units, pieces)
+    short, long = units.filter(F.length("unit") <= UNIT), units.filter(F.length("unit") > UNIT)
+    return (merge_units(short, pieces) if pieces.merges else viterbi_units(short, pieces)).unionByName(long_units(long, pieces))
 
 
 def viterbi_units(units: DataFrame, pieces: Pieces) -> DataFrame:
@@ -349,7 +394,7 @@ def _answers(key: tuple, left: pa.Table, right: pa.Table, kind) -> pa.Table:
         if (h[at] != ask).any():
             raise RuntimeError("a unit has no encoding")
         sizes = offsets[at + 1] - offsets[at]
-        rows.append((key[0].as_py(), left.column("chunk")[k].as_py(), left.column("mark")[k].as_py(), None, None, None, None, sizes.astype(np.uint16 if UNIT * 4 < 65536 else np.uint32).tobytes(), _gather(offsets[at], sizes, values).astype(kind).tobytes()))
+        rows.append((key[0].as_py(), left.column("chunk")[k].as_py(), left.column("mark")[k].as_py(), None, None, None, None, pack(sizes), _gather(offsets[at], sizes, values).astype(kind).tobytes()))
     return pa.Table.from_batches([_rows(list(zip(*rows, strict=True)) or [[] for _ in _KINDS])])
 
 
@@ -361,7 +406,7 @@ def _finish(pieces: Pieces):
         if part[head] != -1 or len(set(t.column("mark").to_pylist())) != 1:
             raise RuntimeError("two readings of the documents were dealt differently to tasks")
         get = lambda n, k, d: np.frombuffer(t.column(n)[k].as_py(), d)
-        sizes = np.concatenate([get("sizes", k, np.uint16).astype(np.int64) for k in rest] or [np.zeros(0, np.int64)])
+        sizes = np.concatenate([unpack(t.column("sizes")[k].as_py()).astype(np.int64) for k in rest] or [np.zeros(0, np.int64)])
         values = np.concatenate([get("ids", k, _id_kind(pieces)) for k in rest] or [np.zeros(0, np.uint16)])
         lengths = get("lengths", head, np.uint32).astype(np.int64)
         flat = np.ascontiguousarray(np.frombuffer(zlib.decompress(t.column("flat")[head].as_py()), np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
@@ -391,7 +436,8 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
-    units = rows.select("text").mapInArrow(_names(pieces), "unit string").distinct()
+    # written once, as short and long units are read apart
+    units = Scratch(rows.select("text").mapInArrow(_names(pieces), "unit string").distinct(), "pieces-names").read()
     table = Scratch(encode_units(units, pieces).select(F.xxhash64("unit").alias("h"), "ids"), "pieces-units").read()
     # an unsigned remainder, as the chunks take it
     part = F.pmod(F.pmod(F.shiftrightunsigned("h", 1), F.lit(parts)) * 2 + F.col("h").bitwiseAND(F.lit(1)), F.lit(parts)).cast("int")
