@@ -54,3 +54,36 @@ def test_defined_cases(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 7, 8]
     assert simhash.groups(docs.filter(F.lit(False))).count() == 0
     assert simhash.keep_first(docs.filter(F.lit(False))).count() == 0
+
+
+def test_pipeline_stage_finds_edited_copies(spark):
+    """Planted near copies against all pairs by exact Jaccard similarity; clean documents stay."""
+    import pytest
+
+    stage = pytest.importorskip("corpus_pipeline").simhash_stage
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(5000)}"
+    texts = []
+    for _ in range(60):
+        base = [word() for _ in range(rng.randrange(40, 200))]
+        texts.append(" ".join(base))
+        for _ in range(rng.randrange(4)):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    texts += ["", None, "one two", "One  two", "a b c d e", "a b c d f", " ".join(word() for _ in range(100)) + " " + texts[0]]
+    rng.shuffle(texts)
+
+    def cut(t):
+        ws = (t or "").lower().split()
+        return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+    sets = [cut(t) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1, "x", 9) for k, t in enumerate(texts)] + [(None, "no id here", "en", "s", 1, "x", 9)] * 2, SCHEMA)
+    kept = stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = [r.doc_id for r in kept.collect()]
+    assert sorted(got, key=lambda i: (i is None, i)) == [*sorted(set(components(len(texts), pairs))), None]
+    assert stage(spark, docs.filter(F.lit(False)), "").count() == 0
