@@ -4,7 +4,7 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from trellis.llm import mixing, pieces, quality  # noqa: E402
+from trellis.llm import mixing, quality  # noqa: E402
 from trellis.llm.common import Scratch  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -28,4 +28,3 @@ def test_stages(spark):
     copies = {r.id: r.copies for r in mixing.plan(seen[3]).collect()}
     assert {r.doc_id: r["count"] for r in seen[4].groupBy("doc_id").count().collect()} == {i: c for i, c in copies.items() if c}
     assert seen[5].count() == seen[4].count() and all(r.intact for r in rows[5].values())
-    assert pieces.load().merges

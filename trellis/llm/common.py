@@ -72,6 +72,22 @@ class Scratch:
         delete_path(self.spark, self.path)
 
 
+class Buckets:
+    """A table written once, bucketed by a key, so that groups of the key need no shuffle of it."""
+
+    def __init__(self, df: DataFrame, key: str, buckets: int, label: str):
+        self.spark, self.path = df.sparkSession, scratch_path(df.sparkSession, label)
+        self.name = f"trellis_{uuid.uuid4().hex}"
+        df.write.format("parquet").option("compression", "zstd").option("path", self.path).bucketBy(buckets, key).saveAsTable(self.name)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete_path(self.spark, self.path)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node that an edge touches; component is the smallest node.
 

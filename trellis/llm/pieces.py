@@ -3,40 +3,45 @@
 Texts are cut into units that no piece crosses: before a run of spaces, around a line end,
 and between characters that stand side by side in no piece. The distinct units of the corpus become rows;
 their substrings up to the longest piece are exploded and joined to the piece table, the
-edges are grouped by unit, and a fold with the aggregate function picks the pieces: for a
-unigram model Viterbi, the path of the largest sum of scores; for a BPE model the merges
-that define its ids, over the same edges, as the best sum is another path for about half
-of the distinct units. Characters without a piece fall back to byte pieces. Chunks of
-documents then ask each part of the unit table once for each of their distinct units.
-
-Defined cases: a null text has null ids; an empty one has none. U+2581 in a text decodes to a
-space, as in the format itself; `intact` tells. A unit of more than UNIT characters is not folded in
-SQL, whose time grows with the square of its length: the same merges, or the same path, are made
-over the whole unit in Python, by a heap or in one pass.
+edges are grouped by unit, and a Viterbi fold with the aggregate function picks the path of the
+largest sum of scores, whatever the type of the model. Characters without a piece fall back to
+byte pieces. Texts are cut once, in chunks of documents that list their distinct units; the
+chunks join the table of units and put their documents together.
+
+The ids that a BPE model's own library gives come from merges, which is another path for about
+half of the distinct units; merges=True makes those over the same lattice.
+
+Defined cases: a null text has null ids; an empty one has none. Rows that repeat, in id or text,
+are rows of their own; a null id stays null; other columns are not read. U+2581 in a text decodes to
+a space, as in the format itself; `intact` tells. A unit of more than UNIT characters is not folded in
+SQL, whose time grows with the square of its length: the same path is found over the whole
+unit in Python, in one pass. One text is never split over chunks: places of its words are in one worker's memory.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
-from .hpyp import pack, unpack
+from .common import Buckets, Scratch
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-UNIT, CHUNK_WORDS, PART_BYTES = 128, 750_000, 24 << 20
-SEED = 42  # of Spark's xxhash64
+UNIT, LEAD = 512, 3
+#: Words of a chunk and about their bytes, units of a task, units packed at once, units of a chunk that are put together at once.
+CHUNK_WORDS, CHUNK_BYTES, TASK_UNITS, PACK_UNITS, BLOCK = 3_000_000, 16 << 20, 50_000, 500_000, 200_000
 
 
 @dataclass
@@ -46,13 +51,12 @@ class Pieces:
     texts: dict[str, tuple[int, float]]
     bytes_at: list[int]
     decoded: list[bytes]  # by id; empty for control pieces
-    merges: bool  # of the BPE type: ids come from merges in order of score, not from the best sum
 
-    @property
+    @cached_property
     def longest(self) -> int:
         return max(map(len, self.texts), default=1)
 
-    @property
+    @cached_property
     def fallback(self) -> float:
         return min((s for _, s in self.texts.values()), default=0.0) - 10
 
@@ -78,11 +82,7 @@ def load(path: str = MODEL) -> Pieces:
             decoded.append(piece.replace(SPACE, " ").encode())
     if any(SPACE in t.lstrip(SPACE) for t in texts):
         raise ValueError("a piece goes on after a space; units can't be cut at spaces")
-    from sentencepiece import sentencepiece_model_pb2
-
-    spec = sentencepiece_model_pb2.ModelProto()
-    spec.ParseFromString(m.serialized_model_proto())
-    return Pieces(texts, bytes_at, decoded, spec.trainer_spec.model_type == spec.trainer_spec.BPE)
+    return Pieces(texts, bytes_at, decoded)
 
 
 class Cutter:
@@ -181,9 +181,9 @@ def merged(unit: str, pieces: Pieces) -> list[int]:
     return out
 
 
-def long_units(units: DataFrame, pieces: Pieces) -> DataFrame:
+def long_units(units: DataFrame, pieces: Pieces, merges: bool = False) -> DataFrame:
     """(unit, ids) of units too long for the fold, each whole."""
-    one = merged if pieces.merges else best_path
+    one = merged if merges else best_path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -195,14 +195,22 @@ def long_units(units: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def spans_of(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """The lattice of distinct units (column unit): (unit, s, e, piece, id, rank), id null for a character without a piece."""
+    """The lattice of distinct units (column unit): (unit, s, e, piece, id, rank), id null for a character without a piece.
+
+    Substrings are bounded by the longest piece that begins with the same LEAD characters.
+    """
     order = {x: k for k, x in enumerate(sorted({x for _, x in pieces.texts.values()}, reverse=True))}
-    # the table of a model: tens of thousands of short rows, whatever the corpus
+    far: dict[str, int] = {}
+    for t in pieces.texts:
+        if len(t) >= LEAD:
+            far[t[:LEAD]] = max(len(t), far.get(t[:LEAD], 0))
+    # the tables of a model: tens of thousands of short rows, whatever the corpus
     table = units.sparkSession.createDataFrame([(t, i, order[x]) for t, (i, x) in pieces.texts.items()], "piece string, id int, rank int")
+    reach = units.sparkSession.createDataFrame(list(far.items()), "lead string, far int")
+    starts = units.filter(F.length("unit") > 0).select("unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
+    starts = starts.withColumn("lead", F.expr(f"substring(unit, s + 1, {LEAD})")).join(F.broadcast(reach), "lead", "left")
     spans = (
-        units.filter(F.length("unit") > 0)
-        .select("unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
-        .select("unit", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.length("unit"), F.col("s") + pieces.longest))).alias("e"))
+        starts.select("unit", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.length("unit"), F.col("s") + F.coalesce("far", F.lit(LEAD - 1))))).alias("e"))
         .withColumn("piece", F.expr("substring(unit, s + 1, e - s)"))
     )
     return spans.join(F.broadcast(table), "piece", "left").filter("id is not null or e = s + 1")
@@ -239,10 +247,10 @@ def merge_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     return placed.withColumn("b", F.expr(merge)).select("unit", F.expr(spelled).alias("ids"))
 
 
-def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, ids) of distinct units (column unit): lattice, join, grouping and fold."""
+def encode_units(units: DataFrame, pieces: Pieces, merges: bool = False) -> DataFrame:
+    """(unit, ids) of distinct units (column unit, dealt by it): lattice, join, grouping and fold."""
     short, long = units.filter(F.length("unit") <= UNIT), units.filter(F.length("unit") > UNIT)
-    return (merge_units(short, pieces) if pieces.merges else viterbi_units(short, pieces)).unionByName(long_units(long, pieces))
+    return (merge_units if merges else viterbi_units)(short, pieces).unionByName(long_units(long, pieces, merges))
 
 
 def viterbi_units(units: DataFrame, pieces: Pieces) -> DataFrame:
@@ -281,89 +289,72 @@ def viterbi_units(units: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 class Chunk:
-    """Some documents' units as indices of the chunk's distinct units, in order of (part, hash)."""
-
-    def __init__(self, cut: Cutter, texts: list[str | None], words: list[list[str]], parts: int):
-        seen: dict[str, int] = {}
-        at = np.fromiter((seen.setdefault(w, len(seen)) for ws in words for w in ws), np.int64, sum(map(len, words)))
-        units, counts = cut.units(list(seen))
-        names: dict[str, int] = {}
-        of_word = np.fromiter((names.setdefault(u, len(names)) for u in units), np.int64, len(units))
-        hashes = np.fromiter((xxhash.xxh64_intdigest(u.encode(), SEED) for u in names), np.uint64, len(names))
-        part = (hashes % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((hashes, part))
-        rank = np.empty(len(order), np.int64)
+    """Some documents' units as places among the chunk's distinct units."""
+
+    def __init__(self, cut: Cutter, words: dict[str, int], first: list[np.ndarray]):
+        """words: the distinct words; first: for each document where in the chunk each of its words came first."""
+        units, counts = cut.units(list(words))
+        names = sorted(set(units))
+        place = dict(zip(names, count()))
+        of_word = np.fromiter(map(place.__getitem__, units), np.int64, len(units))
+        at = np.concatenate(first)
+        at = (np.cumsum(at == np.arange(len(at), dtype=np.uint32), dtype=np.int32) - 1)[at]
+        # the more frequent ones get the smaller places, so that places compress well; within a power of two they stay in order
+        often = np.bincount(of_word, np.bincount(at, minlength=len(words))[np.repeat(np.arange(len(words)), counts)], len(names))
+        order = np.argsort(-np.floor(np.log2(often)), kind="stable")
+        self.units, rank = [names[k] for k in order.tolist()], np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order))
-        self.flat, self.hashes, self.part = rank[_gather((np.cumsum(counts) - counts)[at], counts[at], of_word)], hashes[order], part[order]
-        ends = np.concatenate(([0], np.cumsum(counts[at])))
-        self.lengths = np.diff(ends[np.concatenate(([0], np.cumsum([len(ws) for ws in words])))])
-        self.sums = [None if t is None else np.uint64(xxhash.xxh64_intdigest(t.encode())).astype(np.int64).item() for t in texts]
-        self.mark = int((hashes.sum(dtype=np.uint64) ^ np.uint64(len(self.flat))).astype(np.int64))
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], cut: Cutter, parts: int):
-    base, n, rows, texts, words, size = TaskContext.get().partitionId() << 32, 0, [], [], [], 0
-    for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            t = t.as_py()
-            rows.append(i)
-            texts.append(t)
-            words.append(cut.words(t or ""))
-            size += len(words[-1]) + 1
-            if size >= CHUNK_WORDS:
-                yield base + n, rows, Chunk(cut, texts, words, parts)
-                n, rows, texts, words, size = n + 1, [], [], [], 0
-    if rows:
-        yield base + n, rows, Chunk(cut, texts, words, parts)
-
-
-ROWS = "part int, chunk long, mark long, doc_ids array<long>, sums array<long>, lengths binary, flat binary, sizes binary, ids binary"
-OUT = "doc_id long, n_tokens long, ids array<int>, intact boolean"
-_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+        of_word, begin, counts = rank[of_word], np.cumsum(counts) - counts, counts.astype(np.int32)
+        blocks = [at[k : k + BLOCK] for k in range(0, len(at), BLOCK)]
+        self.flat = np.concatenate([np.zeros(0, np.uint32), *(_gather(begin[x], counts[x], of_word) for x in blocks)])
+        ends = np.concatenate(([0], np.cumsum(counts[at], dtype=np.int64)))
+        self.lengths = np.diff(ends[np.concatenate(([0], np.cumsum([len(x) for x in first])))])
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Numbers with their equal bytes side by side, compressed."""
+    return zstandard.compress(np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
-def _rows(columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], [x.split()[0] for x in ROWS.split(", ")])
+CHUNKS = "chunk long, doc_ids array<long>, sums array<long>, lengths binary, flat binary, units array<string>"
+_KINDS = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.string())]
+OUT = "doc_id long, n_tokens long, ids array<int>, intact boolean"
+
 
+def _chunks(pieces: Pieces):
+    """One row a chunk: its documents, their units as places, and the distinct units. Documents without words end a chunk by their number."""
 
-def _names(pieces: Pieces):
-    def run(batches):
-        cut = cutter(pieces)
-        seen: set[str] = set()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, base, n, rows, sums, words, first, size = cutter(pieces), TaskContext.get().partitionId() << 32, 0, [], [], {}, [], 0
 
         def send() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(set(cut.units(list(seen))[0])), pa.string())], ["unit"])
+            c = Chunk(cut, words, first)
+            row = [base + n, rows, sums, c.lengths.astype(np.uint32).tobytes(), pack(c.flat), c.units]
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, _KINDS, strict=True)], [x.split()[0] for x in CHUNKS.split(", ")])
 
         for b in batches:
-            for text in b.column(0):
-                seen.update(cut.words(text.as_py() or ""))
-                if len(seen) > 200_000:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                t = t.as_py()
+                found = cut.words(t or "")
+                rows.append(i)
+                sums.append(None if t is None else np.uint64(xxhash.xxh64_intdigest(t.encode())).astype(np.int64).item())
+                first.append(np.fromiter(map(words.setdefault, found, count(size)), np.uint32, len(found)))
+                size += len(found)
+                if size + len(rows) >= CHUNK_WORDS:
                     yield send()
-                    seen.clear()
-        if seen:
+                    n, rows, sums, words, first, size = n + 1, [], [], {}, [], 0
+        if rows:
             yield send()
 
     return run
 
 
-def _asks(pieces: Pieces, parts: int):
-    def run(batches):
-        for cid, _, c in _chunks(batches, cutter(pieces), parts):
-            edges = np.searchsorted(c.part, np.arange(parts + 1))
-            rows = [(p, cid, c.mark, None, None, None, c.hashes[edges[p] : edges[p + 1]].tobytes(), None, None) for p in range(parts) if edges[p] < edges[p + 1]]
-            if rows:
-                yield _rows(list(zip(*rows, strict=True)))
-
-    return run
-
-
-def _texts(pieces: Pieces, parts: int):
-    def run(batches):
-        for cid, ids, c in _chunks(batches, cutter(pieces), parts):
-            planes = np.ascontiguousarray(c.flat.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)  # equal bytes side by side
-            yield _rows([[-1], [cid], [c.mark], [ids], [c.sums], [c.lengths.astype(np.uint32).tobytes()], [zlib.compress(planes.tobytes(), 1)], [None], [None]])
-
-    return run
+def _id_kind(pieces: Pieces) -> np.dtype:
+    return np.dtype(">u2" if len(pieces.decoded) <= 65536 else ">u4")
 
 
 def _gather(starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -372,79 +363,114 @@ def _gather(starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.nda
     return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
-def _id_kind(pieces: Pieces):
-    return np.uint16 if len(pieces.decoded) <= 65536 else np.uint32
+PACKED = "of long, places binary, sizes binary, ids binary"
 
 
-def _answer(pieces: Pieces):
-    return lambda key, left, right: _answers(key, left, right, _id_kind(pieces))
+def _packed(pieces: Pieces):
+    """(of, place, ids) -> for each chunk one row of many of its units' ids, so that they travel small."""
+    kind = _id_kind(pieces)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
 
-def _answers(key: tuple, left: pa.Table, right: pa.Table, kind) -> pa.Table:
-    h = right.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    lists = right.column("ids").combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.chunk(0) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
-    offsets, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
-    rows = []
-    for k in range(left.num_rows):
-        ask = np.frombuffer(left.column("flat")[k].as_py(), np.uint64)
-        at = order[np.minimum(np.searchsorted(h[order], ask), len(h) - 1)]
-        if (h[at] != ask).any():
-            raise RuntimeError("a unit has no encoding")
-        sizes = offsets[at + 1] - offsets[at]
-        rows.append((key[0].as_py(), left.column("chunk")[k].as_py(), left.column("mark")[k].as_py(), None, None, None, None, pack(sizes), _gather(offsets[at], sizes, values).astype(kind).tobytes()))
-    return pa.Table.from_batches([_rows(list(zip(*rows, strict=True)) or [[] for _ in _KINDS])])
+        def send() -> pa.RecordBatch:
+            of, place, sizes, raw = (np.concatenate(x) for x in zip(*held, strict=True))
+            values = raw.view(kind)
+            order = np.lexsort((place, of))
+            starts = (np.cumsum(sizes) - sizes)[order]
+            of, place, sizes = of[order], place[order], sizes[order]
+            edges = np.append(np.flatnonzero(np.diff(of, prepend=of[0] - 1)), len(of))
+            rows = []
+            for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+                ids = _gather(starts[a:b], sizes[a:b], values).astype(np.uint32)
+                rows.append((of[a].item(), pack(np.diff(place[a:b], prepend=0)), pack(sizes[a:b]), pack(ids)))
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in PACKED.split(", ")])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = b.column(2)
+            at = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + b.num_rows + 1].astype(np.int64)
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64), np.diff(at) // kind.itemsize, np.frombuffer(ids.buffers()[2], np.uint8)[at[0] : at[-1]]))
+            n += b.num_rows
+            if n >= PACK_UNITS:
+                yield send()
+                held, n = [], 0
+        if n:
+            yield send()
+
+    return run
+
+
+def _blocks(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of documents of about BLOCK units; a longer one is a run of its own."""
+    x = 0
+    while x < len(ends) - 1:
+        y = max(x + 1, int(np.searchsorted(ends, ends[x] + BLOCK, side="right")) - 1)
+        yield x, y
+        x = y
 
 
 def _finish(pieces: Pieces):
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        part = t.column("part").to_numpy()
-        order = np.argsort(part)
-        head, rest = int(order[0]), [int(k) for k in order[1:]]
-        if part[head] != -1 or len(set(t.column("mark").to_pylist())) != 1:
-            raise RuntimeError("two readings of the documents were dealt differently to tasks")
-        get = lambda n, k, d: np.frombuffer(t.column(n)[k].as_py(), d)
-        sizes = np.concatenate([unpack(t.column("sizes")[k].as_py()).astype(np.int64) for k in rest] or [np.zeros(0, np.int64)])
-        values = np.concatenate([get("ids", k, _id_kind(pieces)) for k in rest] or [np.zeros(0, np.uint16)])
-        lengths = get("lengths", head, np.uint32).astype(np.int64)
-        flat = np.ascontiguousarray(np.frombuffer(zlib.decompress(t.column("flat")[head].as_py()), np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
-        starts = np.cumsum(sizes) - sizes
-        ids = _gather(starts[flat], sizes[flat], values)
-        ends = np.concatenate(([0], np.cumsum(sizes[flat])))[np.cumsum(lengths)] if len(flat) else np.zeros(len(lengths), np.int64)
-        offsets = np.concatenate(([0], ends))
-        letters = np.frombuffer(b"".join(pieces.decoded), np.uint8)
-        width = np.array([len(p) for p in pieces.decoded])
-        first = np.cumsum(width) - width
-        text = _gather(first[ids], width[ids], letters)
-        text_at = np.concatenate(([0], np.cumsum(width[ids])))[offsets]
-        doc_ids, sums = t.column("doc_ids")[head].as_py(), t.column("sums")[head].as_py()
-        raw = text.tobytes()
-        intact = [None if s is None else np.uint64(xxhash.xxh64_intdigest(raw[a + (b > a) : b])).astype(np.int64) == s for a, b, s in zip(text_at[:-1].tolist(), text_at[1:].tolist(), sums, strict=True)]
-        nulls = pa.array([s is None for s in sums])
-        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=nulls)
-        counts = [None if s is None else n for n, s in zip(np.diff(offsets).tolist(), sums, strict=True)]
-        return pa.table([pa.array(doc_ids, pa.int64()), pa.array(counts, pa.int64()), lists, pa.array(intact, pa.bool_())], names=["doc_id", "n_tokens", "ids", "intact"])
+    """(chunk, its units' ids) -> a row a document."""
+    letters = np.frombuffer(b"".join(pieces.decoded), np.uint8)
+    width = np.array([len(p) for p in pieces.decoded])
+    first = np.cumsum(width) - width
+
+    def run(key: tuple, t: pa.Table, table: pa.Table) -> pa.Table:
+        flat, lengths = unpack(t.column("flat")[0].as_py()), np.frombuffer(t.column("lengths")[0].as_py(), np.uint32).astype(np.int64)
+        none = [np.zeros(0, np.int64)]
+        get = lambda name: [unpack(x.as_py()).astype(np.int64) for x in table.column(name)]
+        place, sizes = np.concatenate([np.cumsum(x) for x in get("places")] or none), np.concatenate(get("sizes") or none)
+        values = np.concatenate([x.astype(np.uint32) for x in get("ids")] or none)
+        order = np.argsort(place)
+        if len(order) != (int(flat.max()) + 1 if len(flat) else 0):
+            raise RuntimeError("a unit has no encoding")
+        starts, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        doc_ids, sums = t.column("doc_ids")[0].as_py(), t.column("sums")[0].as_py()
+
+        def block(x: int, y: int) -> pa.RecordBatch:
+            """Documents x to y."""
+            here = flat[ends[x] : ends[y]]
+            ids = _gather(starts[here], sizes[here], values)
+            offsets = np.concatenate(([0], np.cumsum(sizes[here])))[ends[x : y + 1] - ends[x]]
+            letters_at = np.concatenate(([0], np.cumsum(width[ids])))[offsets].tolist()
+            raw = _gather(first[ids], width[ids], letters).tobytes()
+            held = sums[x:y]
+            intact = [None if s is None else np.uint64(xxhash.xxh64_intdigest(raw[a + (b > a) : b])).astype(np.int64).item() == s for a, b, s in zip(letters_at, letters_at[1:], held, strict=False)]
+            out = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=pa.array([s is None for s in held]))
+            counts = [None if s is None else n for n, s in zip(np.diff(offsets).tolist(), held, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(doc_ids[x:y], pa.int64()), pa.array(counts, pa.int64()), out, pa.array(intact, pa.bool_())], ["doc_id", "n_tokens", "ids", "intact"])
+
+        return pa.Table.from_batches([block(a, b) for a, b in _blocks(ends)])
 
     return run
 
 
-def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
-    """(doc_id, n_tokens, ids, intact), one row a row of docs; intact: the ids decode to the text."""
+def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, merges: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids, intact), one row a row of docs; intact: the ids decode to the text.
+
+    merges: ids by the merges of a BPE model instead of the path of the best sum of scores.
+    """
     pieces = load(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // PART_BYTES))
-    # written once, as short and long units are read apart
-    units = Scratch(rows.select("text").mapInArrow(_names(pieces), "unit string").distinct(), "pieces-names").read()
-    table = Scratch(encode_units(units, pieces).select(F.xxhash64("unit").alias("h"), "ids"), "pieces-units").read()
-    # an unsigned remainder, as the chunks take it
-    part = F.pmod(F.pmod(F.shiftrightunsigned("h", 1), F.lit(parts)) * 2 + F.col("h").bitwiseAND(F.lit(1)), F.lit(parts)).cast("int")
-    asked = rows.mapInArrow(_asks(pieces, parts), ROWS)
-    answers = asked.groupBy("part").cogroup(table.withColumn("part", part).groupBy("part")).applyInArrow(_answer(pieces), ROWS)
-    told = rows.mapInArrow(_texts(pieces, parts), ROWS).unionByName(answers)
-    return told.groupBy("chunk").applyInArrow(_finish(pieces), OUT)
+    spark = docs.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // CHUNK_BYTES))
+    chunks = Buckets(rows.mapInArrow(_chunks(pieces), CHUNKS), "chunk", buckets, "pieces-chunks")
+    named = chunks.read().select("chunk", F.posexplode("units").alias("place", "unit"))
+    # dealt by the unit once, for the distinct ones and their edges; more units make more tasks
+    n = chunks.read().agg(F.sum(F.size("units"))).first()[0] or 0
+    units = named.select("unit").repartition(max(1, -(-n // TASK_UNITS)), "unit").distinct()
+    # an id takes two bytes, or four of a large vocabulary
+    digits = 2 * _id_kind(pieces).itemsize
+    spelled = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), digits, "0")), ""))
+    table = Scratch(encode_units(units, pieces, merges).select("unit", spelled.alias("ids")), "pieces-units").read()
+    # a unit is one row of the table, so a frequent one may be split over tasks
+    told = named.join(table, "unit").select(F.col("chunk").alias("of"), "place", "ids").mapInArrow(_packed(pieces), PACKED)
+    return chunks.read().drop("units").groupBy("chunk").cogroup(told.groupBy("of")).applyInArrow(_finish(pieces), OUT)
 
 
 def decode(df: DataFrame, *, ids_col: str = "ids", text_col: str = "text", model: str = MODEL) -> DataFrame:
