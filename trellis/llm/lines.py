@@ -173,15 +173,16 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
     length_col names a column that holds the number of characters, which is set anew;
     count_col a new one for the number of lines removed.
     """
-    lost = Scratch(removed(docs, id_col=id_col, text_col=text_col, threshold=threshold), "lines-lost").read().select(F.col("id").alias("__l_id"), F.col("text_hash").alias("__l_hash"), F.col("lost").alias("__lost"))
-    text = F.col(text_col)
-    both = docs.join(lost, F.col(id_col).eqNullSafe(F.col("__l_id")) & (F.xxhash64(text) == F.col("__l_hash")), "left")
+    lost = Scratch(removed(docs, id_col=id_col, text_col=text_col, threshold=threshold), "lines-lost").read().select(F.col("id").alias("l_id"), F.col("text_hash").alias("l_hash"), "lost")
+    # a row travels as one struct, so that no column of docs can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    both = rows.join(lost, F.col("id").eqNullSafe(F.col("l_id")) & (F.col("text_hash") == F.col("l_hash")), "left")
     # places of the lines that stay: what array_except leaves, in order and by hashing
-    lines = F.split(text, "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__lost"))
-    new = F.when(F.col("__lost").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at(F.col("__lines"), i + 1)), "\n"))
-    both = both.withColumn("__lines", F.when(F.col("__lost").isNotNull(), lines))
-    out = [new.alias(c) if c == text_col else F.length(new).cast("long").alias(c) if c == length_col else F.col(c) for c in docs.columns]
+    lines = F.split("text", "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("lost"))
+    new = F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at(F.col("lines"), i + 1)), "\n"))
+    both = both.withColumn("lines", F.when(F.col("lost").isNotNull(), lines)).select("row", "lost", new.alias("new"))
+    out = [F.col("new").alias(c) if c == text_col else F.length("new").cast("long").alias(c) if c == length_col else F.col("row").getField(c).alias(c) for c in docs.columns]
     if count_col:
-        out.append(F.coalesce(F.size("__lost"), F.lit(0)).cast("long").alias(count_col))
+        out.append(F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias(count_col))
     return both.select(*out)

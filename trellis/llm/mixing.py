@@ -3,6 +3,11 @@
 Tokens are summed by source, targets are found by filling weighted shares up to a cap,
 and each document is emitted floor(rate) times plus one copy drawn with probability equal
 to the fraction of its rate, by a hash of a seed, its id and its text.
+
+Defined cases: a null text has no words and is drawn like an empty one; a null id counts as
+an empty text in the draw; a null source is a source of its own, the last; sources of no words
+are never taken; rows that repeat in id and text share their draw; an empty table gives none.
+Other columns may have any name. Texts are only counted and hashed, whatever their length.
 """
 
 from __future__ import annotations
@@ -69,7 +74,10 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     rates small enough to broadcast.
     """
     sized = Scratch(docs.select(F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size")).groupBy("source").agg(F.sum("size").alias("size")), "sizes").read()
-    t = Scratch(targets(sized, weights, cap), "targets").read().select(F.col("source").alias("__mix_source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("__mix_rate"))
-    rate = F.col("__mix_rate")
-    copies = F.floor(rate) + (draw(seed, F.col(id_col), F.col(text_col)) < rate - F.floor(rate)).cast("long")
-    return docs.join(t, F.col(source_col).eqNullSafe(F.col("__mix_source"))).withColumn("__mix_copies", copies).filter("__mix_copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))).select(*docs.columns)
+    t = Scratch(targets(sized, weights, cap), "targets").read().select(F.col("source").alias("of"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate"))
+    rate = F.col("rate")
+    # a row travels as one struct, so that no column of docs can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(source_col).alias("source"), draw(seed, F.col(id_col), F.col(text_col)).alias("draw"))
+    copies = F.floor(rate) + (F.col("draw") < rate - F.floor(rate)).cast("long")
+    taken = rows.join(t, F.col("source").eqNullSafe(F.col("of"))).select("row", copies.cast("int").alias("copies")).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

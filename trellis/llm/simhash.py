@@ -18,7 +18,7 @@ of their own; a null id is never a component's id unless all ids in it are null.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -228,34 +228,77 @@ def hex_digits(fp: str = "fp"):
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """docs with one row of each group: that of the smallest id, null last; columns stay.
 
-    Rows that repeat in id and text count as one.
+    Of rows of one id in a group the one whose text has the smallest hash stays; rows that
+    repeat in id and text count as one. Other columns may have any name.
     """
-    where = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    got = groups(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), id_col=id_col, text_col=text_col, limit=limit)
-    # the row to keep of each component, by its id and its fingerprint
-    best = Scratch(got.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("m")).select("m.id", "m.fp"), "simhash-kept").read()
-    tagged = docs.withColumn("__fp", _fp_udf()(F.col(text_col)))
-    kept = tagged.join(best.select(F.col("id").alias("__id"), F.col("fp").alias("__best")), F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__best")), "left_semi")
-    twice = Scratch(kept.groupBy(F.col(id_col).alias("__i"), "__fp").count().filter("count > 1").select("__i", F.col("__fp").alias("__f")), "simhash-twice").read()
-    if twice.isEmpty():
-        return kept.select(*docs.columns)
-    same = F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__fp") == F.col("__f"))
-    one = kept.join(twice, same, "left_semi").withColumn("__t", where).dropDuplicates([id_col, "__fp"])
-    return kept.join(twice, same, "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+    key = [F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))]
+    # ids for the groups are rows' own: an id and a text
+    rows = docs.select(key[0].alias("id"), key[1].alias("h"), F.col(text_col).alias("text"))
+    made = Scratch(rows.mapInArrow(_keyed, "id long, h long, fp long"), "simhash-keyed").read()
+    classes = made.groupBy("fp").agg(F.min("id").alias("least"))
+    member = Scratch(connected_components(links(classes.select("fp"), limit)), "simhash-members").read()
+    of = made.join(member, F.col("fp") == F.col("node"), "left").withColumn("set", F.coalesce("component", "fp"))
+    best = of.groupBy("set").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("m")).select(F.col("m.id").alias("b_id"), F.col("m.h").alias("b_h"))
+    whole = docs.select(key[0].alias("id"), key[1].alias("h"), F.struct(*docs.columns).alias("row"))
+    return whole.join(best, F.col("id").eqNullSafe(F.col("b_id")) & (F.col("h") == F.col("b_h")), "left_semi").dropDuplicates(["id", "h"]).select("row.*")
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        f = np.fromiter((fingerprint(x.as_py()) for x in b.column(2)), np.uint64, b.num_rows)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f.view(np.int64))], ["id", "h", "fp"])
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _named(text: str | None) -> tuple[int, np.ndarray]:
+    """A set's name, a hash of it, and its shingles' hashes in order."""
+    h = np.unique(shingles(text, WORDS))
+    return _signed(xxhash.xxh64_intdigest(h.tobytes())), h
+
+
+SETS = "id long, h long, name long, n long, fp long, first array<long>"
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     num, den = ALIKE
     for b in batches:
         rows = []
-        for text in b.column(0):
-            h = np.unique(shingles(text.as_py(), WORDS))
-            raw = h.tobytes()
-            name = np.array([xxhash.xxh64_intdigest(raw)], np.uint64).view(np.int64)[0].item()
+        for text in b.column(2):
+            name, h = _named(text.as_py())
             # a set that overlaps by num/den of this one at least holds one of its first hashes
-            rows.append((name, len(h), np.array([_bits(h)], np.uint64).view(np.int64)[0].item(), h[: len(h) - -(-len(h) * num // den) + 1].view(np.int64), raw))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], ["name", "n", "fp", "first", "raw"])
+            rows.append((name, len(h), _signed(_bits(h)), h[: len(h) - -(-len(h) * num // den) + 1].view(np.int64)))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        found = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *found], [x.split()[0] for x in SETS.split(", ")])
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [(name, h.tobytes()) for name, h in (_named(x.as_py()) for x in b.column(0))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["name", "raw"])
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that may reach the similarity, by what their first hashes show of their differences.
+
+    Up to the smaller of the last of both first hashes, all hashes of both sets are known, so
+    those that one set alone holds there are at most as many as the similarity allows in all.
+    """
+    num, den = ALIKE
+    for b in batches:
+        keep = []
+        for m, n, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
+            x, y = (z.values.to_numpy().view(np.uint64) for z in (x, y))
+            ends = [z[-1] for z, size in ((x, m), (y, n)) if len(z) < size]
+            if ends:
+                x, y = (z[: np.searchsorted(z, min(ends), side="right")] for z in (x, y))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            need = -(-(m + n) * num // (num + den))
+            keep.append(len(x) + len(y) - 2 * both <= m + n - 2 * need)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,25 +312,35 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def similar(sets: DataFrame) -> DataFrame:
-    """(node, component) of sets (name, n, fp, first, raw; one row a set) that a chain of similar ones links.
+def similar(sets: DataFrame, whole: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) of sets (name, n, fp, first; one row a set) that a chain of similar ones links.
 
     First the smallest holder of a hash is compared with its other holders, then, of those
-    that this hasn't joined, all pairs; a group of near copies so costs few pairs.
+    that this hasn't joined, all pairs; a group of near copies so costs few pairs. Only sets
+    that are in a pair to verify are read whole: whole gives (name, raw) for names.
     """
     num, den = ALIKE
     heads = sets.select(F.explode("first").alias("g"), F.struct("name", "n", "fp").alias("x"))
-    shared = heads.join(heads.groupBy("g").agg(F.count("*").alias("c"), F.min("x").alias("m")).filter("c > 1").drop("c"), "g")
-    shared = Scratch(shared, "simhash-shared").read()
-    raw = sets.select("name", "raw")
+    common = Scratch(heads.groupBy("g").count().filter("count > 1").select("g"), "simhash-common").read()
+    shared = Scratch(heads.join(common, "g", "left_semi"), "simhash-shared").read()
+    least = shared.groupBy(F.col("g").alias("of")).agg(F.min("x").alias("m"))
+
+    def sided(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
+        """pairs (a, b) with columns of both of their sets."""
+        for side in ("a", "b"):
+            pairs = pairs.join(of.select(F.col("name").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
+        return pairs.select("a", "b", *[f"{c}_{side}" for c in columns for side in ("a", "b")])
 
     def verified(pairs: DataFrame) -> DataFrame:
         near = (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= WIDE) & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
         found = pairs.filter(near & (F.col("x.name") != F.col("y.name"))).select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct()
-        found = found.join(raw.select(F.col("name").alias("a"), F.col("raw").alias("p")), "a").join(raw.select(F.col("name").alias("b"), F.col("raw").alias("q")), "b")
-        return Scratch(found.select("a", "b", "p", "q").mapInArrow(_alike, "a long, b long"), "simhash-alike").read()
+        found = Scratch(found, "simhash-pairs").read()
+        found = Scratch(sided(found, sets, "n", "first").mapInArrow(_possible, "a long, b long"), "simhash-possible").read()
+        names = found.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+        raw = Scratch(whole(names), "simhash-whole").read()
+        return Scratch(sided(found, raw, "raw").mapInArrow(_alike, "a long, b long"), "simhash-alike").read()
 
-    stars = verified(shared.select("x", F.col("m").alias("y")))
+    stars = verified(shared.join(least, F.col("g") == F.col("of")).select("x", F.col("m").alias("y")))
     joined = Scratch(connected_components(stars), "simhash-joined").read()
     placed = shared.select("g", "x").join(joined, F.col("x.name") == F.col("node"), "left").select("g", "x", F.coalesce("component", "x.name").alias("set"))
     # a hash all of whose holders are joined already needs no pairs
@@ -302,41 +355,22 @@ def keep_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """docs with one row of each group of similar texts: that of the smallest id, null last; columns stay.
 
     Texts are similar whose five-word shingles have a Jaccard similarity of at least 0.8;
-    those without words are one group. Rows that repeat in id and text count as one.
+    those without words are one group. Rows that repeat in id and text count as one; of rows
+    of one id the one whose text has the smallest hash stays. Other columns may have any name.
     """
-    # sets are made once for the candidates; rows find theirs by its name
-    named = docs.withColumn("__set", _name_udf()(F.col(text_col)))
-    rows = Scratch(named.select(F.col(id_col).cast("long").alias("id"), "__set", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h")), "simhash-rows").read()
-    sets = Scratch(docs.select(text_col).mapInArrow(_sets, "name long, n long, fp long, first array<long>, raw binary").dropDuplicates(["name"]), "simhash-sets").read()
-    member = Scratch(similar(sets.filter("n > 0")), "simhash-members").read()
-    of = rows.join(member, F.col("__set") == F.col("node"), "left").withColumn("set", F.coalesce("component", "__set"))
-    best = of.groupBy("set").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "__set")).alias("m")).select(F.col("m.id").alias("__id"), F.col("m.h").alias("__h"))
-    best = Scratch(best, "simhash-kept").read()
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    kept = docs.withColumn("__k", F.col(id_col).cast("long")).withColumn("__t", key)
-    kept = kept.join(best, F.col("__k").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__h")), "left_semi")
-    return kept.dropDuplicates(["__k", "__t"]).select(*docs.columns)
-
-
-def _name_udf():
-    from pyspark.sql.pandas.functions import pandas_udf
-
-    @pandas_udf("long")
-    def name(texts):
-        import pandas as pd
-
-        return pd.Series(np.fromiter((xxhash.xxh64_intdigest(np.unique(shingles(t, WORDS)).tobytes()) for t in texts), np.uint64, len(texts)).view(np.int64))
-
-    return name
-
-
-def _fp_udf():
-    from pyspark.sql.pandas.functions import pandas_udf
-
-    @pandas_udf("long")
-    def fp(texts):
-        import pandas as pd
-
-        return pd.Series(np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts)).view(np.int64))
-
-    return fp
+    key = [F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))]
+    rows = Scratch(docs.select(key[0].alias("id"), key[1].alias("h"), F.col(text_col).alias("text")).mapInArrow(_sets, SETS), "simhash-rows").read()
+    handle = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+
+    def at(best: DataFrame) -> DataFrame:
+        """The rows of docs with an id and a text of best (m), each as a row of its columns."""
+        return docs.select(key[0].alias("id"), key[1].alias("h"), F.struct(*docs.columns).alias("row")).join(best.select(F.col("m.id").alias("b_id"), F.col("m.h").alias("b_h")).distinct(), F.col("id").eqNullSafe(F.col("b_id")) & (F.col("h") == F.col("b_h")), "left_semi")
+
+    def whole(names: DataFrame) -> DataFrame:
+        return at(rows.join(names, "name", "left_semi").groupBy("name").agg(F.min(handle).alias("m"))).select(F.col("row")[text_col].alias("text")).mapInArrow(_whole, "name long, raw binary").dropDuplicates(["name"])
+
+    sets = Scratch(rows.filter("n > 0").select("name", "n", "fp", "first").dropDuplicates(["name"]), "simhash-sets").read()
+    member = Scratch(similar(sets, whole), "simhash-members").read()
+    of = rows.select("id", "h", "name").join(member, F.col("name") == F.col("node"), "left").withColumn("set", F.coalesce("component", "name"))
+    best = Scratch(of.groupBy("set").agg(F.min(handle).alias("m")), "simhash-kept").read()
+    return at(best).dropDuplicates(["id", "h"]).select("row.*")
