@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +51,16 @@ def delete_path(spark: SparkSession, path: str) -> None:
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+
+
 class Scratch:
     """A table written once and read again: it survives lost executors and cuts lineage.
 
@@ -57,12 +69,8 @@ class Scratch:
 
     def __init__(self, df: DataFrame, label: str):
         self.spark, self.path = df.sparkSession, scratch_path(df.sparkSession, label)
-        before = self.spark.conf.get(CLEAN_UP, "false")
-        self.spark.conf.set(CLEAN_UP, "true")
-        try:
+        with _tidy(self.spark):
             df.write.option("compression", "zstd").parquet(self.path)
-        finally:
-            self.spark.conf.set(CLEAN_UP, before)
         self.schema = df.schema
 
     def read(self) -> DataFrame:
@@ -78,7 +86,8 @@ class Buckets:
     def __init__(self, df: DataFrame, key: str, buckets: int, label: str):
         self.spark, self.path = df.sparkSession, scratch_path(df.sparkSession, label)
         self.name = f"trellis_{uuid.uuid4().hex}"
-        df.write.format("parquet").option("compression", "zstd").option("path", self.path).bucketBy(buckets, key).saveAsTable(self.name)
+        with _tidy(self.spark):
+            df.write.format("parquet").option("compression", "zstd").option("path", self.path).bucketBy(buckets, key).saveAsTable(self.name)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -117,6 +126,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if tuple(sums) == mark:
             break
         mark = tuple(sums)
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     stars = now.read()
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -31,9 +31,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Buckets, Scratch
 
-CHUNK_TOKENS, PART_BYTES = 1_000_000, 24 << 20
+CHUNK_TOKENS, PART_BYTES = 600_000, 12 << 20
 EXACT = 64
 #: Hashed like words; neither can be one.
 END, START = xxhash.xxh64_intdigest(b" "), xxhash.xxh64_intdigest(b"")
@@ -391,8 +391,9 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
     asked = rows.mapInArrow(_requests(parts, folds), REQUESTS)
-    # kept by part with what they ask, so that later passes need no shuffle of requests
-    requests = Scratch(asked.repartition(parts, "part"), "hpyp-requests").read()
+    # bucketed by part, so that later passes need no shuffle of requests
+    buckets = max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    requests = Buckets(asked.repartition(buckets, "part"), "part", buckets, "hpyp-requests").read()
     counted = Scratch(requests.groupBy("part").applyInArrow(_merge(parts), PART), "hpyp-counts").read()
     g = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "pairs", "ones", "twos")]).first()
     by_home = lambda df, *names: df.select("part", F.posexplode(F.arrays_zip(*names)).alias("home", "z")).select("part", "home", "z.*")
