@@ -150,10 +150,35 @@ def test_incremental_equals_rebuild(spark):
     assert [r.seq for r in work_order(rows(spark, "priority string, seq long", ("background", 1), ("immediate", 3), ("immediate", 2))).collect()] == [2, 3, 1]
 
 
+def test_changes_stay_in_their_project(spark):
+    """Equal paths in two projects: one project's change leaves the other's rows."""
+    base = small(spark)
+    other = {"symbols": base.symbols.withColumn("id", F.col("id") + 1000).withColumn("project_id", F.lit(2).cast("long")), "refs": base.refs.withColumn("id", F.col("id") + 1000).withColumn("symbol_id", F.col("symbol_id") + 1000).withColumn("in_project_id", F.lit(2).cast("long"))}
+    calls = rows(spark, "id long, caller_symbol_id long, callee_symbol_id long, call_site_file string", (1, 10, 0, "/f1.cs"), (2, 1010, 1000, "/f1.cs"))
+    both = base.replace(symbols=base.symbols.unionByName(other["symbols"]), refs=base.refs.unionByName(other["refs"]), call_graph=calls)
+    listing = rows(spark, "project_id long, file_path string, content_hash string", (1, "/f0.cs", "h"), (1, "/f1.cs", "new"), (1, "/f2.cs", "h"))
+    fresh = {"symbols": base.symbols.filter("file_path = '/f1.cs'")}
+    done = apply_changes(both, changed_files(base.file_index, listing), fresh)
+    assert sorted(r.id for r in done.refs.filter("in_project_id = 2").collect()) == [1100, 1101, 1102, 1103]
+    assert done.refs.filter("in_project_id = 1 and file_path = '/f1.cs'").isEmpty()
+    assert [r.id for r in done.call_graph.collect()] == [2]
+
+
+def test_marked_letters_fold_alike(spark):
+    words = ["čas", "şehir", "władzę", "Žluťoučký", "őrült", "ștefan", "ψυχή", "ёлка", "e\u0301t\u00e9"]
+    df = rows(spark, "id long, a string", *[(k, f"x {w.upper()} y") for k, w in enumerate(words)])
+    for k, w in enumerate(words):
+        assert {r.id for r in bm25(df, "id", ("a",), w).collect()} == {k}, w
+
+
 def test_versions_and_envelope(spark, tmp_path):
     ix = small(spark)
     publish(ix, str(tmp_path / "v"))
     assert rebuilt_equals(read_current(spark, str(tmp_path / "v")), ix)
+    for sig in ("u", "v", "w"):  # within one tick of a clock
+        last = small(spark, sig=sig)
+        publish(last, str(tmp_path / "v"))
+        assert rebuilt_equals(read_current(spark, str(tmp_path / "v")), last)
     text = envelope(ix.refs.limit(1)).head().json
     assert '"result_count":1' in text and "context_snippet" not in text
     assert '"message":"none"' in envelope(ix.refs.filter("false"), message="none").head().json
@@ -163,6 +188,8 @@ def test_versions_and_envelope(spark, tmp_path):
 def test_files(spark):
     src = rows(spark, "file_path string, text string", ("a.cs", "int x; // TODO: one\n/* hack\n two */\n// nothing"))
     assert {(r.line, r.tag, r.text) for r in extract_comments(src).collect()} == {(1, "TODO", "one"), (2, "HACK", "two")}
+    odd = rows(spark, "file_path string, text string", ("s.cs", 'a = "http://TODO: b"; // TODO: c\r\n/* TODO: same */\nx\n/* TODO: same */ var v = @"q "" // HACK: no";\nchar k = \'"\'; // FIXME: d \n/* open'), ("n.cs", None), ("e.cs", ""), ("long.cs", '"' + "x" * 200_000 + '"\n' * 50 + "// NOTE: end"))
+    assert sorted((r.file_path, r.line, r.tag, r.text) for r in extract_comments(odd).collect()) == [("long.cs", 51, "NOTE", "end"), ("s.cs", 1, "TODO", "c"), ("s.cs", 2, "TODO", "same"), ("s.cs", 4, "TODO", "same"), ("s.cs", 5, "FIXME", "d")]
     mods = submodules(rows(spark, "line string", " 1234567abc libs/x (v1)", "+89abcdef0 libs/y", "noise"))
     assert {tuple(r) for r in mods.collect()} == {("libs/x", "1234567abc"), ("libs/y", "89abcdef0")}
     files = rows(spark, "file_path string", "LIBS/X/a.cs", "libs/xy/a.cs")

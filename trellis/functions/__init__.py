@@ -12,6 +12,7 @@ from .text import (
     csv_list,
     file_name,
     fold_accents,
+    fold_text,
     is_generated,
     is_ignored,
     like_contains,

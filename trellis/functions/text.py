@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -171,16 +172,27 @@ def like_prefix(column: str | Column, prefix: str) -> Column:
     return F.ilike(_c(column), F.lit(prefix.replace("\\", "\\\\") + "%"))
 
 
-#: Latin letters with marks, and those letters without.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+def _marked() -> dict[str, str]:
+    """Small letters of Latin, Greek and Cyrillic that Unicode takes apart into a letter and marks, and those letters."""
+    places = (*range(0xC0, 0x530), *range(0x1E00, 0x2000))
+    apart = {chr(k): unicodedata.normalize("NFD", chr(k)) for k in places}
+    return {c: d[0] for c, d in apart.items() if c == c.lower() and len(d) > 1 and all(map(unicodedata.combining, d[1:]))}
+
+
+MARKED = _marked()
+ACCENTED, PLAIN = "".join(MARKED), "".join(MARKED.values())
 
 
 def fold_accents(text: str | Column) -> Column:
-    """Lower case, without the marks of Latin letters, composed or combining."""
+    """Lower case, without the marks of Latin, Greek and Cyrillic letters, composed or combining."""
     return F.translate(F.regexp_replace(F.lower(_c(text)), r"\p{Mn}+", ""), ACCENTED, PLAIN)
 
 
+def fold_text(text: str) -> str:
+    """fold_accents of a text at hand, such as a query."""
+    return "".join(MARKED.get(c, c) for c in text.lower() if unicodedata.category(c) != "Mn")
+
+
 def tokens(text: str | Column) -> Column:
     """Words of a full-text column: runs of letters and digits, folded."""
     return F.filter(F.split(fold_accents(F.coalesce(_c(text), F.lit(""))), r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")

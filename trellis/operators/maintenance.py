@@ -10,8 +10,8 @@ from ..schemas import KEYS
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
-    """table with rows put in; of rows with equal keys the last by order wins, and keeps the id of the row it replaces."""
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(order)).alias("r")).select("r.*")
+    """table with rows put in; of rows with equal keys the last by order, then by all columns, wins, and keeps the id of the row it replaces."""
+    last = rows.groupBy(*keys).agg(F.max(F.struct(F.col(order).alias("order"), F.struct(*rows.columns).alias("r"))).alias("m")).select("m.r.*")
     if "id" in table.columns and "id" not in keys:
         held = table.groupBy(*keys).agg(F.min("id").alias("__held"))
         last = last.join(held, list(keys), "left").withColumn("id", F.coalesce("__held", "id")).drop("__held")
@@ -19,8 +19,9 @@ def upsert(table: DataFrame, rows: DataFrame, keys: tuple[str, ...], order: str)
 
 
 def insert_ignore(table: DataFrame, rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """table with those rows whose keys it lacks, each once."""
-    return table.unionByName(rows.dropDuplicates(list(keys)).join(table, list(keys), "left_anti").select(*table.columns))
+    """table with those rows whose keys it lacks, each once: the first by all columns."""
+    first = rows.groupBy(*keys).agg(F.min(F.struct(*rows.columns)).alias("r")).select("r.*")
+    return table.unionByName(first.join(table, list(keys), "left_anti").select(*table.columns))
 
 
 def append(table: DataFrame, rows: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Index
-from ..functions import tokens
+from ..functions import fold_text, tokens
 from .scope import with_scope
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -46,7 +46,7 @@ def parse_query(text: str) -> Query:
             negative = bare == "NOT"
             continue
         prefix = bool(star) or bare.endswith("*")
-        words = tuple(re.findall(r"[^\W_]+", _fold(quoted or bare)))
+        words = tuple(re.findall(r"[^\W_]+", fold_text(quoted or bare)))
         if words:
             (q.none_of if negative else now).append((words, prefix))
         negative = False
@@ -55,12 +55,6 @@ def parse_query(text: str) -> Query:
     return q
 
 
-def _fold(text: str) -> str:
-    import unicodedata
-
-    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
-
-
 def _phrase(post: DataFrame, words: tuple[str, ...], prefix: bool) -> DataFrame:
     """(id, tf) of a phrase: its words in consecutive places of one column."""
     runs = None

@@ -14,15 +14,23 @@ def content_hashes(spark: SparkSession, path: str, pattern: str = "*.cs") -> Dat
     return files.filter(~is_ignored("path") & ~is_generated("path")).select(F.col("path").alias("file_path"), F.sha2("content", 256).alias("content_hash"))
 
 
+#: What a source text is made of, read from the left: strings, characters, comments, and runs without any of them.
+SOURCE_PARTS = r"""(?s)(@"(?:[^"]++|"")*+"|"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)++'|//[^\r\n]*+|/\*.*?\*/|[^"'/@]++|.)"""
+
+
 def extract_comments(files: DataFrame, path_col: str = "file_path", text_col: str = "text") -> DataFrame:
-    """(file_path, line, tag, text) of tagged // comments, and of /* */ comments by the line on which they begin."""
-    text = F.col(text_col)
-    lines = files.select(F.col(path_col).alias("file_path"), F.posexplode(F.split(text, r"\r?\n")).alias("pos", "l"))
-    single = lines.select("file_path", (F.col("pos") + 1).alias("line"), F.regexp_extract("l", r"(//.*)$", 1).alias("c"))
-    blocks = files.select(F.col(path_col).alias("file_path"), F.posexplode(F.regexp_extract_all(text, F.lit(r"(?s)(/\*.*?\*/)"), 1)).alias("k", "c"), text.alias("t"))
-    before = F.expr(r"substring_index(t, c, 1)")
-    multi = blocks.select("file_path", (F.size(F.split(before, "\n"))).alias("line"), "c")
-    every = single.unionByName(multi).withColumn("tag", comment_tag("c"))
+    """(file_path, line, tag, text) of tagged // and /* */ comments, by the line on which they begin.
+
+    A text is cut into its parts once, from the left, so what stands in a string is no comment;
+    line ends are counted on the way. A null text has none.
+    """
+    parts = files.select(F.col(path_col).alias("file_path"), F.regexp_extract_all(F.col(text_col), F.lit(SOURCE_PARTS), 1).alias("parts"))
+    found = F.expr(r"""
+      aggregate(parts, struct(1 as line, cast(array() as array<struct<line: int, c: string>>) as found),
+        (a, x) -> struct(a.line + length(x) - length(replace(x, '\n', '')) as line,
+                         if(startswith(x, '//') or (startswith(x, '/*') and length(x) > 1), array_append(a.found, struct(a.line as line, x as c)), a.found) as found),
+        a -> a.found)""")
+    every = parts.select("file_path", F.explode(found).alias("f")).select("file_path", "f.line", "f.c").withColumn("tag", comment_tag("c"))
     return every.filter(F.col("tag") != "").select("file_path", "line", "tag", comment_text("c").alias("text"))
 
 

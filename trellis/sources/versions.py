@@ -29,11 +29,33 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+POINTERS = "number long, version string"
+
+
+def _pointers(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(POINTERS).parquet(f"{root}/current")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def publish(ix: Index, root: str) -> str:
-    """Writes ix as a new version under root, then names it current; readers keep the version they began with."""
-    version = uuid.uuid4().hex
+    """Writes ix as a new version under root, then names it current; readers keep the version they began with.
+
+    Versions are numbered; of two that are published at once under one number the smaller name
+    holds, and the other's writer is told.
+    """
+    from pyspark.sql import functions as F
+
+    version, spark = uuid.uuid4().hex, ix.spark
     ix.write(f"{root}/versions/{version}")
-    ix.spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").parquet(f"{root}/current")
+    last = _pointers(spark, root).agg(F.max("number")).first()[0] if _exists(spark, f"{root}/current") else None
+    number = (last or 0) + 1
+    spark.createDataFrame([(number, version)], POINTERS).coalesce(1).write.mode("append").parquet(f"{root}/current")
+    if _pointers(spark, root).filter(F.col("number") == number).agg(F.min("version")).first()[0] != version:
+        raise RuntimeError("another version was published at the same time; publish again")
     return version
 
 
@@ -42,5 +64,4 @@ def read_current(spark: SparkSession, root: str) -> Index:
 
     from ..catalog import Index
 
-    names = spark.read.schema("version string").parquet(f"{root}/current").select("version", F.col("_metadata.file_modification_time").alias("t"))
-    return Index.read(spark, f"{root}/versions/{names.orderBy(F.desc('t'), 'version').head().version}")
+    return Index.read(spark, f"{root}/versions/{_pointers(spark, root).orderBy(F.desc('number'), 'version').head().version}")

@@ -10,8 +10,8 @@ from ..operators.graph import dependent_files
 from ..operators.maintenance import cascade_delete, delete_keys, upsert
 from ..schemas import KEYS
 
-#: Tables whose rows belong to a file.
-BY_FILE = {"refs": "file_path", "comments": "file_path", "call_graph": "call_site_file"}
+#: Tables whose rows belong to a file of a project, and where they name the two.
+BY_FILE = {"refs": ("in_project_id", "file_path"), "comments": ("project_id", "file_path")}
 
 
 def changed_files(known: DataFrame, listing: DataFrame) -> DataFrame:
@@ -51,10 +51,14 @@ def apply_changes(ix: Index, changes: DataFrame, fresh: dict[str, DataFrame]) ->
     held = own.join(new.select("project_id", "fqn"), ["project_id", "fqn"], "left_anti").select("id")
     out = cascade_delete(ix, symbols=held)
     tables: dict[str, DataFrame] = {"symbols": upsert(out.symbols, new, KEYS["symbols"], "last_indexed_at")}
-    paths = files.select("file_path").distinct()
-    for name, column in BY_FILE.items():
-        rest = delete_keys(out[name], paths, {column: "file_path"})
+    for name, (project, path) in BY_FILE.items():
+        rest = delete_keys(out[name], files, {project: "project_id", path: "file_path"})
         tables[name] = rest.unionByName(fresh[name]) if name in fresh else rest
+    # a call is of its caller's project
+    callers = ix.symbols.select(F.col("id").alias("caller_symbol_id"), "project_id")
+    made = out.call_graph.join(callers, "caller_symbol_id").join(files.withColumnRenamed("file_path", "call_site_file"), ["project_id", "call_site_file"], "left_semi")
+    rest = delete_keys(out.call_graph, made.select("id"), {"id": "id"})
+    tables["call_graph"] = rest.unionByName(fresh["call_graph"]) if "call_graph" in fresh else rest
     calls = tables["call_graph"].select(F.col("id").alias("call_graph_id"))
     for name in ("argument_flow", "return_flow"):
         rest = out[name].join(calls, "call_graph_id", "left_semi")
