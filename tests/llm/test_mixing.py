@@ -56,3 +56,16 @@ def test_mix_emits_the_copies(spark):
             want[r.id, r.source] = want.get((r.id, r.source), 0) + r.copies
     assert got == want
     assert mixing.mix(df.filter(F.lit(False))).count() == 0 and mixing.plan(df.filter(F.lit(False))).count() == 0
+
+
+def test_any_column_names(spark):
+    """Names that the operators use inside don't clash with columns of the table."""
+    from trellis.llm import lines
+
+    names = ["row", "source_of", "copies", "copy", "rate", "of", "draw", "__mix_rate", "lost", "__lost", "lines", "new", "l_id", "h", "id", "text_hash"]
+    docs = spark.createDataFrame([(k, "a b c d e\nsame line of words here\n" + str(k), f"s{k % 2}", *[f"v{k}"] * len(names)) for k in range(6)], ", ".join(["doc_id long", "text string", "source string", *[f"{n} string" for n in names]]))
+    mixed, cut = mixing.mix(docs), lines.dedup(docs)
+    assert mixed.columns == docs.columns == cut.columns
+    assert all(r.row == f"v{r.doc_id}" == r["__mix_rate"] for r in mixed.collect())
+    assert sorted((r.doc_id, r.lost, r.text) for r in cut.collect()) == [(k, f"v{k}", "a b c d e\nsame line of words here\n0" if not k else str(k)) for k in range(6)]
+    assert mixing.mix(docs.limit(0)).count() == 0 == lines.dedup(docs.limit(0)).count()
