@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from trellis.llm import hpyp, language, quality
@@ -148,3 +149,43 @@ def test_language_evidence(spark):
     assert language.identify(df.filter(F.lit(False)), language.fit(docs)).count() == 0
     assert language.identify(df, language.fit(docs.filter(F.lit(False)))).count() == 0
     assert language.host_of("https://u@Blog.Example.CO:8/x") == ("blog.example.co", "example.co", "co")
+
+
+def test_many_languages_and_long_texts(spark):
+    rng = random.Random(1)
+    texts = [(k, " ".join(f"{k % 60}w{rng.randrange(50)}" for _ in range(40)), f"l{k % 60:02d}") for k in range(240)]
+    docs = spark.createDataFrame([*texts, (999, " ".join(f"q{rng.randrange(90)}z" for _ in range(20_000)), "long")], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert len(model.languages) == 61
+    pages = spark.createDataFrame([(1, "http://a.b/x", "<p>7w1 7w2 7w3 7w4 7w5</p>"), (2, None, "q1z q2z q3z q4z q5z"), (3, None, None)], "page_id long, url string, html string")
+    got = {r.page_id: r.language for r in language.identify(pages, model).collect()}
+    assert got[1] == "l07" and got[2] == "long" and len(got) == 3
+    with pytest.raises(ValueError):
+        language.fit(docs, most_languages=60)
+
+
+def test_language_posteriors_equal_a_plain_sum(spark):
+    """The fused probabilities against a plain computation from the same likelihoods."""
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(k, prose(rng, ("en", "fr")[k % 2]), ("en", "fr")[k % 2]) for k in range(60)], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    rows = [(k, f"http://h{k % 3}.s{k % 2}.{('fr', 'org')[k % 2]}/", f'<html lang="{("en", "fr", "xx")[k % 3]}">{prose(rng, ("en", "fr")[k % 2])[:9]}</html>') for k in range(12)]
+    got = {r.page_id: (r.language, r.probability) for r in language.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()}
+    n, q, lls, keys = len(model.languages), [], [], []
+    for _, url, html in rows:
+        total = sum((model.logp[g].sum(0, dtype=np.float64) for g in language.grams(language.plain(html))), np.zeros(n))
+        ll = np.maximum((total - total.max()) * language.WEIGHT, -language.BOUND)
+        lls.append(ll)
+        q.append(np.exp(ll - ll.max()) / np.exp(ll - ll.max()).sum())
+        host, domain, suffix = language.host_of(url)
+        keys.append({"h": host, "d": domain, "s": suffix, "m": language._LANG.search(html)[1]})
+    total, pages_n = sum(q), float(len(rows))
+    share = (total + 1 / n) / (pages_n + 1)
+    for k in range(len(rows)):
+        held = {m: sum(q[j] for j in range(len(rows)) if keys[j][m] == keys[k][m]) for m in "hdsm"}
+        less = {m: np.maximum(x - q[k], 0) for m, x in held.items()}
+        domain = (less["d"] + 4 * share) / (less["d"].sum() + 4)
+        prior = (less["h"] + 2 * domain) / (less["h"].sum() + 2)
+        post = lls[k] + np.log(prior) + sum(np.log((less[m] + 4 * held[m].sum() / pages_n) / (total + 4)) for m in "sm")
+        post = np.exp(post - post.max()) / np.exp(post - post.max()).sum()
+        assert got[k][0] == model.languages[int(post.argmax())] and abs(got[k][1] - post.max()) < 1e-9

@@ -73,15 +73,19 @@ def train(texts: list[tuple[str, str]]) -> Texts:
 def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 400, longest: int = 32768, most_languages: int = 200) -> Texts:
     """Models from a sample of labelled texts: about per_language rows of each language by a hash, of up to longest bytes.
 
-    The bounds are parameters, and so is the number of languages, the most frequent first.
+    The bounds are parameters; a longer text is drawn by its beginning. More than most_languages
+    languages, for which the models would be too large, raise an error.
     """
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    share = {r.lang: min(1.0, per_language / r.n) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    share = {r.lang: min(1.0, per_language / r.n) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
+    if len(share) > most_languages:
+        raise ValueError(f"there are more than {most_languages} languages; raise most_languages")
     if not share:
         return train([])
     rate = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang"))
     draw = F.pmod(F.xxhash64("id", "lang"), F.lit(1 << 30)) / (1 << 30)
-    got = rows.filter((F.octet_length("text") <= longest) & F.col("lang").isin(list(share)) & (draw < rate)).select("lang", "text").limit(2 * per_language * len(share)).collect()
+    short = F.when(F.octet_length("text") > longest, F.substring("text", 1, longest // 4)).otherwise(F.col("text")).alias("text")
+    got = rows.select("id", "lang", short).filter(F.col("lang").isin(list(share)) & (draw < rate)).select("lang", "text").limit(2 * per_language * len(share)).collect()
     return train(sorted((r.lang, r.text) for r in got))
 
 
@@ -126,33 +130,31 @@ def identify(pages: DataFrame, model: Texts, *, id_col: str = "page_id", url_col
     base = Scratch(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_evidence(model), EVIDENCE), "language-evidence").read()
     if not k:
         return base.filter(F.lit(False)).select("page_id", "host", "declared", "suffix", F.lit("").alias("text_language"), F.lit("").alias("language"), F.lit(0.0).alias("probability"))
-    names = range(k)
-    soft = lambda xs: [F.exp(x - F.greatest(*xs, F.lit(-1e300))) for x in xs]
-    w = soft([F.col("ll")[i] for i in names])
-    own = base.select("*", *[(w[i] / sum(w, F.lit(0.0))).alias(f"q{i}") for i in names])
-    total = own.agg(*[F.coalesce(F.sum(f"q{i}"), F.lit(0.0)) for i in names]).first()
+    # one value a language, in arrays, so that the plan is the same for any number of languages
+    total_of = lambda x: F.expr(f"aggregate({x}, 0D, (a, b) -> a + b)")
+    even = lambda df, x, out: df.withColumn(out, F.expr(f"transform({x}, x -> exp(x - greatest(array_max({x}), -1e300D)))")).withColumn(f"{out}_sum", total_of(out)).withColumn(out, F.expr(f"transform({out}, x -> x / {out}_sum)"))
+    own = even(base, "ll", "q")
+    found = {r.i: r.s for r in own.select(F.posexplode("q").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("s")).collect()}
+    total = [found.get(i, 0.0) for i in range(k)]
     pages_n = max(sum(total), 1e-9)
     share = [(t + 1 / k) / (pages_n + 1) for t in total]
 
     def sums(key: str, mark: str) -> DataFrame:
-        return own.groupBy(F.col(key).alias(f"{mark}_key")).agg(*[F.sum(f"q{i}").alias(f"{mark}{i}") for i in names])
+        each = own.select(F.col(key).alias(f"{mark}_key"), F.posexplode("q").alias("i", "v")).groupBy(f"{mark}_key", "i").agg(F.sum("v").alias("s"))
+        return each.groupBy(f"{mark}_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda x: x.s).alias(mark))
 
     rows = own
     for key, mark in (("host", "h"), ("domain", "d"), ("suffix", "s"), ("declared", "m")):
         rows = rows.join(sums(key, mark), F.col(key) == F.col(f"{mark}_key"))
-    c = lambda mark, i: F.col(f"{mark}{i}")
-    less = lambda mark, i: F.greatest(c(mark, i) - F.col(f"q{i}"), F.lit(0.0))
-    n = lambda mark: sum((less(mark, i) for i in names), F.lit(0.0))
-    whole = lambda mark: sum((c(mark, i) for i in names), F.lit(0.0))
-    log_post = []
-    for i in names:
-        domain = (less("d", i) + strength * share[i]) / (n("d") + strength)
-        prior = (less("h", i) + host_strength * domain) / (n("h") + host_strength)
-        # a value's probability given the language, smoothed by its share of all pages
-        given = [(less(m, i) + strength * whole(m) / pages_n) / (total[i] + strength) for m in ("s", "m")]
-        log_post.append(F.col("ll")[i] + F.log(prior) + F.log(given[0]) + F.log(given[1]))
-    post = soft(log_post)
-    best = lambda xs: F.element_at(F.array(*[F.lit(x) for x in model.languages]), F.array_position(F.array(*xs), F.array_max(F.array(*xs))).cast("int"))
-    scored = rows.select("page_id", "host", "declared", "suffix", best([F.col(f"q{i}") for i in names]).alias("text_language"), *[(post[i] / sum(post, F.lit(0.0))).alias(f"p{i}") for i in names])
-    p = [F.col(f"p{i}") for i in names]
-    return scored.select("page_id", "host", "declared", "suffix", "text_language", best(p).alias("language"), F.array_max(F.array(*p)).alias("probability"))
+        rows = rows.withColumn(f"{mark}_less", F.expr(f"zip_with({mark}, q, (a, b) -> greatest(a - b, 0D))")).withColumn(f"{mark}_n", total_of(f"{mark}_less")).withColumn(f"{mark}_whole", total_of(mark))
+    listed = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    rows = rows.withColumn("share", listed(share)).withColumn("total", listed(total))
+    domain = f"((d_less[i] + {strength} * share[i]) / (d_n + {strength}))"
+    prior = f"((h_less[i] + {host_strength} * {domain}) / (h_n + {host_strength}))"
+    # a value's probability given the language, smoothed by its share of all pages
+    given = [f"(({m}_less[i] + {strength} * {m}_whole / {pages_n!r}D) / (total[i] + {strength}))" for m in ("s", "m")]
+    rows = rows.withColumn("evidence", F.expr(f"transform(ll, (x, i) -> x + ln({prior}) + ln({given[0]}) + ln({given[1]}))"))
+    scored = even(rows, "evidence", "p")
+    languages = F.array(*[F.lit(x) for x in model.languages])
+    best = lambda x: F.element_at(languages, F.array_position(x, F.array_max(x)).cast("int"))
+    return scored.select("page_id", "host", "declared", "suffix", best("q").alias("text_language"), best("p").alias("language"), F.array_max("p").alias("probability"))
