@@ -131,8 +131,8 @@ oracle("find_by_signature", f"x AS (SELECT id, fqn, signature FROM @symbols WHER
 oracle("find_by_signature_strict", f"SELECT id, fqn, signature FROM @symbols WHERE kind IN ('method', 'constructor') AND signature ILIKE '%void %' AND {COUNT} = 2 ORDER BY id LIMIT 50")
 XU, NU = HAS.format("global::Xunit.FactAttribute"), HAS.format("global::NUnit.Framework.TestAttribute")
 TESTS = f"tests AS (SELECT s.*, CASE WHEN {XU} THEN 'xunit' ELSE 'nunit' END AS framework FROM @symbols s WHERE ({XU}) OR ({NU}))"
-oracle("find_tests_all", f"{TESTS} --- SELECT id, fqn, framework FROM tests ORDER BY id LIMIT 1000")
-oracle("find_tests_framework", f"{TESTS} --- SELECT id, fqn, framework FROM tests WHERE framework = 'nunit' ORDER BY id LIMIT 1000")
+oracle("find_tests_all", f"{TESTS} --- SELECT id, fqn, framework FROM tests")
+oracle("find_tests_framework", f"{TESTS} --- SELECT id, fqn, framework FROM tests WHERE framework = 'nunit'")
 USED = "used AS (SELECT r.symbol_id, t.id AS test FROM @refs r JOIN tests t ON t.file_path = r.file_path AND r.line BETWEEN t.line_start AND t.line_end)"
 oracle("find_tests_for_symbol", f"{TESTS}, {USED} --- SELECT id, fqn, framework FROM tests WHERE id IN (SELECT test FROM used WHERE symbol_id = (SELECT min(symbol_id) FROM used)) ORDER BY id LIMIT 50")
 oracle("find_tests_fallback", f"{TESTS} --- SELECT id, fqn, framework FROM tests WHERE contains(lower(display_name), 'type1') OR contains(lower(split_part(split_part(fqn, '(', 1), '.', -2)), 'type1') ORDER BY id LIMIT 500")
@@ -171,7 +171,7 @@ def _bm25(rows: str, text: str, words: list[str], every: bool) -> str:
 
 
 TEXT = "coalesce(display_name, '') || ' ' || coalesce(doc_comment, '')"
-oracle("bm25_symbols", _bm25("SELECT * FROM @symbols", TEXT, ["brand", "type1"], True) + " --- SELECT id, round(score, 6) AS score FROM hits ORDER BY hits.score DESC, id LIMIT 20")
+oracle("bm25_symbols", _bm25("SELECT * FROM @symbols", TEXT, ["widget", "economy"], True) + " --- SELECT id, round(score, 6) AS score FROM hits ORDER BY hits.score DESC, id LIMIT 20")
 oracle("bm25_kind_filter", _bm25("SELECT * FROM @symbols", TEXT, ["m1", "type1", "type2"], False) + " --- SELECT id, kind, round(score, 6) AS score FROM hits JOIN @symbols s USING (id) WHERE kind = 'class' ORDER BY hits.score DESC, id LIMIT 20")
 oracle("find_symbol_fuzzy", _bm25("SELECT * FROM @symbols", TEXT, ["m1", "m2", "type1"], False) + " --- SELECT s.id, fqn, p.canonical_id AS project, round(score, 6) AS score FROM (SELECT * FROM hits ORDER BY score DESC, id LIMIT 20) h JOIN @symbols s ON s.id = h.id JOIN @projects p ON p.id = s.project_id")
 oracle("bm25_documents", _bm25("SELECT doc_id AS id, text FROM documents", "text", ["the", "with"], True) + " --- SELECT id AS doc_id, round(score, 6) AS score FROM hits ORDER BY hits.score DESC, id LIMIT 25")

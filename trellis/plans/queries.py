@@ -292,12 +292,12 @@ def find_by_signature_strict(ix):
 
 @query
 def find_tests_all(ix):
-    return op.find_tests(ix, max_results=1000).select("id", "fqn", "framework")
+    return op.find_tests(ix, max_results=None).select("id", "fqn", "framework")
 
 
 @query
 def find_tests_framework(ix):
-    return op.find_tests(ix, framework="nunit", max_results=1000).select("id", "fqn", "framework")
+    return op.find_tests(ix, framework="nunit", max_results=None).select("id", "fqn", "framework")
 
 
 def _tested(ix):
@@ -361,7 +361,7 @@ def namespace_symbols(ix):
 
 @query
 def bm25_symbols(ix):
-    return op.semantic_search(ix, "brand Type1", max_results=20).select("id", F.round("score", 6).alias("score"))
+    return op.semantic_search(ix, "widget economy", max_results=20).select("id", F.round("score", 6).alias("score"))
 
 
 @table_query
