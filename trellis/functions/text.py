@@ -136,8 +136,8 @@ def test_framework(attributes: Column) -> Column:
 
 
 def package_of_path(path: str | Column) -> Column:
-    """Segment after `packages` of a path; null without one."""
-    return F.nullif(F.regexp_extract(F.regexp_replace(_c(path), r"\\", "/"), r"(?i)(?:^|/)packages/([^/]+)", 1), F.lit(""))
+    """Segment between a folder `packages` and a further one of a path; null without one."""
+    return F.nullif(F.regexp_extract(F.regexp_replace(_c(path), r"\\", "/"), r"(?i)(?:^|/)packages/([^/]+)/", 1), F.lit(""))
 
 
 nuget_package = package_of_path

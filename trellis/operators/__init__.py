@@ -6,6 +6,7 @@ from .maintenance import append, cascade_delete, delete_keys, insert_ignore, set
 from .references import find_references, group_counts, grouped_references, trace_destinations, trace_origins
 from .scope import with_scope
 from .search import bm25, doc_stats, match_terms, parse_query, postings, semantic_search
+from .source import with_context, with_declaration
 from .symbols import (
     daemon_status,
     enclosing_symbols,
@@ -18,6 +19,7 @@ from .symbols import (
     find_unreferenced,
     freshness,
     index_status,
+    service_status,
     namespace_symbols,
     namespace_tree,
     resolve_citations,

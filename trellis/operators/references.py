@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import Index
 from ..schemas import ACCESS_KINDS
 from .scope import project_names, with_scope
+from .source import with_context
 
 #: Columns by which references group.
 GROUP_KEYS = {"project": "project", "file": "file_path", "kind": "reference_kind"}
@@ -17,11 +18,11 @@ def _first(ix: Index, fqn: str) -> DataFrame:
     return ix.symbols.filter(F.col("fqn") == fqn).orderBy("id").limit(1)
 
 
-def find_references(ix: Index, symbol_fqn: str, include_projects: str | None = None, scope: str | None = None, access_kind: str | None = None) -> DataFrame:
+def find_references(ix: Index, symbol_fqn: str, include_projects: str | None = None, scope: str | None = None, access_kind: str | None = None, source: DataFrame | None = None) -> DataFrame:
     """References to the first symbol of a name, with the canonical id of their project.
 
     include_projects: comma-separated canonical ids, of which unknown ones find nothing. An
-    access kind that is none of the known ones filters nothing.
+    access kind that is none of the known ones filters nothing. With source (file_path, text) each has the lines around it.
     """
     target = _first(ix, symbol_fqn).select(F.col("id").alias("symbol_id"))
     rows = ix.refs.join(target, "symbol_id", "left_semi")
@@ -32,7 +33,8 @@ def find_references(ix: Index, symbol_fqn: str, include_projects: str | None = N
     rows = with_scope(ix, rows, scope, project_col="in_project_id")
     if access_kind is not None and access_kind.lower() in ACCESS_KINDS:
         rows = rows.filter(F.col("access_kind") == access_kind.lower())
-    return project_names(ix, rows, "in_project_id")
+    rows = project_names(ix, rows, "in_project_id")
+    return rows if source is None else with_context(rows, source)
 
 
 def group_counts(refs: DataFrame, keys: list[str]) -> DataFrame:

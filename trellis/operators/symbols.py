@@ -10,13 +10,15 @@ from ..functions import attribute_list, citations, containing_type, count_parame
 from ..schemas import MEMBER_KINDS, TEST_ATTRIBUTES, TEST_FRAMEWORKS, TYPE_KINDS
 from .scope import in_project, project_names, project_named, with_scope
 from .search import match_terms
+from .source import with_declaration
 
 
-def find_symbol(ix: Index, name: str, kind: str | None = None, project_id: str | None = None, fuzzy: bool = False, scope: str | None = None) -> DataFrame:
+def find_symbol(ix: Index, name: str, kind: str | None = None, project_id: str | None = None, fuzzy: bool = False, scope: str | None = None, source: DataFrame | None = None) -> DataFrame:
     """Exact: the first symbol of a qualified name, in a project if given; kind doesn't count.
 
     Fuzzy: the best matches of a full-text query, of a kind if given; the project doesn't count.
-    Either way the scope filters what was found.
+    Either way the scope filters what was found. With source (file_path, text) each has the
+    lines of its declaration.
     """
     if fuzzy:
         where = None if kind is None else F.lower("kind") == kind.lower()
@@ -24,7 +26,8 @@ def find_symbol(ix: Index, name: str, kind: str | None = None, project_id: str |
         rows = ix.symbols.join(F.broadcast(found), "id")
     else:
         rows = in_project(ix, ix.symbols.filter(F.col("fqn") == name), project_id).orderBy("id").limit(1)
-    return project_names(ix, with_scope(ix, rows, scope))
+    rows = project_names(ix, with_scope(ix, rows, scope))
+    return rows if source is None else with_declaration(rows, source)
 
 
 def file_symbols(ix: Index, file_path: str) -> DataFrame:
@@ -64,6 +67,17 @@ def daemon_status(query) -> dict:
     return {"running": bool(query is not None and query.isActive), "status": query.status if query is not None else None, "last_batch": None if last is None else last["batchId"], "rows_per_second": None if last is None else last.get("processedRowsPerSecond")}
 
 
+def service_status(ix: Index, queue: DataFrame, state: str = "idle", phase: str | None = None, started_at: int | None = None) -> DataFrame:
+    """One row: the state of an index service, with its queue (priority) counted by level and the last time of indexing."""
+    level = lambda now: F.count(F.when((F.col("priority") == "immediate") == now, 1))
+    waiting = queue.agg(level(True).alias("queued_files"), level(False).alias("background_tasks"))
+    last = ix.projects.agg(F.max(F.when(F.col("last_indexed_at") > 0, F.col("last_indexed_at"))).alias("last_indexed_at"), F.count("*").alias("project_count"))
+    start = F.lit(started_at).cast("long")
+    # both sides are one row
+    both = waiting.join(F.broadcast(last), F.lit(True))
+    return both.select(F.lit(state).alias("state"), "queued_files", "background_tasks", "last_indexed_at", "project_count", F.lit(phase).cast("string").alias("phase"), start.alias("indexing_started_at"), (F.unix_millis(F.current_timestamp()) - start).alias("elapsed_ms"))
+
+
 def find_by_attribute(ix: Index, attribute_fqn: str, kind: str | None = None, scope: str | None = None) -> DataFrame:
     """Symbols that carry an attribute, by name; attributes that aren't a JSON array of texts count for nothing."""
     rows = ix.symbols.filter(F.array_contains(attribute_list("attributes"), attribute_fqn))

@@ -204,3 +204,40 @@ oracle("count_parameters", f"SELECT id, ({COUNT})::BIGINT AS parameters FROM @sy
 oracle("name_parts", f"""
   SELECT id, regexp_extract(fqn, '^(.*)\\.[^.]*$', 1) AS namespace, split_part(split_part(fqn, '(', 1), '.', -1) AS simple, regexp_extract(split_part(fqn, '(', 1), '^(.*)\\.[^.]*$', 1) AS holder,
          regexp_replace(split_part(file_path, '/', -1), '\\.[^.]*$', '') AS stem, ({RANK.format('accessibility')})::BIGINT AS rank FROM @symbols""")
+
+#: CTE l(file_path, content, k): lines of the files, numbered.
+FILES = "t AS (SELECT file_path, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM @file_texts), ls AS (SELECT file_path, CASE WHEN text = '' THEN [] ELSE string_split(regexp_replace(text, '\\n$', ''), chr(10)) END AS ls FROM t), l AS (SELECT file_path, unnest(ls) AS content, unnest(generate_series(1, len(ls))) AS k FROM ls)"
+oracle("find_symbol_source", f"{FILES} --- SELECT s.id, p.canonical_id AS project, s.line_end, l.k AS line_number, l.content FROM (SELECT * FROM @symbols WHERE kind = 'class' ORDER BY id LIMIT 1) s JOIN @projects p ON p.id = s.project_id JOIN l ON l.file_path = s.file_path AND l.k BETWEEN s.line_start AND s.line_end")
+oracle("find_references_source", f"{TOP_REF}, {FILES} --- SELECT r.file_path, r.line, r.reference_kind, r.access_kind, l.k AS line_number, l.content FROM @refs r JOIN top ON r.symbol_id = top.id JOIN l ON l.file_path = r.file_path AND abs(l.k - r.line) <= 3")
+oracle("call_hierarchy_source", _walk("SELECT callee_symbol_id AS src, caller_symbol_id AS dst, id AS e FROM @call_graph", "SELECT callee_symbol_id FROM @call_graph GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1", 2) + f", {FILES} --- SELECT e AS edge_id, l.k AS line_number, l.content FROM walk JOIN @call_graph c ON c.id = e JOIN l ON l.file_path = c.call_site_file AND abs(l.k - c.call_site_line) <= 3")
+oracle("test_projects", "SELECT id, canonical_id, (id IN (SELECT project_id FROM @assemblies WHERE reference ILIKE '%xunit%' OR reference ILIKE '%nunit%' OR reference ILIKE '%mstest.testframework%' OR reference ILIKE '%microsoft.net.test.sdk%'))::INT AS is_test_project FROM @projects")
+oracle("dependency_kinds", """
+  SELECT d.consumer_project_id, d.dependency_project_id, CASE WHEN p.n_regionkey = 1 THEN 'submodule_ref' ELSE 'project_ref' END AS reference_kind, CASE WHEN p.n_regionkey = 1 THEN 'c0ffee' || p.id END AS submodule_pinned_commit
+  FROM @project_dependencies d JOIN @projects p ON p.id = d.dependency_project_id
+  UNION ALL SELECT project_id, 0, 'nuget_ref', regexp_extract(reference, '(?i)/packages/([^/]+)/', 1) FROM @assemblies WHERE reference ILIKE '%/packages/%'""")
+oracle("submodule_report", "SELECT 'lib/' || n_name AS path, md5(n_name) AS commit FROM nation WHERE n_nationkey % 4 <> 3")
+oracle("file_submodules", "SELECT f.file_path, 'SRC/' || upper(p.assembly_name) || '/' AS submodule FROM (SELECT DISTINCT file_path FROM @symbols) f LEFT JOIN @projects p ON p.id % 2 = 0 AND starts_with(lower(f.file_path), 'src/' || lower(p.assembly_name) || '/')")
+oracle("comment_extract", """
+  SELECT p_partkey::VARCHAR AS file_path, c.line::BIGINT AS line, c.tag, CASE c.line WHEN 2 THEN p_name WHEN 3 THEN p_type WHEN 5 THEN p_name WHEN 6 THEN 'a b' ELSE p_brand END AS text
+  FROM part, (VALUES (2, 'TODO'), (3, 'FIXME'), (5, 'TODO'), (6, 'HACK'), (8, 'NOTE')) c(line, tag)""")
+oracle("context_snippets", r"d AS (SELECT doc_id, text, greatest(length(text) // 10 - 60, 0) AS a, least(length(text) // 5 + 60, length(text)) AS b FROM documents) --- SELECT doc_id, substr(trim(regexp_replace(substr(text, a + 1, b - a), '\s+', ' ', 'g')), 1, 120) AS snippet FROM d")
+oracle("cited_names", "SELECT id, split_part(fqn, '(', 1) AS name FROM @symbols UNION ALL SELECT id, 'global::Org0.None' FROM @symbols")
+oracle("cited_symbols", "SELECT fqn AS citation, min(id) AS id, min_by(file_path, id) AS file_path FROM @symbols WHERE NOT contains(fqn, '(') GROUP BY fqn")
+oracle("profile_names", "n AS (SELECT unnest([p_name, p_brand, p_type, p_type || '_' || p_size, '']) AS name FROM part) --- SELECT name, count(*) AS count, regexp_full_match(name, '[a-zA-Z0-9_-]+')::INT AS valid FROM n GROUP BY 1")
+oracle("target_frameworks", "SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN 'net' || p_size || '.0' END AS framework FROM part")
+oracle("generated_files", r"SELECT p_partkey, p_brand || '/' || e.path AS path, e.generated, e.ignored FROM part, (VALUES ('a/b.cs', 0, 0), ('a/b.G.cs', 1, 0), ('a/B.Designer.cs', 1, 0), ('a/obj/b.cs', 1, 1), ('a\OBJ\b.cs', 1, 1), ('a/bin/b.cs', 0, 1), ('a/.git/x', 0, 1), ('object/b.cs', 0, 0)) e(path, generated, ignored)")
+oracle("resolved_names", "SELECT r.from_symbol_id, r.kind, (SELECT max(x.id) FROM @symbols x WHERE x.fqn = s.fqn) AS to_symbol_id FROM @relationships r JOIN @symbols s ON s.id = r.to_symbol_id WHERE r.to_symbol_id % 7 <> 0")
+oracle("append_rows", "SELECT kind, count(*) AS count FROM (SELECT kind FROM @relationships UNION ALL SELECT kind || '2' FROM @relationships) GROUP BY 1")
+QUEUE = "q AS (SELECT event_id AS seq, CASE WHEN event_type = 'click' THEN 'immediate' ELSE 'background' END AS priority FROM events)"
+oracle("queue_head", f"{QUEUE} --- SELECT * FROM q ORDER BY priority DESC, seq LIMIT 100")
+oracle("service_report", f"{QUEUE} --- SELECT 'indexing' AS state, count(*) FILTER (priority = 'immediate') AS queued_files, count(*) FILTER (priority <> 'immediate') AS background_tasks, (SELECT max(last_indexed_at) FROM @projects) AS last_indexed_at, (SELECT count(*) FROM @projects) AS project_count, 'extract' AS phase, NULL::BIGINT AS indexing_started_at, NULL::BIGINT AS elapsed_ms FROM q")
+oracle("apply_changes_counts", """
+  f AS (SELECT project_id, file_path FROM @symbols WHERE kind IN ('class', 'interface') AND id % 5 = 1),
+  own AS (SELECT s.id FROM @symbols s JOIN f USING (project_id, file_path)),
+  gone AS (SELECT id FROM own WHERE id % 3 = 0),
+  r AS (SELECT r.*, f.file_path IS NOT NULL AS changed FROM @refs r LEFT JOIN f ON f.project_id = r.in_project_id AND f.file_path = r.file_path)
+  --- SELECT 'symbols' AS table_name, count(*) AS rows FROM @symbols WHERE id NOT IN (SELECT id FROM gone)
+  UNION ALL SELECT 'refs', count(*) FROM r WHERE CASE WHEN changed THEN line <= 100 AND symbol_id % 3 <> 0 ELSE symbol_id NOT IN (SELECT id FROM gone) END
+  UNION ALL SELECT 'relationships', count(*) FROM @relationships WHERE from_symbol_id NOT IN (SELECT id FROM own) AND to_symbol_id NOT IN (SELECT id FROM gone)
+  UNION ALL SELECT 'call_graph', count(*) FROM @call_graph WHERE caller_symbol_id NOT IN (SELECT id FROM own) AND callee_symbol_id NOT IN (SELECT id FROM gone)
+  UNION ALL SELECT 'comments', count(*) FROM @comments WHERE (project_id, file_path) NOT IN (SELECT (project_id, file_path) FROM f)""")

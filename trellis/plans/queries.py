@@ -14,7 +14,9 @@ from ..operators import maintenance
 from ..operators.graph import call_hierarchies
 from ..operators.scope import project_names
 from ..operators.search import match_terms
-from ..sources.star import from_star
+from ..sources.dependencies import classify_dependencies, mark_test_projects
+from ..sources.files import assign_submodules, extract_comments, submodules
+from ..sources.star import from_star, star_view
 from ..streaming import incremental, stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -473,3 +475,167 @@ def count_parameters(ix):
 @query
 def name_parts(ix):
     return ix.symbols.select("id", fn.namespace_of("fqn").alias("namespace"), fn.simple_name("fqn").alias("simple"), fn.containing_type("fqn").alias("holder"), fn.file_name("file_path", False).alias("stem"), fn.accessibility_rank("accessibility").cast("long").alias("rank"))
+
+
+def source_query(f: Callable[[Index, DataFrame], DataFrame]):
+    """A query of an index and the texts of its files."""
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(from_star(spark, sf_dir), star_view(spark, sf_dir, "file_texts"))
+    return f
+
+
+def _context(rows, *keys):
+    """One row a line of source_context."""
+    return rows.select(*keys, F.explode("source_context.lines").alias("l")).select(*keys, F.col("l.line_number").cast("long").alias("line_number"), F.col("l.content").alias("content"))
+
+
+@source_query
+def find_symbol_source(ix, files):
+    name = ix.symbols.filter("kind = 'class'").orderBy("id").head().fqn
+    return _context(op.find_symbol(ix, name, source=files), "id", "project", "line_end")
+
+
+@source_query
+def find_references_source(ix, files):
+    rows = op.find_references(ix, _busiest(ix, ix.refs, "symbol_id"), source=files)
+    return _context(rows, "file_path", "line", "reference_kind", "access_kind")
+
+
+@source_query
+def call_hierarchy_source(ix, files):
+    rows = op.call_hierarchy(ix, _busiest(ix, ix.call_graph, "callee_symbol_id"), "callers", 2, source=files)
+    return _context(rows, "edge_id")
+
+
+@table_query
+def test_projects(spark, sf_dir):
+    """Projects whose references name a test framework."""
+    projects = star_view(spark, sf_dir, "projects").select("id", "canonical_id")
+    return mark_test_projects(projects, star_view(spark, sf_dir, "assemblies")).select("id", "canonical_id", F.col("is_test_project").cast("int").alias("is_test_project"))
+
+
+@table_query
+def dependency_kinds(spark, sf_dir):
+    """References of projects as project, submodule or package dependencies; each project names those of the table of dependencies."""
+    projects = star_view(spark, sf_dir, "projects").select("id", F.col("repo_relative_path").alias("file_path"))
+    named = star_view(spark, sf_dir, "project_dependencies").select(F.col("consumer_project_id").alias("project_id"), F.col("dependency_project_id").alias("id"))
+    modules = star_view(spark, sf_dir, "projects").filter("n_regionkey = 1").select(F.concat(F.lit("SRC\\"), F.upper("assembly_name")).alias("path"), F.concat(F.lit("c0ffee"), "id").alias("commit"))
+    return classify_dependencies(projects, named.join(projects, "id").select("project_id", "file_path"), modules, star_view(spark, sf_dir, "assemblies"))
+
+
+@table_query
+def submodule_report(spark, sf_dir):
+    """Folders and commits of a status report with a line for each nation, and lines that are none."""
+    n = _read(spark, sf_dir, "nation")
+    mark = F.element_at(F.array(*map(F.lit, (" ", "+", "-", "?"))), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    line = F.concat(mark, F.md5("n_name"), F.lit(" lib/"), "n_name", F.when(F.col("n_nationkey") % 2 == 0, " (heads/main)").otherwise(""))
+    return submodules(n.select(line.alias("line")))
+
+
+@query
+def file_submodules(ix):
+    """Files of symbols and the submodule whose folder holds them."""
+    modules = ix.projects.filter("id % 2 = 0").select(F.concat(F.lit("SRC/"), F.upper("assembly_name"), F.lit("/")).alias("path"))
+    return assign_submodules(ix.symbols.select("file_path").distinct(), modules)
+
+
+@table_query
+def comment_extract(spark, sf_dir):
+    """Tagged comments of a source text for each part: in strings, on one line, over lines, twice."""
+    p = _read(spark, sf_dir, "part")
+    text = F.concat(F.lit('var s = "// TODO no"; // plain\r\n// todo: '), "p_name", F.lit("\n/* FIXME "), "p_type", F.lit(" */ x();\n\n// todo: "), "p_name", F.lit("\n/*\n HACK: a\n b*/ // NOTE "), "p_brand")
+    rows = extract_comments(p.select(F.col("p_partkey").cast("string").alias("file_path"), text.alias("text")))
+    return rows.select("file_path", F.col("line").cast("long").alias("line"), "tag", F.regexp_replace("text", r"\s+", " ").alias("text"))
+
+
+@table_query
+def context_snippets(spark, sf_dir):
+    """Text around the span from a tenth to a fifth of each document."""
+    d = _read(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").alias("n"))
+    return d.select("doc_id", fn.snippet("text", F.floor(F.col("n") / 10).cast("int"), F.floor(F.col("n") / 5).cast("int")).alias("snippet"))
+
+
+def _answers(ix):
+    """A text for each symbol, that cites it twice, and another."""
+    return ix.symbols.select("id", F.concat(F.lit("See `"), "fqn", F.lit("`; "), "fqn", F.lit(", not global::Org0.None or global::")).alias("text"))
+
+
+@query
+def cited_names(ix):
+    return _answers(ix).select("id", F.explode(fn.citations("text")).alias("name"))
+
+
+@query
+def cited_symbols(ix):
+    return op.resolve_citations(ix, _answers(ix), "text").select("citation", "id", "file_path")
+
+
+@table_query
+def profile_names(spark, sf_dir):
+    p = _read(spark, sf_dir, "part")
+    forms = F.explode(F.array("p_name", "p_brand", "p_type", F.concat("p_type", F.lit("_"), "p_size"), F.lit(""))).alias("name")
+    return p.select(forms).groupBy("name").agg(F.count("*").alias("count")).select("name", "count", fn.valid_profile("name").cast("int").alias("valid"))
+
+
+@table_query
+def target_frameworks(spark, sf_dir):
+    """The framework of a project file for each part: one, several or none."""
+    p = _read(spark, sf_dir, "part")
+    k = F.col("p_partkey") % 3
+    inner = F.when(k == 0, F.concat(F.lit("<TargetFramework> net"), "p_size", F.lit(".0 </TargetFramework>"))).when(k == 1, F.concat(F.lit("<TargetFrameworks>net"), "p_size", F.lit(".0;net1.0</TargetFrameworks>"))).otherwise("")
+    xml = F.concat(F.lit("<Project><PropertyGroup>"), inner, F.lit("</PropertyGroup></Project>"))
+    return p.select("p_partkey", fn.target_framework(xml).alias("framework"))
+
+
+@table_query
+def generated_files(spark, sf_dir):
+    """Paths that count as generated, and those in folders that aren't watched."""
+    p = _read(spark, sf_dir, "part")
+    ends = ("a/b.cs", "a/b.G.cs", "a/B.Designer.cs", "a/obj/b.cs", "a\\OBJ\\b.cs", "a/bin/b.cs", "a/.git/x", "object/b.cs")
+    rows = p.select("p_partkey", F.explode(F.array(*[F.concat("p_brand", F.lit("/" + e)) for e in ends])).alias("path"))
+    return rows.select("p_partkey", "path", fn.is_generated("path").cast("int").alias("generated"), fn.is_ignored("path").cast("int").alias("ignored"))
+
+
+@query
+def resolved_names(ix):
+    """Relationships written by name, some to names that nothing has."""
+    name = F.when(F.col("to_symbol_id") % 7 == 0, F.concat("fqn", F.lit("?"))).otherwise(F.col("fqn")).alias("target")
+    edges = ix.relationships.join(ix.symbols.select(F.col("id").alias("to_symbol_id"), "fqn"), "to_symbol_id").select("from_symbol_id", "kind", name)
+    return maintenance.resolve_names(edges, ix.symbols, "target", "to_symbol_id").select("from_symbol_id", "kind", "to_symbol_id")
+
+
+@query
+def append_rows(ix):
+    more = ix.relationships.withColumn("kind", F.concat("kind", F.lit("2")))
+    return maintenance.append(ix.relationships, more).groupBy("kind").agg(F.count("*").alias("count"))
+
+
+def _queue(spark, sf_dir):
+    e = _read(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "click", "immediate").otherwise("background").alias("priority"))
+
+
+@table_query
+def queue_head(spark, sf_dir):
+    """The next 100 items of a queue."""
+    return incremental.work_order(_queue(spark, sf_dir)).limit(100)
+
+
+@table_query
+def service_report(spark, sf_dir):
+    return op.service_status(from_star(spark, sf_dir), _queue(spark, sf_dir), "indexing", "extract").select("state", "queued_files", "background_tasks", "last_indexed_at", "project_count", "phase", "indexing_started_at", "elapsed_ms")
+
+
+@query
+def apply_changes_counts(ix):
+    """Rows of each table after a fifth of the files has changed: a third of their symbols is gone, and references at later lines."""
+    files = ix.symbols.filter("kind in ('class', 'interface') and id % 5 = 1").select("project_id", "file_path")
+    changes = files.withColumn("content_hash", F.lit("new")).withColumn("change", F.lit("changed"))
+    stay = ix.symbols.join(files, ["project_id", "file_path"], "left_semi").filter("id % 3 <> 0")
+    seen = ix.refs.join(files.withColumnRenamed("project_id", "in_project_id"), ["in_project_id", "file_path"], "left_semi").filter("line <= 100 and symbol_id % 3 <> 0")
+    after = incremental.apply_changes(ix, changes, {"symbols": stay, "refs": seen.select(*ix.refs.columns)})
+    names = ("symbols", "refs", "relationships", "call_graph", "comments")
+    rows = [after[t].select(F.lit(t).alias("table_name")) for t in names]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.groupBy("table_name").agg(F.count("*").alias("rows"))

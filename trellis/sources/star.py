@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..catalog import Index
 from ..config import Config
+from ..schemas import TABLES
 
 
 def _t(sql: str) -> str:
@@ -60,9 +62,10 @@ VIEWS: dict[str, str] = {k: _t(v) for k, v in {
                case l_linenumber % 4 when 0 then 'read' when 1 then 'write' when 2 then 'readwrite' else null end as access_kind
         from {lineitem} join {types} t on t.s_suppkey = l_suppkey""",
     "call_graph": """
-        select caller_symbol_id, callee_symbol_id, call_site_line, caller_symbol_id * 100000000000 + callee_symbol_id * 1000 + call_site_line as id
+        select caller_symbol_id, callee_symbol_id, m.file_path as call_site_file, call_site_line, caller_symbol_id * 100000000000 + callee_symbol_id * 1000 + call_site_line as id
         from (select distinct 1000000 + l_partkey as caller_symbol_id, 1000000 + (l_partkey * 7 + l_linenumber * 13) % k.n as callee_symbol_id, cast(l_orderkey % 200 + 1 as int) as call_site_line
-              from {lineitem} cross join (select count(*) as n from {part}) k) x""",
+              from {lineitem} cross join (select count(*) as n from {part}) k) x
+        join {members} m on m.id = x.caller_symbol_id""",
     "relationships": """
         select c.id as from_symbol_id, b.id as to_symbol_id, 'inherits' as kind from {types} c join {types} b on b.s_suppkey * 3 + 1 = c.s_suppkey
         union all select c.id, b.id, 'inherits' from {types} c join {types} b on b.s_suppkey * 3 + 2 = c.s_suppkey
@@ -95,6 +98,11 @@ VIEWS: dict[str, str] = {k: _t(v) for k, v in {
                case when call_site_line % 4 = 0 then 'v' else null end as destination_variable from {call_graph} where call_site_line % 5 <> 0""",
     "solutions": "select cast(r_regionkey + 1 as bigint) as id, 'org' || #r_regionkey# || '.sln' as file_path, r_name as name from {region}",
     "solution_projects": "select cast(n_regionkey + 1 as bigint) as solution_id, id as project_id from {projects}",
+    "file_texts": "select t.file_path, d.text from {types} t join {documents} d on d.doc_id = t.s_suppkey",
+    "assemblies": """
+        select p_partkey % 25 + 1 as project_id, case p_partkey % 3 when 0 then 'C:/Users/u/.nuget/packages/' when 1 then '/root/.nuget/Packages/' else '/usr/lib/' end
+               || case when p_partkey % 97 = 0 then 'XUnit.Core' else replace(p_name, ' ', '.') end || '/1.' || #p_size# || '/lib/a.dll' as reference
+        from {part}""",
     "file_index": "select doc_id as id, doc_id % 25 + 1 as project_id, 'doc' || #doc_id# as file_path, <<text>> as content_hash from {documents}",
 }.items()}
 
@@ -105,8 +113,8 @@ def spark_sql(view: str) -> str:
     return re.sub(r"<<(.*?)>>", r"substr(sha2(\1, 256), 1, 16)", VIEWS[view], flags=re.S)
 
 
-def from_star(spark: SparkSession, sf_dir: str, config: Config | None = None) -> Index:
-    """The index of the star-schema tables under a folder; a table is planned when it is first asked for."""
+def _views(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
+    """The derived tables by name, each planned when it is first asked for."""
     made: dict[str, DataFrame] = {}
 
     def get(name: str) -> DataFrame:
@@ -118,4 +126,15 @@ def from_star(spark: SparkSession, sf_dir: str, config: Config | None = None) ->
                 made[name] = spark.sql(spark_sql(name), **{u: get(u) for u in uses})
         return made[name]
 
-    return Index(spark, {n: (lambda n=n: get(n)) for n in VIEWS if n not in ("types", "members")}, config)
+    return get
+
+
+def from_star(spark: SparkSession, sf_dir: str, config: Config | None = None) -> Index:
+    """The index of the star-schema tables under a folder."""
+    get = _views(spark, sf_dir)
+    return Index(spark, {n: (lambda n=n: get(n)) for n in VIEWS if n in TABLES}, config)
+
+
+def star_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived table that is none of an index's."""
+    return _views(spark, sf_dir)(name)
