@@ -16,6 +16,7 @@ from trellis.operators import maintenance
 from trellis.operators.search import bm25
 from trellis.schemas import TABLES
 from trellis.sources import assign_submodules, envelope, extract_comments, publish, read_current, submodules
+from trellis.sources.dependencies import classify_dependencies, mark_test_projects
 from trellis.streaming import apply_changes, changed_files, debounced, maintain, rebuilt_equals, work_order
 
 
@@ -216,3 +217,24 @@ def test_debounce(spark, tmp_path):
 
 def test_tables_have_schemas():
     assert {"projects", "symbols", "refs", "snapshots", "return_flow"} <= set(TABLES)
+
+
+def test_source_lines(spark):
+    files = spark.createDataFrame([("a", "one\r\ntwo\rthree\n\nfive\n"), ("b", ""), ("c", None)], "file_path string, text string")
+    rows = spark.createDataFrame([(1, "a", 1, 2), (2, "a", 4, 9), (3, "a", 8, 9), (4, "b", 1, 1), (5, "x", 1, 1), (6, "c", 1, 1), (7, None, 1, 1)], "k int, file_path string, line_start int, line_end int")
+    lines = lambda c: None if c is None else (c.start_line, c.end_line, [(x.line_number, x.content) for x in c.lines])
+    told = {r.k: lines(r.source_context) for r in op.with_declaration(rows, files).collect()}
+    assert told[1] == (1, 2, [(1, "one"), (2, "two")]) and told[2] == (4, 9, [(4, ""), (5, "five")]) and told[3] == (8, 9, []) and told[4] == (1, 1, [])
+    assert told[5] is None and told[6] is None and told[7] is None
+    near = {r.k: lines(r.source_context) for r in op.with_context(rows, files, line="line_start", context_lines=1).collect()}
+    assert near[1] == (1, 2, [(1, "one"), (2, "two")]) and near[2] == (3, 5, [(3, "three"), (4, ""), (5, "five")]) and near[3] == (7, 5, [])
+
+
+def test_project_references(spark):
+    projects = spark.createDataFrame([(1, "src/a.csproj"), (2, "Lib/one/b.csproj"), (3, "libother/c.csproj")], "id long, file_path string")
+    refs = spark.createDataFrame([(1, "C:\\u\\.nuget\\PACKAGES\\MyXunit.Core\\2.0\\x.dll"), (2, "/usr/lib/System.dll"), (3, "/n/packages/last"), (3, None)], "project_id long, reference string")
+    assert {r.id: r.is_test_project for r in mark_test_projects(projects, refs).collect()} == {1: True, 2: False, 3: False}
+    named = spark.createDataFrame([(1, "Lib/one/b.csproj"), (1, "libother/c.csproj"), (2, "gone.csproj"), (9, "src/a.csproj")], "project_id long, file_path string")
+    modules = spark.createDataFrame([("lib", "c0ffee")], "path string, commit string")
+    got = {tuple(r) for r in classify_dependencies(projects, named, modules, refs).collect()}
+    assert got == {(1, 2, "submodule_ref", "c0ffee"), (1, 3, "project_ref", None), (1, 0, "nuget_ref", "MyXunit.Core")}
