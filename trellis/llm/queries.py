@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hpyp, jpeg, language, lines, mixing, pieces, quality, simhash, vectors, warc
-from .common import fold_of, table
+from . import chat, hpyp, jpeg, language, lines, mixing, phrases, pieces, quality, repair, simhash, vectors, warc
+from .common import Scratch, fold_of, table
 
 
 def op1_hpyp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,23 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "pages"), language.fit(table(spark, sf_dir, "documents")))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = Scratch(repair.prepared(repair.damage(table(spark, sf_dir, "conversations"))), "repair-rows").read()
+    told = Scratch(repair.reports(rows), "repair-reports").read()
+    return repair.with_hashes(told, repair.turns(rows, told))
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.read_back(Scratch(chat.format_turns(rows), "chat").read())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hpyp": op1_hpyp,
     "op2_vectors": op2_vectors,
@@ -69,4 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_pieces": op9_pieces,
     "op10_language": op10_language,
+    "op11_phrases": op11_phrases,
+    "op12_repair": op12_repair,
+    "op13_chat": op13_chat,
 }
