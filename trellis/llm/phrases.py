@@ -7,9 +7,11 @@ length that start one position later (no others can be part of a longer frequent
 length of the joined list, summed over all chunks, is the longer phrase's exact frequency.
 A chunk's lists lie side by side in order of position, so one merge joins all of them.
 
-Lists stay where they are: from level to level a chunk sends the lengths of its lists, Spark sums
-them by phrase, keeps what is frequent, and an equi-join tells the chunks which of their
-phrases stay. Phrases are known by ids that grow with their number; words are compared as such.
+Lists stay where they are: from level to level a chunk sends the lengths of its lists, by left
+phrase; sorted by it they are summed by phrase, a bounded number at a time, and the chunks are
+told which of their lists stay. A phrase's id is the place of its first list, so that no join has
+to give it out; words are compared as such. The lengths of a frequent left phrase are salted by
+its frequency, which is known by then, so that no more than SALT occurrences meet in a group.
 Chunks are cut anywhere: four words more than a chunk's own are looked at but not counted.
 
 Defined cases: a null text is empty, a null lang is `und`; texts that repeat count as often;
@@ -31,15 +33,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .hpyp import pack, unpack
 
 CHUNK_WORDS, SLICE = 1_000_000, 1 << 20
+#: Bits of a place for the number of a list in its chunk, and of a chunk for its number in its task.
+LIST_BITS, TASK_BITS = 21, 16
+#: Occurrences of a left phrase that share a salt; list lengths summed at a time.
+SALT, MERGED = 1 << 20, 1 << 20
 BREAK = b"."
 #: Lower case for A-Z, a break for each separator, a space for a tab.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else BREAK[0] if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 EDGE = re.compile(rb"[ .]")
 
-CHUNK = "chunk long, lang string, own int, at binary, keys binary, words array<string>, counts array<int>"
-LEVEL = "chunk long, lang string, own int, at binary, keys binary, lefts array<long>, rests array<long>, counts array<int>"
+CHUNK = "chunk long, lang string, own int, size int, at binary, keys binary, words array<string>, counts array<int>"
+TOLD = "chunk long, ks binary, ids binary, fs binary, found array<long>, lefts array<long>, rests array<long>, sums array<long>"
+LEVEL = "chunk long, lang string, own int, size int, at binary, keys binary, groups array<struct<left:long,salt:int,first:int,rests:array<long>,counts:array<int>>>"
+STATE = ("chunk", "lang", "own", "size", "at", "keys")
 
 
 def tokens(text: bytes) -> Iterator[list[bytes]]:
@@ -61,22 +70,14 @@ def _postings(chunk: int, lang: str, held: list[bytes], own: int) -> tuple:
     at = np.flatnonzero(flat)
     keys = flat[at] - 1
     counts = np.bincount(keys[at < own], minlength=len(names) - 1)
-    return chunk, lang, own, _gaps(at), keys.astype(np.uint32).tobytes(), [w.decode() for w in names][1:], counts.tolist()
-
-
-def _gaps(at: np.ndarray) -> bytes:
-    return np.diff(at, prepend=0).astype(np.uint32).tobytes()
-
-
-def _places(gaps: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(gaps, np.uint32), dtype=np.int64)
+    return chunk, lang, own, len(counts), pack(np.diff(at, prepend=0)), pack(keys), [w.decode() for w in names][1:], counts.tolist()
 
 
 def _chunks(most: int, longest: int):
     """Texts, as bytes, cut into chunks by language; in all at most twice `most` words and a slice are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = count(TaskContext.get().partitionId() << 32)
+        ids = count(TaskContext.get().partitionId() << TASK_BITS)
         open_: dict[str, list[bytes]] = defaultdict(list)
         held = 0
         row = lambda lang, words, own: _record(CHUNK, [_postings(next(ids), lang, words, own)])
@@ -109,37 +110,108 @@ def _record(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
-def extend(at: np.ndarray, keys: np.ndarray, ids: np.ndarray, own: int) -> tuple:
-    """Lists of all phrases one word longer: (at, keys, lefts, rests, counts).
+def extend(at: np.ndarray, keys: np.ndarray, ids: np.ndarray, salts: np.ndarray, own: int) -> tuple:
+    """Lists of all phrases one word longer: (at, keys, lefts, salts, rests, counts), lists in order of left and salt.
 
     at, keys: sorted starts of a chunk's phrases and which they are; ids: their ids, -1 for
-    those that aren't frequent. A merge joins each start with the next one, where the phrase
-    without the first word must start; lefts and rests are the ids of the two.
+    those that aren't frequent; salts: how many salts each has as a left phrase. A merge joins
+    each start with the next one, where the phrase without the first word must start; lefts and
+    rests are the ids of the two.
     """
     live = ids[keys] >= 0
     at, keys = at[live], keys[live]
     here = np.flatnonzero(at[1:] == at[:-1] + 1)
-    pair, joined = np.unique(keys[here] * len(ids) + keys[here + 1], return_inverse=True)
-    at = at[here]
-    return at, joined, ids[pair // max(1, len(ids))], ids[pair % max(1, len(ids))], np.bincount(joined[at < own], minlength=len(pair))
-
-
-def _extend(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-    rows = []
-    if left.num_rows and right.num_rows:
-        chunk, lang, own, gaps, keys, size = (left.column(n)[0].as_py() for n in ("chunk", "lang", "own", "at", "keys", "size"))
-        ids = np.full(size, -1, np.int64)
-        ids[right.column("k").to_numpy()] = right.column("id").to_numpy()
-        at, joined, lefts, rests, counts = extend(_places(gaps), np.frombuffer(keys, np.uint32).astype(np.int64), ids, own)
-        if len(lefts):
-            rows.append((chunk, lang, own, _gaps(at), joined.astype(np.uint32).tobytes(), lefts, rests, counts.astype(np.int32)))
-    return pa.Table.from_batches([_record(LEVEL, rows)])
+    n = max(1, len(ids))
+    pair, joined = np.unique(keys[here] * n + keys[here + 1], return_inverse=True)
+    left, rest = pair // n, ids[pair % n]
+    salt = (rest.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % salts[left]
+    order = np.lexsort((salt, left))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    at, joined = at[here], place[joined]
+    return at, joined, ids[left[order]], salt[order], rest[order], np.bincount(joined[at < own], minlength=len(pair))
+
+
+def _groups(lefts: np.ndarray, salts: np.ndarray, rests: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """One cell: the lists of a chunk, those of one left phrase and salt together."""
+    new = np.flatnonzero(np.concatenate(([True], (lefts[1:] != lefts[:-1]) | (salts[1:] != salts[:-1]))))
+    ends = np.append(new, len(lefts)).astype(np.int32)
+    columns = {"left": pa.array(lefts[new]), "salt": pa.array(salts[new].astype(np.int32)), "first": pa.array(new.astype(np.int32))}
+    columns |= {n: pa.ListArray.from_arrays(ends, pa.array(x)) for n, x in (("rests", rests), ("counts", counts.astype(np.int32)))}
+    return pa.ListArray.from_arrays(np.array([0, len(new)], np.int32), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
+
+
+GROUPS = pa.list_(pa.struct([("left", pa.int64()), ("salt", pa.int32()), ("first", pa.int32()), ("rests", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))]))
+
+
+def _extend(key: tuple, state: pa.Table, told: pa.Table) -> pa.Table:
+    fixed = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("own", pa.int32()), ("size", pa.int32()), ("at", pa.binary()), ("keys", pa.binary())])
+    if state.num_rows and told.num_rows:
+        chunk, lang, own, size, gaps, keys = (state.column(n)[0].as_py() for n in STATE)
+        ids, salts = np.full(size, -1, np.int64), np.ones(size, np.int64)
+        for k, i, f in zip(*[told.column(n).to_pylist() for n in ("ks", "ids", "fs")], strict=True):
+            k = unpack(k)
+            ids[k], salts[k] = unpack(i, np.int64), unpack(f, np.int64) // SALT + 1
+        at, joined, *lists = extend(np.cumsum(unpack(gaps), dtype=np.int64), unpack(keys).astype(np.int64), ids, salts, own)
+        if len(at):
+            row = [[chunk], [lang], [own], [len(lists[0])], [pack(np.diff(at, prepend=0))], [pack(joined)]]
+            return pa.Table.from_arrays([*[pa.array(c, t) for c, t in zip(row, fixed.types, strict=True)], _groups(*lists)], names=[*fixed.names, "groups"])
+    return fixed.append(pa.field("groups", GROUPS)).empty_table()
+
+
+def _deal(place: np.ndarray, ids: np.ndarray, fs: np.ndarray) -> Iterator[tuple]:
+    """Rows (chunk, ks, ids, fs) that tell each chunk of its lists at these places."""
+    order = np.argsort(place >> LIST_BITS, kind="stable")
+    chunk = place[order] >> LIST_BITS
+    for part in np.split(order, np.flatnonzero(chunk[1:] != chunk[:-1]) + 1) if len(order) else []:
+        yield int(place[part[0]] >> LIST_BITS), pack(place[part] & (1 << LIST_BITS) - 1), pack(ids[part], np.int64), pack(fs[part], np.int64)
+
+
+def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Frequent words (id, f, places) as rows to the chunks."""
+    for b in batches:
+        sizes, place = b.column(2).value_lengths().to_numpy(), b.column(2).flatten().to_numpy()
+        rows = list(_deal(place, *[np.repeat(b.column(k).to_numpy(), sizes) for k in (0, 1)]))
+        yield _record(TOLD, [(*r, None, None, None, None) for r in rows])
+
+
+def _summed(lists: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
+    """lists: rows (left, rest, place, n), all of the phrases they are of; what chunks are told, and the frequent phrases."""
+    left, rest, place, n = lists[:, np.lexsort((lists[1], lists[0]))]
+    new = np.flatnonzero(np.concatenate(([True], (left[1:] != left[:-1]) | (rest[1:] != rest[:-1]))))
+    f, first = np.add.reduceat(n, new), np.minimum.reduceat(place, new)
+    stay, sizes = f >= least, np.diff(np.append(new, len(left)))
+    all_stay = np.repeat(stay, sizes)
+    rows = [(*r, None, None, None, None) for r in _deal(place[all_stay], np.repeat(first, sizes)[all_stay], np.repeat(f, sizes)[all_stay])]
+    if stay.any():
+        rows.append((None, None, None, None, *[x[stay] for x in (first, left[new], rest[new], f)]))
+        yield _record(TOLD, rows)
+
+
+def _sum_lists(least: int, at_once: int):
+    """Grouped lists in order of (left, salt), summed whole groups at a time."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, groups, size = [], [], 0
+        for b in batches:
+            left, salt, chunk, first = (b.column(k).to_numpy() for k in range(4))
+            sizes = b.column(4).value_lengths().to_numpy()
+            within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            place = np.repeat(chunk << LIST_BITS | first, sizes) + within
+            held.append(np.stack((np.repeat(left, sizes), b.column(4).flatten().to_numpy(), place, b.column(5).flatten().to_numpy().astype(np.int64))))
+            groups.append(np.repeat(salt, sizes))
+            size += len(within)
+            if size >= at_once:
+                lists, salts = np.concatenate(held, 1), np.concatenate(groups)
+                last = np.flatnonzero((lists[0] != lists[0, -1]) | (salts != salts[-1]))
+                cut = last[-1] + 1 if len(last) else 0  # the last group may go on
+                if cut:
+                    yield from _summed(lists[:, :cut], least)
+                held, groups, size = [lists[:, cut:]], [salts[cut:]], lists.shape[1] - cut
+        if size:
+            yield from _summed(np.concatenate(held, 1), least)
 
-def _sent(level: DataFrame, *names: str) -> DataFrame:
-    """(chunk, lang, k, names..., n): one row a list of each chunk; n is its length."""
-    zipped = F.posexplode(F.arrays_zip(*names, "counts")).alias("k", "z")
-    return level.select("chunk", "lang", zipped).select("chunk", "lang", "k", *[F.col(f"z.{n}").alias(n) for n in names], F.col("z.counts").cast("long").alias("n"))
+    return run
 
 
 def frequent_phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", longest: int = 5, least: int = 100, chunk_words: int = CHUNK_WORDS) -> tuple[list[DataFrame], DataFrame]:
@@ -149,29 +221,33 @@ def frequent_phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str =
     one table before, of the phrase without its last and its first word; firsts and lasts
     the frequencies of its first and last 1, 2, ... words, itself included.
     """
+    if chunk_words + longest > 1 << LIST_BITS:
+        raise ValueError(f"a chunk has fewer than {1 << LIST_BITS} words")
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"))
     now = Scratch(rows.mapInArrow(_chunks(chunk_words, longest), CHUNK), "phrases-1")
     sizes = Scratch(now.read().select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")).filter("n > 0"), "phrases-n").read()
-    sent = _sent(now.read(), "words")
-    found = sent.groupBy("lang", "words").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    found = found.select(F.monotonically_increasing_id().alias("id"), "lang", F.col("words").alias("phrase"), "f", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("rest"), F.array("f").alias("firsts"), F.array("f").alias("lasts"))
-    tables = [Scratch(found, "phrases-found").read()]
-    told = sent.join(tables[0].select("id", F.col("lang").alias("f_lang"), F.col("phrase").alias("f_words")), (F.col("words") == F.col("f_words")) & (F.col("lang") == F.col("f_lang"))).select("chunk", "k", "id")
+    words = now.read().select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("k", "z"))
+    words = words.select("lang", F.col("z.words").alias("phrase"), F.shiftleft("chunk", LIST_BITS).bitwiseOR(F.col("k").cast("long")).alias("place"), F.col("z.counts").cast("long").alias("n"))
+    often = words.groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.collect_list("place").alias("places")).filter(F.col("f") >= least)
+    found = Scratch(often.select(F.array_min("places").alias("id"), "lang", "phrase", "f", "places"), "phrases-words").read()
+    none = F.lit(None).cast("long")
+    tables = [found.select("id", "lang", "phrase", "f", none.alias("left"), none.alias("rest"), F.array("f").alias("firsts"), F.array("f").alias("lasts"))]
+    told = found.select("id", "f", "places").mapInArrow(_tell, TOLD)
     for m in range(2, longest + 1):
-        state = now.read().select("chunk", "lang", "own", "at", "keys", F.size("counts").alias("size"))
-        nxt = Scratch(state.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_extend, LEVEL), f"phrases-{m}")
+        nxt = Scratch(now.read().select(*STATE).groupBy("chunk").cogroup(told.select("chunk", "ks", "ids", "fs").groupBy("chunk")).applyInArrow(_extend, LEVEL), f"phrases-{m}")
         now.drop()
         now = nxt
-        sent = _sent(now.read(), "lefts", "rests")
-        sums = sent.groupBy("lefts", "rests").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+        lists = now.read().select("chunk", F.explode("groups").alias("g")).select("g.left", "g.salt", "chunk", "g.first", "g.rests", "g.counts")
+        summed = Scratch(lists.repartition("left", "salt").sortWithinPartitions("left", "salt").mapInArrow(_sum_lists(least, MERGED), TOLD), "phrases-told").read()
+        told = summed.filter("chunk IS NOT NULL")
+        sums = summed.filter("chunk IS NULL").select(F.inline(F.arrays_zip("found", "lefts", "rests", "sums")))
         shorter = tables[-1]
         lefts = shorter.select(F.col("id").alias("lefts"), "lang", F.col("phrase").alias("l_phrase"), "firsts")
         rests = shorter.select(F.col("id").alias("rests"), F.substring_index("phrase", " ", -1).alias("word"), "lasts")
-        found = sums.join(lefts, "lefts").join(rests, "rests").select(
-            F.monotonically_increasing_id().alias("id"), "lang", F.concat_ws(" ", "l_phrase", "word").alias("phrase"), "f", F.col("lefts").alias("left"), F.col("rests").alias("rest"),
-            F.concat("firsts", F.array("f")).alias("firsts"), F.concat("lasts", F.array("f")).alias("lasts"))
-        tables.append(Scratch(found, "phrases-found").read())
-        told = sent.join(tables[-1].select("id", F.col("left").alias("lefts"), F.col("rest").alias("rests")), ["lefts", "rests"]).select("chunk", "k", "id")
+        longer = sums.join(lefts, "lefts").join(rests, "rests").select(
+            F.col("found").alias("id"), "lang", F.concat_ws(" ", "l_phrase", "word").alias("phrase"), F.col("sums").alias("f"), F.col("lefts").alias("left"), F.col("rests").alias("rest"),
+            F.concat("firsts", F.array("sums")).alias("firsts"), F.concat("lasts", F.array("sums")).alias("lasts"))
+        tables.append(Scratch(longer, "phrases-found").read())
     now.drop()
     return tables, sizes
 
