@@ -84,16 +84,17 @@ def test_a_merge_finds_all_longer_phrases(words, own):
     flat = np.array(words, np.int64)
     at = np.flatnonzero(flat)
     ids = np.array([10, 11, -1])
-    where, keys, lefts, salts, rests, counts = phrases.extend(at, flat[at] - 1, ids, np.array([1, 3, 1]), own)
+    where, keys, buckets, lefts, rests, counts = phrases.extend(at, flat[at] - 1, ids, np.array([1, 3, 1]), own, 4)
     live = [w if w < 3 else 0 for w in words]
     want = [(i, (live[i] + 9, live[i + 1] + 9)) for i in range(len(live) - 1) if live[i] and live[i + 1]]
     assert [(int(p), (int(lefts[k]), int(rests[k]))) for p, k in zip(where, keys)] == want
     assert {(int(a), int(b)): int(c) for a, b, c in zip(lefts, rests, counts)} == {k: sum(i < own for i, q in want if q == k) for _, k in want}
-    assert list(zip(lefts, salts)) == sorted(zip(lefts, salts))
+    assert list(buckets) == sorted(buckets)
 
 
-def test_salts_split_a_frequent_left(spark, monkeypatch):
+def test_buckets_and_salts(spark, monkeypatch):
     monkeypatch.setattr(phrases, "SALT", 5)
+    monkeypatch.setattr(phrases, "BUCKET", 30)
     monkeypatch.setattr(phrases, "MERGED", 20)
     rows = texts(6, 200)
     got = [tuple(r) for r in phrases.collocations(spark.createDataFrame([(a, b, "x", 1) for a, b in rows], SCHEMA), least=9, chunk_words=60).orderBy("lang", "rank").collect()]

@@ -7,11 +7,12 @@ length that start one position later (no others can be part of a longer frequent
 length of the joined list, summed over all chunks, is the longer phrase's exact frequency.
 A chunk's lists lie side by side in order of position, so one merge joins all of them.
 
-Lists stay where they are: from level to level a chunk sends the lengths of its lists, by left
-phrase; sorted by it they are summed by phrase, a bounded number at a time, and the chunks are
-told which of their lists stay. A phrase's id is the place of its first list, so that no join has
-to give it out; words are compared as such. The lengths of a frequent left phrase are salted by
-its frequency, which is known by then, so that no more than SALT occurrences meet in a group.
+Lists stay where they are: from level to level a chunk sends the lengths of its lists, dealt to
+buckets by their left phrases; they are summed by phrase, some whole buckets at a time, and the
+chunks are told which of their lists stay. A phrase's id is the place of its first list, so that no
+join has to give it out; words are compared as such. There is a bucket for each BUCKET words of the
+corpus, and a left phrase of more than SALT occurrences, whose number is known by then, is dealt
+to several, so that what meets in one bucket is bounded.
 Chunks are cut anywhere: four words more than a chunk's own are looked at but not counted.
 
 Defined cases: a null text is empty, a null lang is `und`; texts that repeat count as often;
@@ -38,8 +39,8 @@ from .hpyp import pack, unpack
 CHUNK_WORDS, SLICE = 1_000_000, 1 << 20
 #: Bits of a place for the number of a list in its chunk, and of a chunk for its number in its task.
 LIST_BITS, TASK_BITS = 21, 16
-#: Occurrences of a left phrase that share a salt; list lengths summed at a time.
-SALT, MERGED = 1 << 20, 1 << 20
+#: Occurrences of a left phrase in one bucket at most, words of the corpus a bucket, list lengths summed at a time.
+SALT, BUCKET, MERGED = 1 << 17, 1 << 19, 1 << 20
 BREAK = b"."
 #: Lower case for A-Z, a break for each separator, a space for a tab.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else BREAK[0] if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
@@ -47,7 +48,7 @@ EDGE = re.compile(rb"[ .]")
 
 CHUNK = "chunk long, lang string, own int, size int, at binary, keys binary, words array<string>, counts array<int>"
 TOLD = "chunk long, ks binary, ids binary, fs binary, found array<long>, lefts array<long>, rests array<long>, sums array<long>"
-LEVEL = "chunk long, lang string, own int, size int, at binary, keys binary, groups array<struct<left:long,salt:int,first:int,rests:array<long>,counts:array<int>>>"
+LEVEL = "chunk long, lang string, own int, size int, at binary, keys binary, groups array<struct<bucket:long,first:int,lefts:binary,rests:binary,counts:binary>>"
 STATE = ("chunk", "lang", "own", "size", "at", "keys")
 
 
@@ -110,13 +111,17 @@ def _record(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
-def extend(at: np.ndarray, keys: np.ndarray, ids: np.ndarray, salts: np.ndarray, own: int) -> tuple:
-    """Lists of all phrases one word longer: (at, keys, lefts, salts, rests, counts), lists in order of left and salt.
+def _mix(x: np.ndarray) -> np.ndarray:
+    return (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+
+
+def extend(at: np.ndarray, keys: np.ndarray, ids: np.ndarray, salts: np.ndarray, own: int, buckets: int) -> tuple:
+    """Lists of all phrases one word longer: (at, keys, buckets, lefts, rests, counts), lists in order of bucket and left.
 
     at, keys: sorted starts of a chunk's phrases and which they are; ids: their ids, -1 for
-    those that aren't frequent; salts: how many salts each has as a left phrase. A merge joins
-    each start with the next one, where the phrase without the first word must start; lefts and
-    rests are the ids of the two.
+    those that aren't frequent; salts: over how many buckets each is dealt as a left phrase. A merge
+    joins each start with the next one, where the phrase without the first word must start; lefts
+    and rests are the ids of the two.
     """
     live = ids[keys] >= 0
     at, keys = at[live], keys[live]
@@ -124,27 +129,33 @@ def extend(at: np.ndarray, keys: np.ndarray, ids: np.ndarray, salts: np.ndarray,
     n = max(1, len(ids))
     pair, joined = np.unique(keys[here] * n + keys[here + 1], return_inverse=True)
     left, rest = pair // n, ids[pair % n]
-    salt = (rest.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % salts[left]
-    order = np.lexsort((salt, left))
+    bucket = (_mix(ids[left]) + _mix(rest) % salts[left]) % buckets
+    order = np.argsort(bucket, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     at, joined = at[here], place[joined]
-    return at, joined, ids[left[order]], salt[order], rest[order], np.bincount(joined[at < own], minlength=len(pair))
+    return at, joined, bucket[order], ids[left[order]], rest[order], np.bincount(joined[at < own], minlength=len(pair))
+
 
+def _groups(bucket: np.ndarray, *lists: np.ndarray) -> list[tuple]:
+    """The lists of a chunk, those of one bucket together."""
+    new = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    parts = zip(*[np.split(x, new[1:]) for x in lists], strict=True)
+    return [(int(bucket[a]), int(a), *[pack(x, np.int64) for x in p]) for a, p in zip(new, parts, strict=True)]
 
-def _groups(lefts: np.ndarray, salts: np.ndarray, rests: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """One cell: the lists of a chunk, those of one left phrase and salt together."""
-    new = np.flatnonzero(np.concatenate(([True], (lefts[1:] != lefts[:-1]) | (salts[1:] != salts[:-1]))))
-    ends = np.append(new, len(lefts)).astype(np.int32)
-    columns = {"left": pa.array(lefts[new]), "salt": pa.array(salts[new].astype(np.int32)), "first": pa.array(new.astype(np.int32))}
-    columns |= {n: pa.ListArray.from_arrays(ends, pa.array(x)) for n, x in (("rests", rests), ("counts", counts.astype(np.int32)))}
-    return pa.ListArray.from_arrays(np.array([0, len(new)], np.int32), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
 
+GROUP = ("bucket", "first", "lefts", "rests", "counts")
+GROUPS = pa.list_(pa.struct([*zip(GROUP, (pa.int64(), pa.int32(), *[pa.binary()] * 3))]))
 
-GROUPS = pa.list_(pa.struct([("left", pa.int64()), ("salt", pa.int32()), ("first", pa.int32()), ("rests", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))]))
+
+def _extend(buckets: int):
+    def run(key: tuple, state: pa.Table, told: pa.Table) -> pa.Table:
+        return _extended(state, told, buckets)
+
+    return run
 
 
-def _extend(key: tuple, state: pa.Table, told: pa.Table) -> pa.Table:
+def _extended(state: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
     fixed = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("own", pa.int32()), ("size", pa.int32()), ("at", pa.binary()), ("keys", pa.binary())])
     if state.num_rows and told.num_rows:
         chunk, lang, own, size, gaps, keys = (state.column(n)[0].as_py() for n in STATE)
@@ -152,10 +163,11 @@ def _extend(key: tuple, state: pa.Table, told: pa.Table) -> pa.Table:
         for k, i, f in zip(*[told.column(n).to_pylist() for n in ("ks", "ids", "fs")], strict=True):
             k = unpack(k)
             ids[k], salts[k] = unpack(i, np.int64), unpack(f, np.int64) // SALT + 1
-        at, joined, *lists = extend(np.cumsum(unpack(gaps), dtype=np.int64), unpack(keys).astype(np.int64), ids, salts, own)
+        at, joined, *lists = extend(np.cumsum(unpack(gaps), dtype=np.int64), unpack(keys).astype(np.int64), ids, salts, own, buckets)
         if len(at):
             row = [[chunk], [lang], [own], [len(lists[0])], [pack(np.diff(at, prepend=0))], [pack(joined)]]
-            return pa.Table.from_arrays([*[pa.array(c, t) for c, t in zip(row, fixed.types, strict=True)], _groups(*lists)], names=[*fixed.names, "groups"])
+            groups = [dict(zip(GROUP, g, strict=True)) for g in _groups(*lists)]
+            return pa.Table.from_arrays([*[pa.array(c, t) for c, t in zip(row, fixed.types, strict=True)], pa.array([groups], GROUPS)], names=[*fixed.names, "groups"])
     return fixed.append(pa.field("groups", GROUPS)).empty_table()
 
 
@@ -189,25 +201,18 @@ def _summed(lists: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
 
 
 def _sum_lists(least: int, at_once: int):
-    """Grouped lists in order of (left, salt), summed whole groups at a time."""
+    """Rows (bucket, chunk, first, lefts, rests, counts) in order of bucket, summed whole buckets at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, groups, size = [], [], 0
+        held, size, last = [], 0, None
         for b in batches:
-            left, salt, chunk, first = (b.column(k).to_numpy() for k in range(4))
-            sizes = b.column(4).value_lengths().to_numpy()
-            within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            place = np.repeat(chunk << LIST_BITS | first, sizes) + within
-            held.append(np.stack((np.repeat(left, sizes), b.column(4).flatten().to_numpy(), place, b.column(5).flatten().to_numpy().astype(np.int64))))
-            groups.append(np.repeat(salt, sizes))
-            size += len(within)
-            if size >= at_once:
-                lists, salts = np.concatenate(held, 1), np.concatenate(groups)
-                last = np.flatnonzero((lists[0] != lists[0, -1]) | (salts != salts[-1]))
-                cut = last[-1] + 1 if len(last) else 0  # the last group may go on
-                if cut:
-                    yield from _summed(lists[:, :cut], least)
-                held, groups, size = [lists[:, cut:]], [salts[cut:]], lists.shape[1] - cut
+            for bucket, chunk, first, *lists in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if size >= at_once and bucket != last:
+                    yield from _summed(np.concatenate(held, 1), least)
+                    held, size = [], 0
+                lefts, rests, counts = (unpack(x, np.int64) for x in lists)
+                held.append(np.stack((lefts, rests, (chunk << LIST_BITS) + first + np.arange(len(lefts)), counts)))
+                size, last = size + len(lefts), bucket
         if size:
             yield from _summed(np.concatenate(held, 1), least)
 
@@ -231,14 +236,15 @@ def frequent_phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str =
     often = words.groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.collect_list("place").alias("places")).filter(F.col("f") >= least)
     found = Scratch(often.select(F.array_min("places").alias("id"), "lang", "phrase", "f", "places"), "phrases-words").read()
     none = F.lit(None).cast("long")
+    buckets = max(1, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // BUCKET))
     tables = [found.select("id", "lang", "phrase", "f", none.alias("left"), none.alias("rest"), F.array("f").alias("firsts"), F.array("f").alias("lasts"))]
     told = found.select("id", "f", "places").mapInArrow(_tell, TOLD)
     for m in range(2, longest + 1):
-        nxt = Scratch(now.read().select(*STATE).groupBy("chunk").cogroup(told.select("chunk", "ks", "ids", "fs").groupBy("chunk")).applyInArrow(_extend, LEVEL), f"phrases-{m}")
+        nxt = Scratch(now.read().select(*STATE).groupBy("chunk").cogroup(told.select("chunk", "ks", "ids", "fs").groupBy("chunk")).applyInArrow(_extend(buckets), LEVEL), f"phrases-{m}")
         now.drop()
         now = nxt
-        lists = now.read().select("chunk", F.explode("groups").alias("g")).select("g.left", "g.salt", "chunk", "g.first", "g.rests", "g.counts")
-        summed = Scratch(lists.repartition("left", "salt").sortWithinPartitions("left", "salt").mapInArrow(_sum_lists(least, MERGED), TOLD), "phrases-told").read()
+        lists = now.read().select("chunk", F.explode("groups").alias("g")).select("g.bucket", "chunk", "g.first", "g.lefts", "g.rests", "g.counts")
+        summed = Scratch(lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sum_lists(least, MERGED), TOLD), "phrases-told").read()
         told = summed.filter("chunk IS NOT NULL")
         sums = summed.filter("chunk IS NULL").select(F.inline(F.arrays_zip("found", "lefts", "rests", "sums")))
         shorter = tables[-1]
