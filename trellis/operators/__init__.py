@@ -5,7 +5,7 @@ from .graph import bfs_edges, call_hierarchy, dependent_files, implementors, pro
 from .maintenance import append, cascade_delete, delete_keys, insert_ignore, set_null, upsert
 from .references import find_references, group_counts, grouped_references, trace_destinations, trace_origins
 from .scope import with_scope
-from .search import bm25, doc_stats, match_terms, parse_query, postings, semantic_search
+from .search import bm25, match_terms, semantic_search
 from .source import with_context, with_declaration
 from .symbols import (
     daemon_status,

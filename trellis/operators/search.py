@@ -2,98 +2,51 @@
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Index
-from ..functions import fold_text, tokens
+from ..functions import tokens
+from .fulltext import PART_BITS, Node, counted, idf, judge, parse, phrases_of, weight, words_in
 from .scope import with_scope
 
-K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-
-
-def postings(df: DataFrame, id_col: str, *columns: str) -> DataFrame:
-    """(id, term, column, position): every token of the columns."""
-    parts = [df.select(F.col(id_col).alias("id"), F.lit(i).alias("part"), F.posexplode(tokens(c)).alias("position", "term")) for i, c in enumerate(columns)]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def doc_stats(df: DataFrame, id_col: str, *columns: str) -> DataFrame:
-    """(id, length): number of tokens of all columns, rows without any included."""
-    return df.select(F.col(id_col).alias("id"), sum((F.size(tokens(c)) for c in columns), F.lit(0)).alias("length"))
-
-
-@dataclass
-class Query:
-    """Alternatives of phrases that all must match, and phrases that none may; a phrase's last word may be a prefix."""
 
-    any_of: list[list[tuple[tuple[str, ...], bool]]] = field(default_factory=list)
-    none_of: list[tuple[tuple[str, ...], bool]] = field(default_factory=list)
+def _spots(parts: list[str], word: tuple[str, bool]) -> Column:
+    """Where a word stands in columns of tokens."""
+    text, prefix = word
+    hit = (lambda t: F.startswith(t, F.lit(text))) if prefix else (lambda t: t == text)
 
+    def of(k: int, c: str) -> Column:
+        at = F.transform(F.col(c), lambda t, i: F.when(hit(t), i.cast("long") + (k << PART_BITS)).otherwise(F.lit(-1).cast("long")))
+        return F.when(F.exists(F.col(c), hit), F.filter(at, lambda s: s >= 0)).otherwise(F.array().cast("array<bigint>"))
 
-def parse_query(text: str) -> Query:
-    """Words, "phrases", prefix*, OR and NOT. Other syntax counts as the words that it holds."""
-    q, now, negative = Query(), [], False
-    for quoted, star, bare in re.findall(r'"([^"]*)"(\*?)|([^\s"]+)', text or ""):
-        if bare in ("OR", "AND", "NOT"):
-            if bare == "OR":
-                q.any_of.append(now)
-                now = []
-            negative = bare == "NOT"
-            continue
-        prefix = bool(star) or bare.endswith("*")
-        words = tuple(re.findall(r"[^\W_]+", fold_text(quoted or bare)))
-        if words:
-            (q.none_of if negative else now).append((words, prefix))
-        negative = False
-    q.any_of.append(now)
-    q.any_of = [a for a in q.any_of if a]
-    return q
+    found = [of(k, c) for k, c in enumerate(parts)]
+    return F.concat(*found) if len(found) > 1 else found[0]
 
 
-def _phrase(post: DataFrame, words: tuple[str, ...], prefix: bool) -> DataFrame:
-    """(id, tf) of a phrase: its words in consecutive places of one column."""
-    runs = None
-    for k, w in enumerate(words):
-        last = prefix and k == len(words) - 1
-        hit = post.filter(F.col("term").startswith(w) if last else F.col("term") == w).select("id", "part", (F.col("position") - k).alias("at"))
-        runs = hit if runs is None else runs.join(hit, ["id", "part", "at"])
-    return runs.groupBy("id").agg(F.count("*").alias("tf"))
+def scored(rows: DataFrame, tree: Node, n: Column, mean: Column, dfs: list[Column]) -> DataFrame:
+    """(id, score) of the rows (id, length, near0, near1, ...) that an expression matches."""
+    near = [F.col(f"near{k}") for k in range(len(dfs))]
+    match, score = judge(tree, [c > 0 for c in near], [weight(idf(n, d), c, F.col("length"), mean) for c, d in zip(near, dfs, strict=True)])
+    return rows.filter(match).select("id", score.alias("score"))
 
 
 def bm25(df: DataFrame, id_col: str, columns: tuple[str, ...], query: str) -> DataFrame:
-    """(id, score) of the rows that match, higher is better.
+    """(id, score) of the rows that match a full-text expression (see `fulltext`), higher is better.
 
-    The weights count every row of df, its empty ones too.
+    The weights count every row of df, its empty ones too. A row is judged by itself; the counts
+    of the corpus, one row, come from a second reading, and nothing else is shuffled.
     """
-    q = parse_query(query)
-    post, stats = postings(df, id_col, *columns), doc_stats(df, id_col, *columns)
-    total = stats.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    phrases = {p for a in q.any_of for p in a}
-    if not phrases:
-        return stats.filter(F.lit(False)).select("id", F.lit(0.0).alias("score"))
-    scores = {}
-    for words, prefix in sorted(phrases):
-        hit = _phrase(post, words, prefix)
-        df_n = hit.agg(F.count("*").alias("df"))
-        idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        # two one-row tables: counts of the corpus and of the phrase
-        weighed = hit.join(stats, "id").join(F.broadcast(total)).join(F.broadcast(df_n))
-        score = F.greatest(idf, F.lit(LEAST_IDF)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-        scores[words, prefix] = weighed.select("id", score.alias("score"))
-    # a row matches an alternative if it has all its phrases; its score adds all phrases it has
-    every = reduce(DataFrame.unionByName, [s.withColumn("phrase", F.lit(i)) for i, s in enumerate(scores.values())])
-    number = {p: i for i, p in enumerate(scores)}
-    grouped = every.groupBy("id").agg(F.sum("score").alias("score"), F.collect_set("phrase").alias("has"))
-    wanted = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.array_contains("has", number[p]) for p in alt]) for alt in q.any_of])
-    out = grouped.filter(wanted).select("id", "score")
-    for words, prefix in q.none_of:
-        out = out.join(_phrase(post, words, prefix).select("id"), "id", "left_anti")
-    return out
+    tree = parse(query, columns)
+    names = [f"t{k}" for k in range(len(columns))]
+    cut = df.select(F.col(id_col).alias("id"), *[tokens(c).alias(t) for c, t in zip(columns, names, strict=True)])
+    if tree is None:
+        return cut.filter(F.lit(False)).select("id", F.lit(0.0).alias("score"))
+    rows = counted(cut.select("id", sum((F.size(t) for t in names), F.lit(0)).alias("length"), *[_spots(names, w).alias(f"w{k}") for k, w in enumerate(words_in(tree))]), tree)
+    phrases = range(len(phrases_of(tree)))
+    total = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"own{k}") > 0).alias(f"df{k}") for k in phrases])
+    # total is one row
+    return scored(rows.join(F.broadcast(total)), tree, F.col("n"), F.col("mean"), [F.col(f"df{k}") for k in phrases])
 
 
 def match_terms(df: DataFrame, id_col: str, columns: tuple[str, ...], query: str, top: int, where=None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 CONTEXT_LINES = 3
 
 
-def _lines(text: Column) -> Column:
+def lines_of(text: Column) -> Column:
     """Lines of a text; its last line end begins no line, and an empty text has none."""
     body = F.regexp_replace(text, r"(?:\r\n|\r|\n)\z", "")
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, r"\r\n|\r|\n"))
@@ -21,7 +21,7 @@ def _with_lines(rows: DataFrame, files: DataFrame, path: str, first: Column, las
     """
     known = files.select(F.col("file_path").alias("__path"), F.col("text").alias("__text"))
     wanted = rows.select(F.col(path).alias("__path")).distinct()
-    cut = known.join(wanted, "__path", "left_semi").select("__path", _lines(F.col("__text")).alias("__lines"))
+    cut = known.join(wanted, "__path", "left_semi").select("__path", lines_of(F.col("__text")).alias("__lines"))
     a = F.greatest(first, F.lit(1)).cast("int")
     b = F.least(last, F.size("__lines")).cast("int")
     held = F.when(b >= a, F.slice("__lines", a, F.greatest(b - a + 1, F.lit(0)))).otherwise(F.array().cast("array<string>"))

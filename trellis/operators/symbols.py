@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..catalog import Index
 from ..functions import attribute_list, citations, containing_type, count_parameters, like_contains, namespace_of, simple_name, test_framework
 from ..schemas import MEMBER_KINDS, TEST_ATTRIBUTES, TEST_FRAMEWORKS, TYPE_KINDS
+from .intervals import counts_inside, innermost
 from .scope import in_project, project_names, project_named, with_scope
 from .search import match_terms
-from .source import with_declaration
+from .source import lines_of, with_declaration
 
 
 def find_symbol(ix: Index, name: str, kind: str | None = None, project_id: str | None = None, fuzzy: bool = False, scope: str | None = None, source: DataFrame | None = None) -> DataFrame:
@@ -131,10 +132,7 @@ def find_comments(ix: Index, tag: str = "all", search: str | None = None, projec
 
 def enclosing_symbols(ix: Index, comments: DataFrame) -> DataFrame:
     """comments with the innermost symbol around them: of the same file and project, the one that begins last."""
-    s = ix.symbols.select("project_id", "file_path", F.col("id").alias("symbol_id"), "line_start", "line_end")
-    inside = (F.col("line") >= F.col("line_start")) & (F.col("line") <= F.col("line_end"))
-    joined = comments.select("project_id", "file_path", "line").distinct().join(s, ["project_id", "file_path"]).filter(inside)
-    best = joined.groupBy("project_id", "file_path", "line").agg(F.max_by("symbol_id", F.struct("line_start", -F.col("symbol_id"))).alias("enclosing_symbol_id"))
+    best = innermost(comments, ix.symbols, ["project_id", "file_path"]).withColumnRenamed("id", "enclosing_symbol_id")
     return comments.drop("enclosing_symbol_id").join(best, ["project_id", "file_path", "line"], "left")
 
 
@@ -146,9 +144,8 @@ def find_tests(ix: Index, for_symbol: str | None = None, framework: str = "all",
     tests = ix.symbols.filter(F.arrays_overlap(carried, F.array(*map(F.lit, wanted)))).withColumn("framework", test_framework(carried))
     if for_symbol is not None:
         target = ix.symbols.filter(F.col("fqn") == for_symbol).orderBy("id").limit(1)
-        uses = ix.refs.join(target.select(F.col("id").alias("symbol_id")), "symbol_id", "left_semi").select(F.col("file_path").alias("use_file"), "line")
-        inside = (F.col("file_path") == F.col("use_file")) & F.col("line").between(F.col("line_start"), F.col("line_end"))
-        direct = tests.join(uses, inside, "left_semi")
+        uses = ix.refs.join(target.select(F.col("id").alias("symbol_id")), "symbol_id", "left_semi").select("file_path", "line").distinct()
+        direct = tests.join(counts_inside(tests, uses, ["file_path"]), "id", "left_semi")
         name = target.select(F.lower(simple_name("fqn")).alias("target"))
         holder = F.lower(F.coalesce(simple_name(containing_type("fqn")), simple_name("fqn")))
         by_name = tests.join(F.broadcast(name), F.lower("display_name").contains(F.col("target")) | holder.contains(F.col("target"))).drop("target")
@@ -201,7 +198,7 @@ def source_context(df: DataFrame, text_col: str, line: str | int, context_lines:
     """df's columns but the text, with (line, text) of the lines around a line: one row each, counted from 1."""
     at = F.col(line) if isinstance(line, str) else F.lit(line)
     others = [c for c in df.columns if c != text_col]
-    rows = df.select(*others, at.alias("__at"), F.posexplode(F.split(F.col(text_col), r"\r?\n")).alias("__pos", "__line"))
+    rows = df.select(*others, at.alias("__at"), F.posexplode(lines_of(F.col(text_col))).alias("__pos", "__line"))
     return rows.filter((F.col("__pos") >= F.col("__at") - 1 - context_lines) & (F.col("__pos") < F.col("__at") + context_lines)).select(*others, (F.col("__pos") + 1).alias("line"), F.col("__line").alias("text"))
 
 

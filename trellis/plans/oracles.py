@@ -175,6 +175,24 @@ oracle("bm25_symbols", _bm25("SELECT * FROM @symbols", TEXT, ["widget", "economy
 oracle("bm25_kind_filter", _bm25("SELECT * FROM @symbols", TEXT, ["m1", "type1", "type2"], False) + " --- SELECT id, kind, round(score, 6) AS score FROM hits JOIN @symbols s USING (id) WHERE kind = 'class' ORDER BY hits.score DESC, id LIMIT 20")
 oracle("find_symbol_fuzzy", _bm25("SELECT * FROM @symbols", TEXT, ["m1", "m2", "type1"], False) + " --- SELECT s.id, fqn, p.canonical_id AS project, round(score, 6) AS score FROM (SELECT * FROM hits ORDER BY score DESC, id LIMIT 20) h JOIN @symbols s ON s.id = h.id JOIN @projects p ON p.id = s.project_id")
 oracle("bm25_documents", _bm25("SELECT doc_id AS id, text FROM documents", "text", ["the", "with"], True) + " --- SELECT id AS doc_id, round(score, 6) AS score FROM hits ORDER BY hits.score DESC, id LIMIT 25")
+for _name in ("bm25_indexed", "bm25_indexed_update"):
+    ORACLES[_name] = ORACLES["bm25_documents"]
+oracle("bm25_expression", r"""
+  tok AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^\pL\pN\p{Co}]+'), lambda x: x <> '') AS ts FROM documents),
+  places AS MATERIALIZED (
+    SELECT doc_id, len(ts) AS len, coalesce(ts[1] LIKE 'th%', false)::INT AS p1, len(list_filter(range(1, len(ts)), lambda i: ts[i] = 'of' AND ts[i + 1] = 'the')) AS p0,
+           list_filter(range(1, len(ts) + 1), lambda i: ts[i] = 'with') AS w, list_filter(range(1, len(ts) + 1), lambda i: ts[i] = 'was') AS s, len(list_filter(ts, lambda x: x = 'that')) AS p4 FROM tok),
+  near AS MATERIALIZED (
+    SELECT *, (SELECT count(DISTINCT a.x) FROM unnest(w) a(x), unnest(s) b(x) WHERE abs(a.x - b.x) <= 4) AS p2, (SELECT count(DISTINCT b.x) FROM unnest(w) a(x), unnest(s) b(x) WHERE abs(a.x - b.x) <= 4) AS p3 FROM places),
+  c AS (SELECT count(*) AS n, avg(len) AS mean, count(*) FILTER (p0 > 0) AS d0, count(*) FILTER (p1 > 0) AS d1, count(*) FILTER (len(w) > 0) AS d2, count(*) FILTER (len(s) > 0) AS d3 FROM near),
+  weighed AS (
+    SELECT doc_id, p0 > 0 AND p1 > 0 AS l, p2 > 0 AND p3 > 0 AND p4 = 0 AS r, 1.2 * (0.25 + 0.75 * len / mean) AS k,
+           greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) AS i0, greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) AS i1,
+           greatest(ln((n - d2 + 0.5) / (d2 + 0.5)), 1e-6) AS i2, greatest(ln((n - d3 + 0.5) / (d3 + 0.5)), 1e-6) AS i3, p0, p1, p2, p3 FROM near, c),
+  hits AS (
+    SELECT doc_id, CASE WHEN l THEN i0 * p0 * 2.2 / (p0 + k) + i1 * p1 * 2.2 / (p1 + k) ELSE 0 END + CASE WHEN r THEN i2 * p2 * 2.2 / (p2 + k) + i3 * p3 * 2.2 / (p3 + k) ELSE 0 END AS score
+    FROM weighed WHERE l OR r)
+  --- SELECT doc_id, round(score, 6) AS score FROM hits ORDER BY hits.score DESC, doc_id LIMIT 200""")
 oracle("debounce_sessions", """
   e AS (SELECT 'u' || user_id AS root, '/src/' || lower(event_type) || '.cs' AS path, epoch_us(ts) AS us FROM events),
   m AS (SELECT *, CASE WHEN us < lag(us) OVER (PARTITION BY root ORDER BY us) + 1800000000 THEN 0 ELSE 1 END AS fresh FROM e),
@@ -199,7 +217,10 @@ oracle("url_normalise", r"""
   SELECT page_id, 0::BIGINT AS form, regexp_replace(regexp_replace(regexp_replace(url, '\.git$', ''), '[?#].*$', ''), '/$', '') AS url FROM pages WHERE url IS NOT NULL
   UNION ALL SELECT page_id, 1, 'https://github.com/' || page_id FROM pages WHERE url IS NOT NULL UNION ALL SELECT page_id, 2, 'https://github.com/Org/' || page_id FROM pages WHERE url IS NOT NULL""")
 oracle("strip_xml", r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS digest FROM pages")
-oracle("source_context", "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) --- SELECT doc_id, line::BIGINT AS line, text FROM l WHERE line BETWEEN 1 AND 5")
+oracle("source_context", r"""
+  b AS (SELECT doc_id, regexp_replace(text, '(\r\n|\r|\n)$', '') AS body FROM documents WHERE text <> ''),
+  l AS (SELECT doc_id, unnest(string_split_regex(body, '\r\n|\r|\n')) AS text, generate_subscripts(string_split_regex(body, '\r\n|\r|\n'), 1) AS line FROM b)
+  --- SELECT doc_id, line::BIGINT AS line, text FROM l WHERE line BETWEEN 1 AND 5""")
 oracle("count_parameters", f"SELECT id, ({COUNT})::BIGINT AS parameters FROM @symbols")
 oracle("name_parts", f"""
   SELECT id, regexp_extract(fqn, '^(.*)\\.[^.]*$', 1) AS namespace, split_part(split_part(fqn, '(', 1), '.', -1) AS simple, regexp_extract(split_part(fqn, '(', 1), '^(.*)\\.[^.]*$', 1) AS holder,

@@ -12,11 +12,14 @@ from .. import operators as op
 from ..catalog import Index
 from ..operators import maintenance
 from ..operators.graph import call_hierarchies
+from ..operators.intervals import counts_inside
 from ..operators.scope import project_names
 from ..operators.search import match_terms
 from ..sources.dependencies import classify_dependencies, mark_test_projects
 from ..sources.files import assign_submodules, extract_comments, submodules
 from ..sources.star import from_star, star_view
+from ..sources.textindex import TextIndex
+from ..sources.versions import scratch_folder
 from ..streaming import incremental, stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -321,8 +324,8 @@ def find_tests_fallback(ix):
 @query
 def test_references(ix):
     """Every reference that lies in a test method: point in interval, with equality on the file."""
-    tests = op.find_tests(ix, max_results=None).select("file_path", "line_start", "line_end", F.col("id").alias("test_id"))
-    return ix.refs.join(tests, "file_path").filter(F.col("line").between(F.col("line_start"), F.col("line_end"))).groupBy("test_id").agg(F.count("*").alias("count"))
+    tests = op.find_tests(ix, max_results=None)
+    return counts_inside(tests, ix.refs, ["file_path"]).select(F.col("id").alias("test_id"), "count")
 
 
 @query
@@ -373,6 +376,33 @@ def bm25_documents(spark, sf_dir):
     return match_terms(docs, "doc_id", ("text",), "the with", 25).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+@table_query
+def bm25_indexed(spark, sf_dir):
+    """The same from a stored index of all documents, which reads the blocks that may hold the best only."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = TextIndex.build(docs, "doc_id", ("text",), scratch_folder(spark, "text")).search("the with", 25)
+    return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@table_query
+def bm25_indexed_update(spark, sf_dir):
+    """The same after an update: a tenth of the documents had other texts, and some are gone."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    tenth = F.col("doc_id") % 10 == 0
+    old = docs.withColumn("text", F.when(tenth, F.lit("the with the")).otherwise(F.col("text"))).unionByName(docs.filter(tenth).select((-1 - F.col("doc_id")).alias("doc_id"), F.lit("with the").alias("text")))
+    index = TextIndex.build(old, "doc_id", ("text",), scratch_folder(spark, "text"))
+    index = index.update(docs.filter(tenth), "doc_id", old.filter("doc_id < 0").select(F.col("doc_id").alias("id")))
+    return index.search("the with", 25).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@table_query
+def bm25_expression(spark, sf_dir):
+    """A phrase, a prefix, a group of near words and an exclusion, over all documents."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = match_terms(docs, "doc_id", ("text",), '("of the" AND ^th*) OR (NEAR(with was, 3) NOT that)', 200)
+    return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 @query
 def bm25_kind_filter(ix):
     return op.semantic_search(ix, "M1 OR Type1 OR Type2", kind="class").select("id", "kind", F.round("score", 6).alias("score"))

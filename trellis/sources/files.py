@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import comment_tag, comment_text, is_generated, is_ignored, target_framework
@@ -14,23 +14,26 @@ def content_hashes(spark: SparkSession, path: str, pattern: str = "*.cs") -> Dat
     return files.filter(~is_ignored("path") & ~is_generated("path")).select(F.col("path").alias("file_path"), F.sha2("content", 256).alias("content_hash"))
 
 
-#: What a source text is made of, read from the left: strings, characters, comments, and runs without any of them.
-SOURCE_PARTS = r"""(?s)(@"(?:[^"]++|"")*+"|"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)++'|//[^\r\n]*+|/\*.*?\*/|[^"'/@]++|.)"""
+_HOLE = r"""\{(?:[^{}"']++|"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)++')*+\}"""
+#: What a source text is made of, read from the left: strings (raw, interpolated and verbatim, interpolated, verbatim, plain),
+#: characters, comments, and runs without any of them. What isn't closed goes on to the end, so no text is read twice.
+SOURCE_PARTS = rf"""(?s)(\$*+("{{3,}}+).*?(?:\2"*+|\z)|(?:\$@|@\$)"(?:[^"{{]++|""|\{{\{{|{_HOLE}|\{{)*+(?:"|\z)|\$"(?:[^"{{\\\n]++|\\.|\{{\{{|{_HOLE}|\{{)*+"|@"(?:[^"]++|"")*+(?:"|\z)|"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)++'|//[^\r\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/|\z)|[^"'/@$]++|.)"""
 
 
 def extract_comments(files: DataFrame, path_col: str = "file_path", text_col: str = "text") -> DataFrame:
     """(file_path, line, tag, text) of tagged // and /* */ comments, by the line on which they begin.
 
-    A text is cut into its parts once, from the left, so what stands in a string is no comment;
-    line ends are counted on the way. A null text has none.
+    A text is cut into its parts once, from the left, so what stands in a string is no comment,
+    its holes and raw strings included (a hole with braces of its own ends the string's part early).
+    Line ends are summed over the parts by a window of one text, which keeps only parts with line
+    ends and comments. A null text has none.
     """
-    parts = files.select(F.col(path_col).alias("file_path"), F.regexp_extract_all(F.col(text_col), F.lit(SOURCE_PARTS), 1).alias("parts"))
-    found = F.expr(r"""
-      aggregate(parts, struct(1 as line, cast(array() as array<struct<line: int, c: string>>) as found),
-        (a, x) -> struct(a.line + length(x) - length(replace(x, '\n', '')) as line,
-                         if(startswith(x, '//') or (startswith(x, '/*') and length(x) > 1), array_append(a.found, struct(a.line as line, x as c)), a.found) as found),
-        a -> a.found)""")
-    every = parts.select("file_path", F.explode(found).alias("f")).select("file_path", "f.line", "f.c").withColumn("tag", comment_tag("c"))
+    parts = F.regexp_extract_all(F.col(text_col), F.lit(SOURCE_PARTS), 1)
+    rows = files.select(F.col(path_col).alias("file_path"), F.monotonically_increasing_id().alias("file"), parts.alias("parts")).select("file_path", "file", F.posexplode("parts").alias("pos", "part"))
+    comment = F.startswith("part", F.lit("//")) | (F.startswith("part", F.lit("/*")))
+    rows = rows.select("file_path", "file", "pos", (F.length("part") - F.length(F.replace("part", F.lit("\n"), F.lit("")))).alias("ends"), F.when(comment, F.col("part")).alias("c")).filter("ends > 0 or c is not null")
+    before = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    every = rows.withColumn("line", (F.coalesce(F.sum("ends").over(before), F.lit(0)) + 1).cast("int")).filter("c is not null").withColumn("tag", comment_tag("c"))
     return every.filter(F.col("tag") != "").select("file_path", "line", "tag", comment_text("c").alias("text"))
 
 

@@ -22,13 +22,77 @@ def _root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/trellis-{spark.sparkContext.applicationId}"
 
 
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder's name in the shared folder."""
+    return f"{_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: cuts its lineage and survives lost executors."""
-    path = f"{_root(df.sparkSession)}/table-{uuid.uuid4().hex[:12]}"
+    path = scratch_folder(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the texts in a folder, ascending."""
+    p, fs = _path(spark, folder)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def create_next(spark: SparkSession, folder: str, text: str, after: int | None = None) -> int:
+    """Writes a text under the next number of a folder and gives the number.
+
+    The name is made without overwriting, which a file system does for one writer only; of two
+    writers of one number the other is told. after: the number that the text builds upon.
+    """
+    last = max(_numbers(spark, folder), default=0)
+    number = (last if after is None else after) + 1
+    p, fs = _path(spark, f"{folder}/{number}")
+    t, _ = _path(spark, f"{folder}/_{uuid.uuid4().hex}")
+    stream = fs.create(t, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    try:
+        if not _claim(spark, fs, t, p):
+            raise RuntimeError("another version was published at the same time; publish again")
+    finally:
+        fs.delete(t, False)
+    return number
+
+
+def _claim(spark: SparkSession, fs, source, target) -> bool:
+    """target with the text of source, whole or not at all, if nobody has it: an exclusive mark first, then a rename."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_claim-{target.getName()}")
+    if fs.exists(target):
+        return False
+    try:
+        fs.create(mark, False).close()
+    except Exception:
+        if fs.exists(mark):
+            return False
+        raise
+    return fs.rename(source, target)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def read_last(spark: SparkSession, folder: str) -> str:
+    """The text of the highest number in a folder."""
+    numbers = _numbers(spark, folder)
+    if not numbers:
+        raise FileNotFoundError(folder)
+    return read_text(spark, f"{folder}/{numbers[-1]}")
+
+
 POINTERS = "number long, version string"
 
 
