@@ -39,7 +39,13 @@ class Index:
 
     def replace(self, **tables: DataFrame) -> Index:
         """An index with some tables replaced: an index itself never changes."""
-        return Index(self.spark, {**self._makers, **self._made, **tables}, self.config)
+        new = Index(self.spark, {**self._makers, **tables}, self.config)
+        new._made = {n: df for n, df in self._made.items() if n not in tables}
+        return new
+
+    def maker(self, name: str) -> object:
+        """What a table is made by; the same object while nobody replaced it."""
+        return self._makers.get(name)
 
     def write(self, path: str) -> None:
         """A new version under path; refuses to write over one."""

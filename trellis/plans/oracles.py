@@ -262,3 +262,4 @@ oracle("apply_changes_counts", """
   UNION ALL SELECT 'relationships', count(*) FROM @relationships WHERE from_symbol_id NOT IN (SELECT id FROM own) AND to_symbol_id NOT IN (SELECT id FROM gone)
   UNION ALL SELECT 'call_graph', count(*) FROM @call_graph WHERE caller_symbol_id NOT IN (SELECT id FROM own) AND callee_symbol_id NOT IN (SELECT id FROM gone)
   UNION ALL SELECT 'comments', count(*) FROM @comments WHERE (project_id, file_path) NOT IN (SELECT (project_id, file_path) FROM f)""")
+ORACLES["published_changes_counts"] = ORACLES["apply_changes_counts"]

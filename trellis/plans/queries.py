@@ -19,7 +19,7 @@ from ..sources.dependencies import classify_dependencies, mark_test_projects
 from ..sources.files import assign_submodules, extract_comments, submodules
 from ..sources.star import from_star, star_view
 from ..sources.textindex import TextIndex
-from ..sources.versions import scratch_folder
+from ..sources.versions import publish, read_current, scratch_folder
 from ..streaming import incremental, stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -655,17 +655,34 @@ def service_report(spark, sf_dir):
     return op.service_status(from_star(spark, sf_dir), _queue(spark, sf_dir), "indexing", "extract").select("state", "queued_files", "background_tasks", "last_indexed_at", "project_count", "phase", "indexing_started_at", "elapsed_ms")
 
 
-@query
-def apply_changes_counts(ix):
-    """Rows of each table after a fifth of the files has changed: a third of their symbols is gone, and references at later lines."""
+def _fifth_changed(ix):
+    """The index after a fifth of the files has changed: a third of their symbols is gone, and references at later lines."""
     files = ix.symbols.filter("kind in ('class', 'interface') and id % 5 = 1").select("project_id", "file_path")
     changes = files.withColumn("content_hash", F.lit("new")).withColumn("change", F.lit("changed"))
     stay = ix.symbols.join(files, ["project_id", "file_path"], "left_semi").filter("id % 3 <> 0")
     seen = ix.refs.join(files.withColumnRenamed("project_id", "in_project_id"), ["in_project_id", "file_path"], "left_semi").filter("line <= 100 and symbol_id % 3 <> 0")
-    after = incremental.apply_changes(ix, changes, {"symbols": stay, "refs": seen.select(*ix.refs.columns)})
+    return incremental.apply_changes(ix, changes, {"symbols": stay, "refs": seen.select(*ix.refs.columns)})
+
+
+def _counts(after):
     names = ("symbols", "refs", "relationships", "call_graph", "comments")
     rows = [after[t].select(F.lit(t).alias("table_name")) for t in names]
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
     return out.groupBy("table_name").agg(F.count("*").alias("rows"))
+
+
+@query
+def apply_changes_counts(ix):
+    """Rows of each table after changes."""
+    return _counts(_fifth_changed(ix))
+
+
+@query
+def published_changes_counts(ix):
+    """The same from disk: a version is published, then read, changed and published again, and what is current is read."""
+    root = scratch_folder(ix.spark, "index")
+    publish(ix, root)
+    publish(_fifth_changed(read_current(ix.spark, root)), root)
+    return _counts(read_current(ix.spark, root))
