@@ -195,7 +195,7 @@ def test_language_posteriors_equal_a_plain_sum(spark):
         lls.append(ll)
         q.append(np.exp(ll - ll.max()) / np.exp(ll - ll.max()).sum())
         host, domain, suffix = language.host_of(url)
-        keys.append({"h": host, "d": domain, "s": suffix, "m": language._LANG.search(html)[1]})
+        keys.append({"h": host, "d": domain, "s": suffix, "m": language.declared_language(html)})
     total, pages_n = sum(q), float(len(rows))
     share = (total + 1 / n) / (pages_n + 1)
     for k in range(len(rows)):

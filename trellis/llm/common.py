@@ -80,12 +80,20 @@ class Scratch:
         delete_path(self.spark, self.path)
 
 
+#: The setting, and its usual value, of the most buckets that a table may have.
+MOST_BUCKETS = ("spark.sql.sources.bucketing.maxBuckets", "100000")
+
+
 class Buckets:
-    """A table written once, bucketed by a key, so that groups of the key need no shuffle of it."""
+    """A table written once, bucketed by a key, so that groups of the key need no shuffle of it.
+
+    A bucket holds several values of the key where there are more than a table may have buckets.
+    """
 
     def __init__(self, df: DataFrame, key: str, buckets: int, label: str):
         self.spark, self.path = df.sparkSession, scratch_path(df.sparkSession, label)
         self.name = f"trellis_{uuid.uuid4().hex}"
+        buckets = min(buckets, int(self.spark.conf.get(*MOST_BUCKETS)))
         with _tidy(self.spark):
             df.write.format("parquet").option("compression", "zstd").option("path", self.path).bucketBy(buckets, key).saveAsTable(self.name)
 

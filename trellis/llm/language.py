@@ -30,8 +30,11 @@ PIECE = 1 << 20
 #: How much of a sum over overlapping n-grams counts, and its bound in nats: neighbours repeat each other.
 WEIGHT, BOUND = 0.25, 40.0
 
-_DROP = re.compile(rb"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#\w]{1,10};")
-_LANG = re.compile(r"(?is)<html\b[^>]*?\b(?:xml:)?lang\s*=\s*[\"']?\s*([a-z]{2,3})\b")
+_MARK = re.compile(rb"(?i)<(script|style|noscript)\b|<!--|<|&[#\w]{1,10};")
+_ENTITY = re.compile(rb"&[#\w]{1,10};")
+_CLOSE = {n: re.compile(rb"(?i)</" + n + rb"\s*>") for n in (b"script", b"style", b"noscript")}
+_HTML = re.compile(r"(?i)<html\b[^>]*")
+_LANG = re.compile(r"(?i)\b(?:xml:)?lang\s*=\s*[\"']?\s*([a-z]{2,3})\b")
 
 
 @dataclass
@@ -55,9 +58,37 @@ def grams(data: bytes) -> Iterator[np.ndarray]:
             yield ((h * np.uint32(2654435761)) >> np.uint32(15)).astype(np.int64)[:PIECE]
 
 
+def declared_language(html: str) -> str | None:
+    """The language that a page's markup declares, as it is written; a tag is read once."""
+    return next((m[1] for tag in _HTML.finditer(html) if (m := _LANG.search(tag[0]))), None)
+
+
 def plain(html: str | None) -> bytes:
-    """Text of a page: tags, comments, scripts and entities are dropped."""
-    return _DROP.sub(b" ", (html or "").encode())
+    """Text of a page: tags, comments, scripts and entities are dropped, each for a space.
+
+    The page is read once from the left. An end that is missing is looked for once only, so
+    marks that nothing closes, which stay, cost no more than others.
+    """
+    data = (html or "").encode()
+    parts, at, missing = [], 0, set()
+    while m := _MARK.search(data, at):
+        end, mark = None, m[0]
+        if mark[:1] == b"&":
+            end = m.end()
+        if m[1] and (name := m[1].lower()) not in missing:
+            c = _CLOSE[name].search(data, m.end())
+            end = c.end() if c else missing.add(name)
+        elif mark == b"<!--" and mark not in missing:
+            k = data.find(b"-->", m.end())
+            end = k + 3 if k >= 0 else missing.add(mark)
+        if end is None:
+            k = data.find(b">", m.start())
+            if k < 0:  # nothing that begins with < ends any more
+                break
+            end = k + 1
+        parts += (data[at : m.start()], b" ")
+        at = end
+    return b"".join(parts) + _ENTITY.sub(b" ", data[at:])
 
 
 def train(texts: list[tuple[str, str]]) -> Texts:
@@ -112,8 +143,8 @@ def _evidence(model: Texts):
                 for g in grams(plain(html)):
                     total += model.logp[g].sum(0, dtype=np.float64)
                 ll = np.maximum((total - total.max(initial=-np.inf)) * WEIGHT, -BOUND) if n else total
-                declared = _LANG.search(html[:4096]) or _LANG.search(html)
-                rows.append((i, *host_of(url), declared[1].lower() if declared else "", ll.tolist()))
+                declared = declared_language(html)
+                rows.append((i, *host_of(url), declared.lower() if declared else "", ll.tolist()))
             if rows:
                 kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in EVIDENCE.split(", ")])

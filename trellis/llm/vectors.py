@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components
@@ -196,7 +196,7 @@ def _of_length(classes: DataFrame, rows: int, threshold: float, tile: int, sampl
     few = classes.orderBy(F.xxhash64("cid"), "cid").limit(sample).select("embedding").toPandas()
     tiles = Tiles(np.array(few["embedding"].tolist(), np.float64), rows, threshold, tile)
     near = tiles.near()
-    leaved = Scratch(classes.select("cid", "n", "embedding").mapInArrow(_leaves(tiles), "cid long, n long, embedding array<float>, leaf int"), "vectors-leaves").read()
+    leaved = Scratch(classes.select("cid", "n", "embedding").mapInArrow(_leaves(tiles), f"cid long, n long, embedding {dict(classes.dtypes)['embedding']}, leaf int"), "vectors-leaves").read()
     count = {r.leaf: r["count"] for r in leaved.groupBy("leaf").count().collect()}
     parts = {k: max(1, -(-v // tile)) for k, v in count.items()}
     # the leaves in reach, with their numbers of parts: at most sample / 8 rows of as many
@@ -208,13 +208,22 @@ def _of_length(classes: DataFrame, rows: int, threshold: float, tile: int, sampl
     return units.repartition("unit").sortWithinPartitions("unit", "tile").mapInArrow(_units(tiles), "cid long, links long, root long")
 
 
+def _finite_scale(df: DataFrame, vector_col: str) -> Column:
+    """Vectors of 32-bit floats as they are; others in double precision over their largest component, so that squares neither overflow nor vanish."""
+    if dict(df.dtypes)[vector_col] == "array<float>":
+        return F.col(vector_col)
+    v = F.col(vector_col).cast("array<double>")
+    largest = F.array_max(F.transform(v, F.abs))
+    return F.when((largest > 0) & (largest < float("inf")), F.transform(v, lambda x: x / largest)).otherwise(v)
+
+
 def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, tile: int = TILE, sample: int = SAMPLE) -> DataFrame:
     """(id, n_links, component), one row a row of df.
 
     sample bounds what fits the axes and the splits; it doesn't change the result.
     """
     spark = df.sparkSession
-    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("embedding"))
+    base = df.select(F.col(id_col).cast("long").alias("id"), _finite_scale(df, vector_col).alias("embedding"))
     wide = F.expr("transform(embedding, v -> double(v))")
     bad = F.expr("embedding is null or size(embedding) = 0 or exists(embedding, v -> v is null or isnan(v) or abs(v) = double('infinity'))")
     norm = F.aggregate(wide, F.lit(0.0), lambda s, v: s + v * v)
