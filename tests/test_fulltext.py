@@ -6,9 +6,10 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from trellis.catalog import Index
 from trellis.operators import semantic_search
 from trellis.operators.fulltext import parse, phrases_of
-from trellis.operators.search import bm25, match_terms
+from trellis.operators.search import SEARCHED, bm25, match_terms
 from trellis.sources.textindex import TextIndex
 
 WORDS = ["load", "loader", "foo_bar", "été", "save", "x1", "the"]
@@ -122,6 +123,16 @@ def test_an_index_follows_updates(spark, tmp_path):
     assert same(first.search("load", 5), match_terms(df, "id", ("a", "b"), "load", 5))
 
 
+def test_symbols_are_found_in_a_stored_index(spark, tmp_path):
+    rng = random.Random(8)
+    symbols = [(i, 1, f"N.T{i}", rng.choice(WORDS), " ".join(rng.choices(WORDS, k=rng.randrange(9))), rng.choice(["class", "method"])) for i in range(400)]
+    ix = Index(spark, {"symbols": spark.createDataFrame(symbols, "id long, project_id long, fqn string, display_name string, doc_comment string, kind string")})
+    text = TextIndex.build(ix.symbols, "id", SEARCHED, str(tmp_path / "i"))
+    for q, options in (("load save", {}), ("load OR x1", {"kind": "Class"}), ('"load save"', {"max_results": 3}), ("display_name: lo*", {"kind": "method", "strict_topk": True}), ("the", {"max_results": 0})):
+        want, got = ([(r.id, round(r.score, 9)) for r in semantic_search(ix, q, text=t, **options).orderBy(F.desc("score"), "id").collect()] for t in (None, text))
+        assert got == want and (len(got) > 0) == (q != "the"), q
+
+
 def test_empty_and_odd(spark, tmp_path):
     none = spark.createDataFrame([], "id long, a string")
     index = TextIndex.build(none, "id", ("a",), str(tmp_path / "i"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ from ..functions import tokens
 from .fulltext import PART_BITS, Node, counted, idf, judge, parse, phrases_of, weight, words_in
 from .scope import with_scope
 
+if TYPE_CHECKING:
+    from ..sources.textindex import TextIndex
+
 
 def _spots(parts: list[str], word: tuple[str, bool]) -> Column:
     """Where a word stands in columns of tokens."""
@@ -57,14 +62,25 @@ def match_terms(df: DataFrame, id_col: str, columns: tuple[str, ...], query: str
     return found.orderBy(F.desc("score"), "id").limit(top)
 
 
-def semantic_search(ix: Index, query: str, kind: str | None = None, max_results: int = 20, scope: str | None = None, strict_topk: bool = False) -> DataFrame:
-    """Symbols by relevance. A scope filters what the cut leaves; with strict_topk it comes before."""
+#: The columns of symbols that are searched.
+SEARCHED = ("display_name", "doc_comment")
+
+
+def semantic_search(ix: Index, query: str, kind: str | None = None, max_results: int = 20, scope: str | None = None, strict_topk: bool = False, text: TextIndex | None = None) -> DataFrame:
+    """Symbols by relevance. A scope filters what the cut leaves; with strict_topk it comes before.
+
+    text: a stored index of the symbols' SEARCHED columns, which is read in place of the symbols'.
+    """
     top = max(0, min(max_results, ix.config.fts_max))
     symbols = ix.symbols
     where = None if kind is None else F.lower("kind") == kind.lower()
+    every = lambda: bm25(symbols, "id", SEARCHED, query) if text is None else text.matches(query)
     if strict_topk:
-        found = bm25(symbols, "id", ("display_name", "doc_comment"), query)
         inside = with_scope(ix, symbols if where is None else symbols.filter(where), scope)
-        return inside.join(found, "id").orderBy(F.desc("score"), "id").limit(top)
-    found = match_terms(symbols, "id", ("display_name", "doc_comment"), query, top, where)
+        return inside.join(every(), "id").orderBy(F.desc("score"), "id").limit(top)
+    if text is not None and where is None:
+        found = text.search(query, top)
+    else:
+        found = every() if where is None else every().join(symbols.filter(where).select("id"), "id", "left_semi")
+        found = found.orderBy(F.desc("score"), "id").limit(top)
     return with_scope(ix, symbols.join(F.broadcast(found), "id"), scope)

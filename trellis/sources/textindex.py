@@ -132,23 +132,29 @@ class TextIndex:
         n = sums[0].n - sums[1].n
         return n, (sums[0].s - sums[1].s) / n if n else 0.0
 
+    def matches(self, query: str) -> DataFrame:
+        """(id, score) of all rows that match an expression, as `bm25` gives them; all blocks of its terms are read."""
+        tree = parse(query, self.columns)
+        return self.spark.createDataFrame([], "id long, score double") if tree is None else self._all(tree, *self._size())
+
+    def _all(self, tree: Node, n: int, mean: float) -> DataFrame:
+        rows = materialize(self._counted(self.postings(words_in(tree)), tree))
+        dfs = list(rows.agg(*[F.count_if(F.col(f"own{k}") > 0).alias(f"df{k}") for k in range(len(phrases_of(tree)))]).first())
+        return self._weighed(rows, tree, n, mean, dfs)
+
     def search(self, query: str, top: int) -> DataFrame:
         """(id, score) of the best rows, as `match_terms` gives them."""
         tree = parse(query, self.columns)
-        none = self.spark.createDataFrame([], "id long, score double")
         if tree is None or top <= 0:
-            return none
+            return self.spark.createDataFrame([], "id long, score double")
         n, mean = self._size()
-        blocks = self.postings(words_in(tree))
-        wants = range(len(phrases_of(tree)))
         if plain_words(tree):
             dfs = self._frequencies(tree)
-            blocks, self.read = self._promising(tree, blocks, n, mean, dfs, top)
-            rows = self._counted(blocks, tree)
+            blocks, self.read = self._promising(tree, self.postings(words_in(tree)), n, mean, dfs, top)
+            found = self._weighed(self._counted(blocks, tree), tree, n, mean, dfs)
         else:
-            rows = materialize(self._counted(blocks, tree))
-            dfs = list(rows.agg(*[F.count_if(F.col(f"own{k}") > 0).alias(f"df{k}") for k in wants]).first())
-        return self._weighed(rows, tree, n, mean, dfs).orderBy(F.desc("score"), "id").limit(top)
+            found = self._all(tree, n, mean)
+        return found.orderBy(F.desc("score"), "id").limit(top)
 
     def _weighed(self, rows: DataFrame, tree: Node, n: int, mean: float, dfs: list[int]) -> DataFrame:
         return scored(rows, tree, F.lit(n), F.lit(float(mean)), [F.lit(d) for d in dfs])
