@@ -87,3 +87,43 @@ def test_pipeline_stage_finds_edited_copies(spark):
     got = [r.doc_id for r in kept.collect()]
     assert sorted(got, key=lambda i: (i is None, i)) == [*sorted(set(components(len(texts), pairs))), None]
     assert stage(spark, docs.filter(F.lit(False)), "").count() == 0
+
+
+def test_keep_similar_at_the_edge_of_the_threshold(spark):
+    """Pairs just above and below 0.8 at every length from 8 words on, a frequent passage, repeated rows; against all pairs."""
+    rng = random.Random(8)
+    fresh = iter(range(10**9))
+    word = lambda: f"v{next(fresh)}"
+    passage = [word() for _ in range(30)]
+    texts, shared = [], 0
+    for n in [*range(8, 60), 80, 120, 200]:
+        base = [word() for _ in range(n)]
+        own = n - 4
+        # words put before it leave all shingles as they are: own of own + more are shared
+        for more in {own // 4, own // 4 + 1}:
+            texts += [" ".join(base), " ".join([word() for _ in range(more)] + base)]
+            shared += 5 * own >= 4 * (own + more)
+    texts += [" ".join([word() for _ in range(rng.randrange(40))] + passage + [word() for _ in range(rng.randrange(9))]) for _ in range(60)]
+
+    def cut(t):
+        ws = t.split()
+        return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))}
+
+    sets = [cut(t) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert len(pairs) > shared > 50
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] * 2, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_similar(docs).collect()) == sorted(set(components(len(texts), pairs)))
+
+
+def test_steps_drop_what_is_no_result(spark):
+    import os
+
+    from trellis.llm.common import Scratch, steps
+
+    with steps():
+        with steps():
+            a, b = Scratch(spark.range(3), "test"), Scratch(spark.range(4), "test", result=True)
+        at = [x.path.removeprefix("file://") for x in (a, b)]
+        assert [os.path.exists(p) for p in at] == [False, True] and b.read().count() == 4
+    assert not os.path.exists(at[1])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,14 +62,39 @@ def _tidy(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEAN_UP, before)
 
 
+#: Tables of the steps that are going on, the innermost last.
+_GOING: ContextVar[tuple[list, ...]] = ContextVar("going", default=())
+
+
+@contextmanager
+def steps() -> Iterator[None]:
+    """Tables written inside are dropped at its end, but for results: what is read later has to be one."""
+    own: list = []
+    token = _GOING.set((*_GOING.get(), own))
+    try:
+        yield
+    finally:
+        _GOING.reset(token)
+        for t in own:
+            t.drop()
+
+
+def _enlist(t: Scratch | Buckets, result: bool) -> None:
+    going = _GOING.get()[: -1 if result else None]
+    if going:
+        going[-1].append(t)
+
+
 class Scratch:
     """A table written once and read again: it survives lost executors and cuts lineage.
 
     The shuffle files of its making are removed when it is written, as nothing reads them again.
+    A result outlives the innermost steps.
     """
 
-    def __init__(self, df: DataFrame, label: str):
+    def __init__(self, df: DataFrame, label: str, *, result: bool = False):
         self.spark, self.path = df.sparkSession, scratch_path(df.sparkSession, label)
+        _enlist(self, result)
         with _tidy(self.spark):
             df.write.option("compression", "zstd").parquet(self.path)
         self.schema = df.schema
@@ -93,6 +119,7 @@ class Buckets:
     def __init__(self, df: DataFrame, key: str, buckets: int, label: str):
         self.spark, self.path = df.sparkSession, scratch_path(df.sparkSession, label)
         self.name = f"trellis_{uuid.uuid4().hex}"
+        _enlist(self, False)
         buckets = min(buckets, int(self.spark.conf.get(*MOST_BUCKETS)))
         with _tidy(self.spark):
             df.write.format("parquet").option("compression", "zstd").option("path", self.path).bucketBy(buckets, key).saveAsTable(self.name)

@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, steps
 
 OTHER_SPACE = "\t\x0b\x0c\r"
 BUCKETS = 1 << 16
@@ -173,10 +173,13 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
     length_col names a column that holds the number of characters, which is set anew;
     count_col a new one for the number of lines removed.
     """
-    lost = Scratch(removed(docs, id_col=id_col, text_col=text_col, threshold=threshold), "lines-lost").read().select(F.col("id").alias("l_id"), F.col("text_hash").alias("l_hash"), "lost")
+    with steps():
+        lost = Scratch(removed(docs, id_col=id_col, text_col=text_col, threshold=threshold), "lines-lost", result=True)
+    lost = lost.read().select(F.col("id").alias("l_id"), F.col("text_hash").alias("l_hash"), "lost")
     # a row travels as one struct, so that no column of docs can clash
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     both = rows.join(lost, F.col("id").eqNullSafe(F.col("l_id")) & (F.col("text_hash") == F.col("l_hash")), "left")
+    both = both.select("row", "lost", F.col("row").getField(text_col).alias("text"))
     # places of the lines that stay: what array_except leaves, in order and by hashing
     lines = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("lost"))

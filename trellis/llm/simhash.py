@@ -8,9 +8,9 @@ become shared on the way add to the differences of the pair, and a pair over the
 dropped with all below it. Found links leave as a spanning forest, not as pairs.
 
 Operator 5's 4 bits link close copies only. keep_similar, for the pipeline, links texts by
-similarity of at least 0.8 of their sets of five-word shingles instead: two such sets share
-one of the smallest hashes of each, so candidates are joined on those, filtered by five-word
-fingerprints at a wide limit and verified on the whole sets.
+similarity of at least 0.8 of their sets of five-word shingles instead: the index finds close
+copies, an exact join on the rarest shingles finds all others, and both are verified on the
+whole sets.
 
 Defined cases: null and empty texts have the fingerprint 0; rows with equal ids are rows
 of their own; a null id is never a component's id unless all ids in it are null.
@@ -18,7 +18,8 @@ of their own; a null id is never a component's id unless all ids in it are null.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components
+from .common import Scratch, connected_components, steps
 
 SHINGLE, SEED, LIMIT = 4, 42, 4
 FAN, BLOCK, PIECE = 8, 4096, 1 << 14
-#: Of keep_similar: words a shingle, the least Jaccard similarity as a fraction, and bits in which fingerprints may differ.
-#: Of 64 bits sets of similarity 0.8 differ in 9.7 on average, with a deviation of 2.9; unrelated ones in 32.
-WORDS, ALIKE, WIDE = 5, (4, 5), 28
+#: Of keep_similar: words a shingle, the least Jaccard similarity as a fraction, and slices in which hashes are counted.
+WORDS, ALIKE, SLICES = 5, (4, 5), 4
 
 
 def shingles(text: str | None, shingle: int, seed: int = SEED) -> np.ndarray:
@@ -259,96 +259,94 @@ def _named(text: str | None) -> tuple[int, np.ndarray]:
     return _signed(xxhash.xxh64_intdigest(h.tobytes())), h
 
 
-SETS = "id long, h long, name long, n long, fp long, first array<long>"
+ROWS = "id long, h long, name long, n long"
+SETS = "name long, n long, fp long, hashes array<long>"
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    num, den = ALIKE
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = []
-        for text in b.column(2):
-            name, h = _named(text.as_py())
-            # a set that overlaps by num/den of this one at least holds one of its first hashes
-            rows.append((name, len(h), _signed(_bits(h)), h[: len(h) - -(-len(h) * num // den) + 1].view(np.int64)))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-        found = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *found], [x.split()[0] for x in SETS.split(", ")])
+        rows = [(name, len(h)) for name, h in (_named(x.as_py()) for x in b.column(2))]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1))], ["id", "h", "name", "n"])
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(name, h.tobytes()) for name, h in (_named(x.as_py()) for x in b.column(0))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["name", "raw"])
+        for at in range(0, b.num_rows, 256):
+            rows = [(name, len(h), _signed(_bits(h)), h.view(np.int64)) for name, h in (_named(x.as_py()) for x in b.column(0)[at : at + 256])]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["name", "n", "fp", "hashes"])
 
 
-def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that may reach the similarity, by what their first hashes show of their differences.
+def _places(sets: DataFrame) -> DataFrame:
+    """(g, i, name, n): the hashes of each set's prefix, at place i of the set in order of rarity.
 
-    Up to the smaller of the last of both first hashes, all hashes of both sets are known, so
-    those that one set alone holds there are at most as many as the similarity allows in all.
+    Rarity is the number of sets that hold a hash, then the hash. Hashes of one set alone come
+    first and can't be shared, so only the others are counted out, and only what reaches into
+    the prefix is given. Counting goes in slices of the hashes, one after the other.
     """
     num, den = ALIKE
-    for b in batches:
-        keep = []
-        for m, n, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
-            x, y = (z.values.to_numpy().view(np.uint64) for z in (x, y))
-            ends = [z[-1] for z, size in ((x, m), (y, n)) if len(z) < size]
-            if ends:
-                x, y = (z[: np.searchsorted(z, min(ends), side="right")] for z in (x, y))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            need = -(-(m + n) * num // (num + den))
-            keep.append(len(x) + len(y) - 2 * both <= m + n - 2 * need)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    num, den = ALIKE
-    for b in batches:
-        keep = []
-        for x, y in zip(b.column(2), b.column(3), strict=True):
-            x, y = (np.frombuffer(z.as_py(), np.uint64) for z in (x, y))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both * den >= num * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def similar(sets: DataFrame, whole: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, component) of sets (name, n, fp, first; one row a set) that a chain of similar ones links.
-
-    First the smallest holder of a hash is compared with its other holders, then, of those
-    that this hasn't joined, all pairs; a group of near copies so costs few pairs. Only sets
-    that are in a pair to verify are read whole: whole gives (name, raw) for names.
+    every = sets.select("name", "n", F.explode("hashes").alias("g"))
+    parts = []
+    for k in range(SLICES):
+        part = every.filter(F.col("g").bitwiseAND(F.lit(SLICES - 1)) == k)
+        counted = Scratch(part.groupBy("g").agg(F.count("*").alias("held")).filter("held > 1"), "simhash-held").read()
+        parts.append(Scratch(part.join(counted, "g").select("name", "n", "held", "g"), "simhash-often").read())
+    often = reduce(DataFrame.unionByName, parts)
+    by_set = often.groupBy("name", "n").agg(F.sort_array(F.collect_list(F.struct("held", "g"))).alias("order"))
+    single = F.col("n") - F.size("order")
+    reach = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - single
+    taken = by_set.filter(reach > 0).select("name", "n", single.alias("single"), F.posexplode(F.slice("order", F.lit(1), reach.cast("int"))).alias("at", "o"))
+    return taken.select(F.col("o.g").alias("g"), (F.col("single") + F.col("at")).alias("i"), "name", "n")
+
+
+def similar(sets: DataFrame) -> DataFrame:
+    """(node, component) of sets (name, n, fp, hashes; one row a set) that a chain of similar ones links.
+
+    Close copies come from the Gray-order index over the sets' fingerprints. The rest is exact:
+    two similar sets share a hash of both their prefixes in order of rarity, and the first such
+    one stands early enough in both for the overlap they need. Holders of a hash that aren't
+    joined yet are compared with its smallest holder, then, if still apart, with each other; so
+    a group of near copies costs few pairs, and a frequent hash is in hardly any prefix.
+    Every pair is verified on the whole sets.
     """
     num, den = ALIKE
-    heads = sets.select(F.explode("first").alias("g"), F.struct("name", "n", "fp").alias("x"))
-    common = Scratch(heads.groupBy("g").count().filter("count > 1").select("g"), "simhash-common").read()
-    shared = Scratch(heads.join(common, "g", "left_semi"), "simhash-shared").read()
-    least = shared.groupBy(F.col("g").alias("of")).agg(F.min("x").alias("m"))
-
-    def sided(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
-        """pairs (a, b) with columns of both of their sets."""
-        for side in ("a", "b"):
-            pairs = pairs.join(of.select(F.col("name").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
-        return pairs.select("a", "b", *[f"{c}_{side}" for c in columns for side in ("a", "b")])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        near = (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= WIDE) & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
-        found = pairs.filter(near & (F.col("x.name") != F.col("y.name"))).select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct()
-        found = Scratch(found, "simhash-pairs").read()
-        found = Scratch(sided(found, sets, "n", "first").mapInArrow(_possible, "a long, b long"), "simhash-possible").read()
-        names = found.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-        raw = Scratch(whole(names), "simhash-whole").read()
-        return Scratch(sided(found, raw, "raw").mapInArrow(_alike, "a long, b long"), "simhash-alike").read()
-
-    stars = verified(shared.join(least, F.col("g") == F.col("of")).select("x", F.col("m").alias("y")))
-    joined = Scratch(connected_components(stars), "simhash-joined").read()
-    placed = shared.select("g", "x").join(joined, F.col("x.name") == F.col("node"), "left").select("g", "x", F.coalesce("component", "x.name").alias("set"))
-    # a hash all of whose holders are joined already needs no pairs
-    open_ = placed.groupBy("g").agg((F.min("set") != F.max("set")).alias("open")).filter("open").select("g")
-    placed = Scratch(placed.join(open_, "g", "left_semi"), "simhash-open").read()
-    other = placed.select("g", F.col("x").alias("y"), F.col("set").alias("set2"))
-    rest = verified(placed.join(other, "g").filter("set < set2").select("x", "y"))
-    return connected_components(stars.unionByName(rest))
+        """Those pairs (a, b) of names whose sets are similar."""
+        pairs = Scratch(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs").read()
+        names = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+        whole = Scratch(sets.join(names, "name", "left_semi").select("name", "hashes"), "simhash-whole")
+        side = lambda name, of: whole.read().select(F.col("name").alias(name), F.col("hashes").alias(of))
+        met = F.size(F.array_intersect("x", "y"))
+        alike = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(met * den >= (F.size("x") + F.size("y") - met) * num)
+        found = Scratch(alike.select("a", "b"), "simhash-alike").read()
+        whole.drop()
+        return found
+
+    prints = Scratch(sets.groupBy("fp").agg(F.min("name").alias("name")), "simhash-prints").read()
+    named = lambda fp, name: prints.select(F.col("fp").alias(fp), F.col("name").alias(name))
+    close = links(prints.select("fp")).select(F.col("a").alias("p"), F.col("b").alias("q")).join(named("p", "a"), "p").join(named("q", "b"), "q").select("a", "b")
+    same = sets.select("fp", F.col("name").alias("a")).join(named("fp", "b"), "fp").select("a", "b")
+    found = verified(close.unionByName(same))
+    with steps():
+        places = Scratch(_places(sets), "simhash-places", result=True)
+
+    def placed(found: DataFrame) -> DataFrame:
+        """Places with the set of those joined so far, of hashes whose holders aren't all in one."""
+        joined = Scratch(connected_components(found), "simhash-joined").read()
+        p = places.read().join(joined, F.col("name") == F.col("node"), "left").select("g", F.struct("name", "n", "i", F.coalesce("component", "name").alias("set")).alias("x"))
+        apart = p.groupBy("g").agg((F.min("x.set") != F.max("x.set")).alias("apart")).filter("apart").select("g")
+        return Scratch(p.join(apart, "g", "left_semi"), "simhash-open").read()
+
+    need = F.ceil((F.col("x.n") + F.col("y.n")) * num / (num + den))
+    fits = (F.col("x.set") != F.col("y.set")) & (F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i")) >= need) & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
+    ends = [F.col("x.name").alias("a"), F.col("y.name").alias("b")]
+    open_ = placed(found)
+    least = open_.groupBy("g").agg(F.min("x").alias("y"))
+    found = found.unionByName(verified(open_.join(least, "g").filter(fits).select(*ends)))
+    open_ = placed(found)
+    other = open_.select("g", F.col("x").alias("y"))
+    return connected_components(found.unionByName(verified(open_.join(other, "g").filter(fits & (F.col("x.set") < F.col("y.set"))).select(*ends))))
 
 
 def keep_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -359,18 +357,18 @@ def keep_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     of one id the one whose text has the smallest hash stays. Other columns may have any name.
     """
     key = [F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))]
-    rows = Scratch(docs.select(key[0].alias("id"), key[1].alias("h"), F.col(text_col).alias("text")).mapInArrow(_sets, SETS), "simhash-rows").read()
     handle = F.struct(F.col("id").isNull().alias("none"), "id", "h")
 
     def at(best: DataFrame) -> DataFrame:
         """The rows of docs with an id and a text of best (m), each as a row of its columns."""
         return docs.select(key[0].alias("id"), key[1].alias("h"), F.struct(*docs.columns).alias("row")).join(best.select(F.col("m.id").alias("b_id"), F.col("m.h").alias("b_h")).distinct(), F.col("id").eqNullSafe(F.col("b_id")) & (F.col("h") == F.col("b_h")), "left_semi")
 
-    def whole(names: DataFrame) -> DataFrame:
-        return at(rows.join(names, "name", "left_semi").groupBy("name").agg(F.min(handle).alias("m"))).select(F.col("row")[text_col].alias("text")).mapInArrow(_whole, "name long, raw binary").dropDuplicates(["name"])
-
-    sets = Scratch(rows.filter("n > 0").select("name", "n", "fp", "first").dropDuplicates(["name"]), "simhash-sets").read()
-    member = Scratch(similar(sets, whole), "simhash-members").read()
-    of = rows.select("id", "h", "name").join(member, F.col("name") == F.col("node"), "left").withColumn("set", F.coalesce("component", "name"))
-    best = Scratch(of.groupBy("set").agg(F.min(handle).alias("m")), "simhash-kept").read()
-    return at(best).dropDuplicates(["id", "h"]).select("row.*")
+    with steps():
+        rows = Scratch(docs.select(key[0].alias("id"), key[1].alias("h"), F.col(text_col).alias("text")).mapInArrow(_names, ROWS), "simhash-rows").read()
+        one = rows.filter("n > 0").groupBy("name").agg(F.min(handle).alias("m"))
+        sets = at(one).select(F.col("row").getField(text_col).alias("text")).mapInArrow(_sets, SETS).dropDuplicates(["name"])
+        with steps():
+            member = Scratch(similar(Scratch(sets, "simhash-sets").read()), "simhash-members", result=True).read()
+        of = rows.select("id", "h", "name").join(member, F.col("name") == F.col("node"), "left").withColumn("set", F.coalesce("component", "name"))
+        best = Scratch(of.groupBy("set").agg(F.min(handle).alias("m")), "simhash-kept", result=True)
+    return at(best.read()).dropDuplicates(["id", "h"]).select("row.*")
