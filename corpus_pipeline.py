@@ -50,9 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = Scratch(docs, f"pipeline-{k}").read()
-    return docs
+    docs, before = table(spark, sf_dir, "documents"), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        written = Scratch(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        if before is not None:
+            before.drop()
+        docs, before = written.read(), written
+    return STAGES[-1][1](spark, docs, sf_dir)
