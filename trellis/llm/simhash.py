@@ -32,7 +32,7 @@ from .common import Scratch, connected_components, steps
 SHINGLE, SEED, LIMIT = 4, 42, 4
 FAN, BLOCK, PIECE = 8, 4096, 1 << 14
 #: Of keep_similar: words a shingle, the least Jaccard similarity as a fraction, and slices in which hashes are counted.
-WORDS, ALIKE, SLICES = 5, (4, 5), 4
+WORDS, ALIKE, SLICES = 5, (4, 5), 2
 
 
 def shingles(text: str | None, shingle: int, seed: int = SEED) -> np.ndarray:
@@ -360,15 +360,18 @@ def keep_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     handle = F.struct(F.col("id").isNull().alias("none"), "id", "h")
 
     def at(best: DataFrame) -> DataFrame:
-        """The rows of docs with an id and a text of best (m), each as a row of its columns."""
-        return docs.select(key[0].alias("id"), key[1].alias("h"), F.struct(*docs.columns).alias("row")).join(best.select(F.col("m.id").alias("b_id"), F.col("m.h").alias("b_h")).distinct(), F.col("id").eqNullSafe(F.col("b_id")) & (F.col("h") == F.col("b_h")), "left_semi")
+        """The rows of docs with an id and a text of best (m), each once, as a row of its columns."""
+        # the null-safe key in columns of its own, so that the join and the removal of repeats share one shuffle
+        of = lambda i, h: (F.coalesce(i, F.lit(0)).alias("k"), i.isNull().alias("none"), h.alias("h"))
+        wanted = best.select(*of(F.col("m.id"), F.col("m.h"))).distinct()
+        return docs.select(*of(*key), F.struct(*docs.columns).alias("row")).join(wanted, ["k", "none", "h"], "left_semi").dropDuplicates(["k", "none", "h"])
 
     with steps():
         rows = Scratch(docs.select(key[0].alias("id"), key[1].alias("h"), F.col(text_col).alias("text")).mapInArrow(_names, ROWS), "simhash-rows").read()
         one = rows.filter("n > 0").groupBy("name").agg(F.min(handle).alias("m"))
-        sets = at(one).select(F.col("row").getField(text_col).alias("text")).mapInArrow(_sets, SETS).dropDuplicates(["name"])
+        sets = at(one).select(F.col("row").getField(text_col).alias("text")).mapInArrow(_sets, SETS)
         with steps():
             member = Scratch(similar(Scratch(sets, "simhash-sets").read()), "simhash-members", result=True).read()
         of = rows.select("id", "h", "name").join(member, F.col("name") == F.col("node"), "left").withColumn("set", F.coalesce("component", "name"))
         best = Scratch(of.groupBy("set").agg(F.min(handle).alias("m")), "simhash-kept", result=True)
-    return at(best.read()).dropDuplicates(["id", "h"]).select("row.*")
+    return at(best.read()).select("row.*")
