@@ -110,3 +110,96 @@ def dependent_files(ix: Index, changed: DataFrame) -> DataFrame:
     symbols = ix.symbols.join(changed, "file_path", "left_semi").select(F.col("id").alias("symbol_id"))
     users = ix.refs.join(symbols, "symbol_id", "left_semi").select("file_path").distinct()
     return users.join(changed, "file_path", "left_anti")
+
+
+def _settled(step, start: DataFrame, limit: int) -> DataFrame:
+    """start put through step until nothing changes, each round written; step gives (rows, whether one changed)."""
+    now = start
+    for _ in range(limit):
+        now, changed = step(now)
+        if not changed:
+            return now
+    raise RuntimeError(f"the walk still changes after {limit} rounds")
+
+
+def _peeled(edges: DataFrame, limit: int) -> DataFrame:
+    """Edges (src, dst) that may lie on a cycle: those left when ends without a way on, or without a way in, have gone."""
+
+    def step(e: DataFrame) -> tuple[DataFrame, bool]:
+        inner = e.select(F.col("src").alias("node")).intersect(e.select(F.col("dst").alias("node")))
+        kept = materialize(e.join(inner, F.col("src") == F.col("node"), "left_semi").join(inner, F.col("dst") == F.col("node"), "left_semi"))
+        return kept, kept.count() < e.count()
+
+    return _settled(step, edges, limit)
+
+
+def _spread(labels: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
+    """labels (node, label) with each node's label the largest one that leads to it over edges."""
+
+    def step(now: DataFrame) -> tuple[DataFrame, bool]:
+        sent = edges.join(now, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.max("label").alias("sent"))
+        new = materialize(now.join(sent, "node", "left").select("node", F.greatest("label", F.coalesce("sent", "label")).alias("label"), (F.col("sent") > F.col("label")).alias("rose")))
+        return new.select("node", "label"), not new.filter("rose").isEmpty()
+
+    return _settled(step, labels, limit)
+
+
+def cycles(edges: DataFrame, limit: int = 1000) -> DataFrame:
+    """(node, cycle) of nodes that lie on a cycle of edges (src, dst); cycle is the smallest node of all that reach each other.
+
+    Ends are peeled off first. Then the largest node that leads to a node is its label, and of a
+    label's nodes those from which the label's own node can be reached are a whole cycle; they go,
+    and the rest is worked on again. Rounds grow with the longest way, not with the rows; beyond
+    limit rounds an error is raised. An edge from a node to itself is a cycle of one.
+    """
+    own = edges.filter("src = dst").select(F.col("src").alias("node")).distinct()
+    left = materialize(edges.filter("src <> dst").select("src", "dst").distinct())
+    found = []
+    for _ in range(limit):
+        left = _peeled(left, limit)
+        if left.isEmpty():
+            break
+        nodes = left.select(F.col("src").alias("node")).union(left.select(F.col("dst").alias("node"))).distinct()
+        label = _spread(materialize(nodes.withColumn("label", F.col("node"))), left, limit)
+        ends = [label.select(F.col("node").alias(e), F.col("label").alias(f"of_{e}")) for e in ("src", "dst")]
+        inside = materialize(left.join(ends[0], "src").join(ends[1], "dst").filter("of_src = of_dst").select("src", "dst"))
+        # backwards inside a label: whether the label's own node can be reached
+        back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        seen = label.select("node", (F.col("node") == F.col("label")).cast("int").alias("label"))
+        reach = _spread(materialize(seen), back, limit).filter("label = 1").select("node")
+        ring = materialize(label.join(reach, "node", "left_semi"))
+        found.append(ring.join(ring.groupBy("label").agg(F.min("node").alias("cycle"), F.count("*").alias("n")).filter("n > 1"), "label").select("node", "cycle"))
+        gone = ring.select("node")
+        left = materialize(left.join(gone, F.col("src") == F.col("node"), "left_anti").join(gone, F.col("dst") == F.col("node"), "left_anti"))
+    else:
+        raise RuntimeError(f"cycles remain after {limit} rounds")
+    rings = reduce(DataFrame.unionByName, found, own.limit(0).select("node", F.col("node").alias("cycle")))
+    return rings.unionByName(own.join(rings, "node", "left_anti").select("node", F.col("node").alias("cycle")))
+
+
+def dependency_levels(edges: DataFrame, limit: int = 1000) -> DataFrame:
+    """(node, level, cycle) of the nodes of edges (src depends on dst).
+
+    A node that depends on nothing has level 0, others one more than the highest they depend
+    on; nodes of a cycle count as one and share a level, and cycle is the smallest of them, else
+    null. Levels come by peeling: each round takes what depends on settled nodes only. Repeated
+    edges and those with a null end don't count; beyond limit rounds an error is raised.
+    """
+    edges = materialize(edges.filter("src is not null and dst is not null").select("src", "dst").distinct())
+    ring = materialize(cycles(edges, limit))
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
+    group = materialize(nodes.join(ring, "node", "left").withColumn("group", F.coalesce("cycle", "node")))
+    of = lambda end: group.select(F.col("node").alias(end), F.col("group").alias(f"g_{end}"))
+    left = materialize(edges.join(of("src"), "src").join(of("dst"), "dst").select(F.col("g_src").alias("src"), F.col("g_dst").alias("dst")).filter("src <> dst").distinct())
+    todo = materialize(group.select("group").distinct())
+    settled = []
+    for level in range(limit):
+        ready = materialize(todo.join(left, F.col("group") == F.col("src"), "left_anti"))
+        settled.append(ready.withColumn("level", F.lit(level).cast("long")))
+        todo = materialize(todo.join(ready, "group", "left_anti"))
+        if todo.isEmpty():
+            break
+        left = materialize(left.join(ready, F.col("dst") == F.col("group"), "left_anti"))
+    else:
+        raise RuntimeError(f"levels remain after {limit} rounds")
+    return group.join(reduce(DataFrame.unionByName, settled), "group").select("node", "level", "cycle")

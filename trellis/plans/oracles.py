@@ -92,6 +92,16 @@ for _name, _src, _dst, _pick in (("type_hierarchy_up", "from", "to", "max(from_s
     oracle(_name, _walk(f"SELECT {_src}_symbol_id AS src, {_dst}_symbol_id AS dst, 0 AS e FROM @relationships WHERE kind = 'inherits'", f"SELECT {_pick} FROM @relationships WHERE kind = 'inherits'", 21) + " --- SELECT dst AS symbol_id, fqn, depth::BIGINT AS depth FROM walk JOIN @symbols s ON s.id = dst")
 oracle("project_deps_direct", "SELECT consumer_project_id AS from_project_id, dependency_project_id AS to_project_id, reference_kind, 0::BIGINT AS depth FROM @project_dependencies WHERE consumer_project_id = (SELECT consumer_project_id FROM @project_dependencies GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)")
 oracle("project_deps_transitive", _walk("SELECT consumer_project_id AS src, dependency_project_id AS dst, reference_kind AS e FROM @project_dependencies", "SELECT max(consumer_project_id) FROM @project_dependencies", 60) + " --- SELECT src AS from_project_id, dst AS to_project_id, e AS reference_kind, (depth - 1)::BIGINT AS depth FROM walk")
+for _name, _src, _dst, _table in (("relationship_levels", "from_symbol_id", "to_symbol_id", "relationships"), ("dependency_levels", "consumer_project_id", "dependency_project_id", "project_dependencies")):
+    oracle(_name, f"""
+  e AS MATERIALIZED (SELECT DISTINCT {_src} AS src, {_dst} AS dst FROM @{_table}),
+  reach(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM reach r JOIN e ON e.src = r.dst),
+  ring AS (SELECT a.src AS node, min(a.dst) AS cycle FROM reach a JOIN reach b ON b.src = a.dst AND b.dst = a.src GROUP BY 1),
+  grp AS MATERIALIZED (SELECT node, cycle, coalesce(cycle, node) AS g FROM (SELECT src AS node FROM e UNION SELECT dst FROM e) LEFT JOIN ring USING (node)),
+  between AS MATERIALIZED (SELECT DISTINCT a.g AS src, b.g AS dst FROM e JOIN grp a ON a.node = e.src JOIN grp b ON b.node = e.dst WHERE a.g <> b.g),
+  ways(g, d) AS (SELECT DISTINCT g, 0 FROM grp UNION SELECT between.src, d + 1 FROM ways JOIN between ON between.dst = g),
+  highest AS (SELECT g, max(d)::BIGINT AS level FROM ways GROUP BY 1)
+  --- SELECT node, level, cycle FROM grp JOIN highest USING (g)""")
 oracle("dependent_files", "c AS (SELECT DISTINCT file_path FROM @symbols WHERE id <= 10) --- SELECT DISTINCT r.file_path FROM @refs r JOIN @symbols s ON s.id = r.symbol_id WHERE s.file_path IN (SELECT file_path FROM c) AND r.file_path NOT IN (SELECT file_path FROM c)")
 oracle("api_surface", f"{BIG} --- SELECT s.id, s.fqn, s.accessibility FROM @symbols s JOIN big ON s.project_id = big.id WHERE s.accessibility IN ('public', 'protected')")
 RANK = "CASE {} WHEN 'public' THEN 5 WHEN 'protected_internal' THEN 4 WHEN 'protected' THEN 3 WHEN 'internal' THEN 2 WHEN 'private_protected' THEN 1 WHEN 'private' THEN 0 ELSE -1 END"

@@ -232,6 +232,18 @@ def project_deps_transitive(ix):
     return op.project_dependencies(ix, _project(ix, last), transitive=True).withColumn("depth", F.col("depth").cast("long"))
 
 
+@query
+def relationship_levels(ix):
+    """Levels and cycles of all symbols by their relationships."""
+    return op.dependency_levels(ix.relationships.select(F.col("from_symbol_id").alias("src"), F.col("to_symbol_id").alias("dst")))
+
+
+@query
+def dependency_levels(ix):
+    """Levels of projects by their dependencies, in which order they can be built."""
+    return op.dependency_levels(ix.project_dependencies.select(F.col("consumer_project_id").alias("src"), F.col("dependency_project_id").alias("dst")))
+
+
 @query
 def dependent_files(ix):
     return op.dependent_files(ix, ix.symbols.filter("id <= 10").select("file_path"))
