@@ -88,3 +88,16 @@ def test_query_columns(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
     assert got[2][1:] == got[3][1:] and got[0][1:] == got[1][1:] and None in got
     assert jpeg.features(jpeg.store(docs.filter(F.lit(False)))).count() == 0
+
+
+def test_long_payloads_take_little_memory():
+    import tracemalloc
+
+    payload = np.random.default_rng(5).integers(32, 127, 16 << 20, dtype=np.uint8).tobytes()
+    tracemalloc.start()
+    try:
+        stored = jpeg.encode([payload, payload[:64]])
+        assert [jpeg.payload_of(x) for x in jpeg.decode(stored)] == [payload, payload[:64]]
+        assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    finally:
+        tracemalloc.stop()

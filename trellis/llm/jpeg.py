@@ -7,21 +7,21 @@ the thumbnail of the stored image is the payload again, without loss; every row
 is a restart interval.
 
 Defined cases: a null text is an empty one, which is stored as 64 bytes 0. Texts above
-FRAME bytes are stored as several images in a row.
+FRAME bytes are stored as several images in a row, of which few are coded at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WIDTH, MAX_ROWS, FRAME = 64, 8191, 32 << 20
+WIDTH, MAX_ROWS, FRAME = 64, 8191, 1 << 20
 BATCH = 512 << 10
 #: Number of Huffman codes of each length 1 to 16, and the categories in order of their codes, of the encoder's DC table; its AC table has the end of block only.
 DC_COUNTS = (0, 1, 4, 3, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0)
@@ -122,6 +122,19 @@ def _rows_to_scan(v: np.ndarray, last: np.ndarray, turn: np.ndarray) -> tuple[np
     return out, row_bytes
 
 
+def _portions(items: list, size: Callable[[object], int]) -> Iterator[list]:
+    """items in order, in runs of one at least whose sizes add up to FRAME at most."""
+    run, total = [], 0
+    for x in items:
+        if run and total + size(x) > FRAME:
+            yield run
+            run, total = [], 0
+        run.append(x)
+        total += size(x)
+    if run:
+        yield run
+
+
 def encode(payloads: list[bytes]) -> list[bytes]:
     """A stored form for each payload, whose lengths are positive multiples of 64."""
     frames = [(i, p[k : k + FRAME]) for i, p in enumerate(payloads) for k in range(0, len(p), FRAME)]
@@ -130,7 +143,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     for k, (_, p) in enumerate(frames):
         by_width.setdefault(WIDTH * -(-len(p) // (WIDTH * MAX_ROWS)), []).append(k)
     done: dict[int, bytes] = {}
-    for width, ks in by_width.items():
+    for width, ks in ((width, ks) for width, of in by_width.items() for ks in _portions(of, lambda k: len(frames[k][1]))):
         padded = [frames[k][1] + bytes(-len(frames[k][1]) % width) for k in ks]
         rows = np.array([len(p) // width for p in padded])
         first = np.cumsum(rows) - rows
@@ -316,7 +329,7 @@ def decode(stored: list[bytes]) -> list[list[tuple[Image, np.ndarray]]]:
             out[i].append(None)
             at = end + 2
         base += len(s)
-    for group in groups.values():
+    for group in (run for of in groups.values() for run in _portions(of, lambda g: g[3][1] - g[3][0])):
         for (i, k, im, _), dc in zip(group, _dc_terms([g[2] for g in group], arr, [g[3] for g in group]), strict=True):
             out[i][k] = (im, thumbnail(im, dc))
     return out
