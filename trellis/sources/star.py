@@ -6,10 +6,12 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..catalog import Index
 from ..config import Config
 from ..schemas import TABLES
+from .versions import materialize, tasks_for
 
 
 def _t(sql: str) -> str:
@@ -108,6 +110,13 @@ VIEWS: dict[str, str] = {k: _t(v) for k, v in {
 
 SOURCES = ("region", "nation", "supplier", "part", "lineitem", "documents")
 
+#: Views that are written when first asked for: queries and other views read calls several times, and each time would derive them
+#: anew from all of lineitem. Types are few, and once written their size is known to whoever joins them.
+WRITTEN = ("types", "call_graph")
+
+#: How a view wants a table dealt: by what it groups or joins first, so that neither the distinct nor the join in it shuffles the rows again.
+DEALT = {("call_graph", "lineitem"): "1000000 + l_partkey", ("refs", "lineitem"): "1000000 + l_partkey - l_partkey % 3"}
+
 
 def spark_sql(view: str) -> str:
     return re.sub(r"<<(.*?)>>", r"substr(sha2(\1, 256), 1, 16)", VIEWS[view], flags=re.S)
@@ -117,13 +126,18 @@ def _views(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
     """The derived tables by name, each planned when it is first asked for."""
     made: dict[str, DataFrame] = {}
 
+    def used(view: str, name: str) -> DataFrame:
+        df, by = get(name), DEALT.get((view, name))
+        return df if by is None else df.repartition(tasks_for(spark, df.count()), F.expr(by))
+
     def get(name: str) -> DataFrame:
         if name not in made:
             if name in SOURCES:
                 made[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
             else:
                 uses = set(re.findall(r"\{(\w+)\}", VIEWS[name]))
-                made[name] = spark.sql(spark_sql(name), **{u: get(u) for u in uses})
+                view = spark.sql(spark_sql(name), **{u: used(name, u) for u in uses})
+                made[name] = materialize(view) if name in WRITTEN else view
         return made[name]
 
     return get
