@@ -1,7 +1,7 @@
 """Query operators: functions of an index that return DataFrames."""
 
 from .api import api_surface, capture_snapshot, diff_surfaces, impact, latest_snapshot, overall_change, previous_commit, surface_changes
-from .graph import bfs_edges, call_hierarchy, cycles, dependency_levels, dependent_files, implementors, project_dependencies, type_dependents, type_hierarchy
+from .graph import bfs_edges, call_hierarchy, call_reach, cycles, dependency_levels, dependent_files, implementors, project_dependencies, type_dependents, type_hierarchy
 from .maintenance import append, cascade_delete, delete_keys, insert_ignore, set_null, upsert
 from .references import find_references, group_counts, grouped_references, trace_destinations, trace_origins
 from .scope import with_scope

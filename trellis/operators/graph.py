@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Index
-from ..sources.versions import materialize
+from ..sources.versions import TASK_ROWS, materialize, tasks_for
 from .source import with_context
 
 
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Many written rows dealt by keys before they are grouped, so that a task holds no more groups the more rows there are; few rows as they are."""
+    rows = df.count()
+    return df if rows <= TASK_ROWS else df.repartition(tasks_for(df.sparkSession, rows), *keys)
+
+
 def bfs_edges(edges: DataFrame, roots: DataFrame, levels: int) -> DataFrame:
     """Edges on the way from roots with their depth, 1 for those of a root itself.
 
@@ -26,7 +32,7 @@ def bfs_edges(edges: DataFrame, roots: DataFrame, levels: int) -> DataFrame:
         out.append(met)
         if depth == levels:
             break
-        fresh = materialize(met.select("root", F.col("dst").alias("node")).distinct().join(visited, ["root", "node"], "left_anti"))
+        fresh = materialize(_dealt(met.select("root", F.col("dst").alias("node")), "root", "node").distinct().join(visited, ["root", "node"], "left_anti"))
         if fresh.isEmpty():
             break
         frontier, visited = fresh, visited.unionByName(fresh)
@@ -53,6 +59,20 @@ def call_hierarchies(ix: Index, roots: DataFrame, direction: str = "callers", de
     return met.join(ix.symbols.select(F.col("id").alias("dst"), "fqn", "file_path"), "dst").select("root", "edge_id", F.col("dst").alias("symbol_id"), "fqn", "depth", "call_site_file", "call_site_line")
 
 
+def call_reach(ix: Index, roots: DataFrame, direction: str = "callees", depth: int = 3) -> DataFrame:
+    """(root, reached, edges): how many indexed symbols each root (root, node) reaches, and over how many calls.
+
+    What `call_hierarchies` gives one row a call for is counted from one row a pair of symbols, with its number of calls.
+    """
+    src, dst = ("caller_symbol_id", "callee_symbol_id") if direction == "callees" else ("callee_symbol_id", "caller_symbol_id")
+    pairs = _dealt(ix.call_graph.select(F.col(src).alias("src"), F.col(dst).alias("dst")), "src").groupBy("src", "dst").agg(F.count("*").alias("calls"))
+    known = ix.symbols.groupBy(F.col("id").alias("dst")).agg(F.count("*").alias("known"))
+    edges = materialize(pairs.join(known, "dst", "left").select("src", "dst", (F.col("calls") * F.coalesce("known", F.lit(0))).alias("calls")))
+    met = bfs_edges(edges, roots, max(1, min(depth, ix.config.max_depth))).filter("calls > 0").select("root", "dst", "calls")
+    each = _dealt(met, "root", "dst").groupBy("root", "dst").agg(F.sum("calls").alias("calls"))
+    return each.groupBy("root").agg(F.count("*").alias("reached"), F.sum("calls").alias("edges"))
+
+
 def type_hierarchy(ix: Index, symbol_fqn: str, direction: str = "both") -> DataFrame:
     """Base types (up) and derived types (down) by inheritance; other directions give none."""
     inherits = ix.relationships.filter(F.col("kind") == "inherits")

@@ -11,7 +11,6 @@ from .. import functions as fn
 from .. import operators as op
 from ..catalog import Index
 from ..operators import maintenance
-from ..operators.graph import call_hierarchies
 from ..operators.intervals import counts_inside
 from ..operators.scope import project_names
 from ..operators.search import match_terms
@@ -205,8 +204,7 @@ def call_hierarchy_callees_depth1(ix):
 def call_reach_all(ix):
     """How many symbols each type's constructors reach within three calls, all roots at once."""
     roots = ix.symbols.filter("kind = 'constructor'").select(F.col("id").alias("root"), F.col("id").alias("node"))
-    met = call_hierarchies(ix, roots, "callees", 3)
-    return met.groupBy("root").agg(F.countDistinct("symbol_id").alias("reached"), F.count("*").alias("edges"))
+    return op.call_reach(ix, roots, "callees", 3)
 
 
 @query
