@@ -23,3 +23,30 @@ def test_calls_take_one_shuffle_of_lineitem(spark, monkeypatch):
     monkeypatch.setattr(star, "WRITTEN", ())
     plan = star.star_view(spark, SF, "call_graph")._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "caller_symbol_id" not in "".join(line for line in plan.splitlines() if "Exchange hash" in line)
+
+
+def test_callees_are_walked_over_written_calls(spark):
+    assert not any("lineitem" in f for f in op.call_hierarchy(from_star(spark, SF), "none", "callees", 2).inputFiles())
+
+
+def test_reach_counts_what_the_walk_lists(spark, monkeypatch):
+    """Counted over pairs of symbols, with calls of symbols that aren't indexed, repeated calls and cycles; each task with few rows."""
+    calls = [(1, 2, 1), (1, 2, 5), (2, 3, 1), (3, 1, 1), (2, 9, 1), (9, 4, 1), (9, 4, 2), (4, 5, 1), (7, 9, 3), (8, 8, 1), (8, 8, 2)]
+    rows = [(c * 1000 + d * 10 + line, c, d, "f", line) for c, d, line in calls]
+    graph_rows = spark.createDataFrame(rows, "id long, caller_symbol_id long, callee_symbol_id long, call_site_file string, call_site_line int")
+    symbols = spark.createDataFrame([(k, f"S{k}") for k in range(1, 9)], "id long, fqn string")
+    ix = Index(spark, {"call_graph": graph_rows, "symbols": symbols})
+    roots = symbols.select(F.col("id").alias("root"), F.col("id").alias("node"))
+    for tasks in (versions.TASK_ROWS, 2):
+        monkeypatch.setattr(versions, "TASK_ROWS", tasks)
+        monkeypatch.setattr(graph, "TASK_ROWS", tasks)
+        for way in ("callees", "callers"):
+            listed = graph.call_hierarchies(ix, roots, way, 3).groupBy("root").agg(F.countDistinct("symbol_id").alias("reached"), F.count("*").alias("edges"))
+            assert sorted(listed.collect()) == sorted(op.call_reach(ix, roots, way, 3).collect()), (way, tasks)
+
+
+def test_tasks_grow_with_rows(spark, monkeypatch):
+    monkeypatch.setattr(versions, "TASK_ROWS", 10)
+    monkeypatch.setattr(graph, "TASK_ROWS", 10)
+    assert graph._dealt(spark.range(10).select("id"), "id").rdd.getNumPartitions() == spark.range(10).rdd.getNumPartitions()
+    assert graph._dealt(spark.range(500).select("id"), "id").rdd.getNumPartitions() == 50
