@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from trellis import operators as op
 from trellis.catalog import Index
 from trellis.operators import graph
-from trellis.sources import star, versions
+from trellis.sources import star, textindex, versions
 from trellis.sources.star import from_star
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +50,27 @@ def test_tasks_grow_with_rows(spark, monkeypatch):
     monkeypatch.setattr(graph, "TASK_ROWS", 10)
     assert graph._dealt(spark.range(10).select("id"), "id").rdd.getNumPartitions() == spark.range(10).rdd.getNumPartitions()
     assert graph._dealt(spark.range(500).select("id"), "id").rdd.getNumPartitions() == 50
+
+
+def test_postings_of_a_block_are_whole_across_batches(spark, tmp_path, monkeypatch):
+    """Blocks that lie over Arrow batches and slices give the rows that words listed one by one give, from two columns; only texts are shuffled."""
+    monkeypatch.setattr(textindex, "BLOCK", 7)
+    monkeypatch.setattr(textindex, "DOCS_AT_ONCE", 10)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        texts = [(k, " ".join(f"w{(k * j) % 11}" for j in range(k % 9)), f"w{k % 3} w1" if k % 4 else None) for k in range(200)]
+        index = textindex.TextIndex.build(spark.createDataFrame(texts, "id long, a string, b string"), "id", ("a", "b"), str(tmp_path / "i"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for k, *cells in texts:
+        words = [(w, (c << 32) + at) for c, cell in enumerate(cells) for at, w in enumerate((cell or "").split())]
+        for w, spot in words:
+            want.setdefault((w, k, len(words)), []).append(spot)
+    rows = index._read("postings", textindex.POSTINGS, index.segments).collect()
+    assert {(r.term, d.id, d.length): d.spots for r in rows for d in r.docs} == want
+    assert len({(r.term, r.block) for r in rows}) == len(rows) and all((r.n, r.max_tf, r.min_len) == (len(r.docs), max(len(d.spots) for d in r.docs), min(d.length for d in r.docs)) for r in rows)
+
+
+def test_blocks_of_long_documents_hold_fewer():
+    assert [textindex._block_size(4 * k) for k in (0, 14, 15, 20, 40)] == [128, 128, 64, 2, 1]

@@ -3,8 +3,8 @@
 A segment holds the postings of some documents. Documents of like length share blocks of about
 BLOCK documents, the same blocks for all terms; a row of `postings` is a block of one term: its
 documents with their lengths and the term's spots, their number, the highest frequency and the
-least length. Rows are in order of (term, block), so a search reads the row groups of its own
-terms only. For an expression of plain words it reads the bounds first, which are small
+least length. A file holds some blocks of all terms, in order of (term, block), so a search reads
+the row groups of its own terms only, in each file. For an expression of plain words it reads the bounds first, which are small
 columns: the best blocks set a threshold, and of the others only those are read whose bound
 reaches it. The result is that of weighing all rows.
 
@@ -18,8 +18,13 @@ equal ids in one update one holds (the greatest by all columns); an empty table
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +40,8 @@ DOCS = "id long, length int"
 DEAD = "id long, segment string, length int"
 #: More blocks than this are joined, not named in a filter.
 NAMED_BLOCKS = 1000
+#: Documents whose words a task sorts at once, beyond those of one block.
+DOCS_AT_ONCE = 1000
 
 
 class TextIndex:
@@ -75,22 +82,18 @@ class TextIndex:
     def _write(self, rows: DataFrame, segment: str) -> None:
         names = [f"t{k}" for k in range(len(self.columns))]
         cut = rows.select(F.coalesce("id", F.raise_error(F.lit("a document has an id")).cast("long")).alias("id"), *[tokens(f"c{k}").alias(t) for k, t in enumerate(names)])
-        sized = cut.select("*", sum((F.size(t) for t in names), F.lit(0)).alias("length"))
+        # written, as texts are cut into words once for three readings
+        sized = materialize(cut.select("*", sum((F.size(t) for t in names), F.lit(0)).alias("length")))
         sized.select("id", "length").write.parquet(f"{self.root}/docs/segment={segment}")
         # one number of blocks for each step of lengths: at most a hundred or so, whatever the corpus
         step = F.floor(F.log2(F.col("length") + 1) * LENGTH_STEPS).cast("int")
-        per_step = {r.step: -(-r["count"] // BLOCK) for r in self._docs([segment]).groupBy(step.alias("step")).count().collect()}
+        per_step = {r.step: -(-r["count"] // _block_size(r.step)) for r in self._docs([segment]).groupBy(step.alias("step")).count().collect()}
         blocks = F.array(*[F.lit(per_step.get(k, 1)).cast("long") for k in range(max(per_step, default=0) + 1)])
         block = F.shiftleft(step.cast("long"), 40).bitwiseOR(F.pmod(F.xxhash64("id"), F.element_at(blocks, step + 1)))
-
-        def spots(k: int, c: str) -> Column:
-            return F.transform(F.col(c), lambda t, i: F.struct(t.alias("term"), (i.cast("long") + (k << PART_BITS)).alias("spot")))
-
-        found = sized.select("id", "length", block.alias("block"), F.explode(F.concat(*[spots(k, c) for k, c in enumerate(names)])).alias("w")).select("id", "length", "block", "w.term", "w.spot")
-        # dealt by (term, block) once: a frequent term's blocks go to many tasks, and both groupings need no other shuffle
-        dealt = found.repartitionByRange("term", "block").groupBy("term", "block", "id", "length").agg(F.sort_array(F.collect_list("spot")).alias("spots"))
-        whole = dealt.groupBy("term", "block").agg(F.count("*").alias("n"), F.max(F.size("spots")).alias("max_tf"), F.min("length").alias("min_len"), F.sort_array(F.collect_list(F.struct("id", "length", "spots"))).alias("docs"))
-        whole.sortWithinPartitions("term", "block").write.option("parquet.block.size", ROW_GROUP).parquet(f"{self.root}/postings/segment={segment}")
+        # documents are dealt by block, so that a task makes whole rows of it and only texts are shuffled; a file holds some blocks of all terms, in order
+        dealt = sized.select("id", "length", block.alias("block"), *names).repartition("block").sortWithinPartitions("block", "id", "length")
+        rows = dealt.mapInArrow(_postings(len(names)), POSTINGS).sortWithinPartitions("term", "block")
+        rows.write.option("parquet.block.size", ROW_GROUP).parquet(f"{self.root}/postings/segment={segment}")
 
     # --- reading ---
 
@@ -189,6 +192,68 @@ class TextIndex:
         return blocks.join(good.select("segment", "block"), ["segment", "block"], "left_semi"), (of.good, of["all"])
 
 
+def _block_size(step: int) -> int:
+    """Documents of a block; fewer of those beyond 32,000 words, so that a block's words stay within 4 million or one document."""
+    return max(1, BLOCK >> max(0, step // LENGTH_STEPS - 14))
+
+
+def _postings(columns: int):
+    """Documents (id, length, block, t0, ...) in order of (block, id) to rows of POSTINGS; the last block of a batch waits for the next one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in chain(batches, [None]):
+            parts = [b for b in (kept, batch) if b is not None and b.num_rows]
+            if not parts:
+                continue
+            docs = pa.concat_batches(parts) if len(parts) > 1 else parts[0]
+            starts = np.append(0, np.flatnonzero(np.diff(docs.column("block").to_numpy())) + 1)
+            if batch is None:
+                starts = np.append(starts, docs.num_rows)
+            else:
+                # a copy, so that a waiting block doesn't hold its whole batch
+                kept = docs.take(pa.array(np.arange(starts[-1], docs.num_rows)))
+            at = 0
+            while at < len(starts) - 1:
+                end = max(at + 1, int(np.searchsorted(starts, starts[at] + DOCS_AT_ONCE, "right")) - 1)
+                yield _blocks(docs.slice(starts[at], starts[end] - starts[at]), columns)
+                at = end
+
+    return run
+
+
+def _blocks(docs: pa.RecordBatch, columns: int) -> pa.RecordBatch:
+    """The rows of POSTINGS of whole blocks."""
+    doc, spot, word = [], [], []
+    for k in range(columns):
+        lists = docs.column(f"t{k}")
+        n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        doc.append(np.repeat(np.arange(len(n)), n))
+        spot.append(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + (k << PART_BITS))
+        word.append(lists.flatten())
+    doc, spot, words = np.concatenate(doc), np.concatenate(spot), pa.concat_arrays(word).dictionary_encode()
+    block = docs.column("block").to_numpy()
+    nth = np.cumsum(np.diff(block, prepend=block[:1]) != 0)
+    code = words.indices.to_numpy().astype(np.int64)
+    key = nth[doc] * len(words.dictionary) + code
+    # stable sorts: by (block, term), then document, then spot
+    by = np.argsort(doc, kind="stable")
+    by = by[np.argsort(key[by], kind="stable")]
+    key, doc = key[by], doc[by]
+    held = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+    spots = pa.ListArray.from_arrays(pa.array(np.append(held, len(by)).astype(np.int32)), pa.array(spot[by]))
+    tf, of = np.diff(np.append(held, len(by))), doc[held]
+    length = docs.column("length").take(pa.array(of))
+    entries = pa.StructArray.from_arrays([docs.column("id").take(pa.array(of)), length, spots], ["id", "length", "spots"])
+    first = np.flatnonzero(np.diff(key[held], prepend=-1))
+    ends, at = np.append(first, len(held)).astype(np.int32), held[first]
+    most, least = (np.maximum.reduceat(tf, first), np.minimum.reduceat(length.to_numpy(), first)) if len(first) else (tf, tf)
+    return pa.RecordBatch.from_arrays([
+        words.dictionary.take(pa.array(code[by][at])), pa.array(block[doc[at]]), pa.array(np.diff(ends).astype(np.int64)),
+        pa.array(most.astype(np.int32)), pa.array(least.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), entries),
+    ], ["term", "block", "n", "max_tf", "min_len", "docs"])
+
+
 def _only(blocks: DataFrame, names: list[tuple[str, int]]) -> DataFrame:
     """Blocks of these (segment, block), named in a filter that reaches the files."""
     by: dict[str, list[int]] = {}
