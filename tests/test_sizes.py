@@ -74,3 +74,24 @@ def test_postings_of_a_block_are_whole_across_batches(spark, tmp_path, monkeypat
 
 def test_blocks_of_long_documents_hold_fewer():
     assert [textindex._block_size(4 * k) for k in (0, 14, 15, 20, 40)] == [128, 128, 64, 2, 1]
+
+
+def test_a_published_table_is_derived_once(spark, tmp_path):
+    """Rows of a table are made once for a publish, first and later; before, the sums made them once more. What is staged goes."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(k):
+        seen.add(1)
+        return k
+
+    made = F.udf(counted, "long")
+    table = lambda last: spark.range(40).select(made("id").alias("id"), F.when(F.col("id") == 0, last).otherwise("p").alias("name"), F.concat(F.lit("f"), "id").alias("file_path"))
+    root = str(tmp_path / "v")
+    for last in ("a", "b"):
+        versions.publish(Index(spark, {"solutions": table(last)}), root)
+        ix = versions.read_current(spark, root)
+        assert ix.solutions.filter(f"name = '{last}'").count() == 1 and ix.solutions.count() == 40
+    scratch, fs = versions._path(spark, versions._root(spark))
+    assert not fs.exists(scratch) or not [s for s in fs.listStatus(scratch) if s.getPath().getName().startswith("publish-")]
+    # one pass to write, and one that samples the ranges of the first version
+    assert seen.value <= 40 * 3

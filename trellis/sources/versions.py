@@ -141,6 +141,33 @@ def _sums(df: DataFrame) -> dict[str, list]:
     return {str(r.bucket): [r.n, r.s, r.x] for r in sums.collect()}
 
 
+def _write_changed(df: DataFrame, name: str, root: str, version: str, have: dict[str, list]) -> dict[str, list]:
+    """Writes the buckets of a table that differ from those at hand; gives the new ones' manifest.
+
+    A table is derived once: its first version is summed as it was written, a later one is
+    written as it comes, summed, and its changed buckets are dealt from there.
+    """
+    spark, path, order = df.sparkSession, f"{root}/data/{version}/{name}", ["bucket", *CLUSTER.get(name, ())]
+
+    def write(rows: DataFrame) -> None:
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(path)
+
+    if not have:
+        write(df)
+        sums = _sums(spark.read.schema(df.schema).parquet(path))
+        return {b: [version, *s] for b, s in sums.items()}
+    staged = scratch_folder(spark, "publish")
+    df.write.parquet(staged)
+    rows = spark.read.schema(df.schema).parquet(staged)
+    sums = _sums(rows)
+    fresh = [b for b, s in sums.items() if b not in have or have[b][1:] != s]
+    if fresh:
+        write(rows.filter(F.col("bucket").isin(*map(int, fresh))))
+    p, fs = _path(spark, staged)
+    fs.delete(p, True)
+    return {b: [version if b in fresh else have[b][0], *s] for b, s in sums.items()}
+
+
 def publish(ix: Index, root: str, buckets: int = 64, batch: tuple[str, int] | None = None) -> int:
     """Makes ix the current version under root and gives its number; readers keep the version they began with.
 
@@ -158,13 +185,7 @@ def publish(ix: Index, root: str, buckets: int = 64, batch: tuple[str, int] | No
             continue
         keys = BUCKETED.get(name)
         df = ix[name].withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(old.buckets)).cast("int") if keys else F.lit(0))
-        have, sums = old.tables.get(name, {}), _sums(df)
-        fresh = [b for b, s in sums.items() if b not in have or have[b][1:] != s]
-        if fresh:
-            order = ["bucket", *CLUSTER.get(name, ())]
-            rows = df.filter(F.col("bucket").isin(*map(int, fresh))).repartitionByRange(*order).sortWithinPartitions(*order)
-            rows.write.partitionBy("bucket").parquet(f"{root}/data/{version}/{name}")
-        tables[name] = {b: [version if b in fresh else have[b][0], *s] for b, s in sums.items()}
+        tables[name] = _write_changed(df, name, root, version, old.tables.get(name, {}))
     batches = old.batches | ({batch[0]: batch[1]} if batch else {})
     return create_next(spark, f"{root}/current", Manifest(0, SCHEMA_VERSION, old.buckets, tables, batches).text(), after=old.number)
 

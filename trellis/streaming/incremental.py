@@ -9,6 +9,7 @@ from ..catalog import Index
 from ..operators.graph import dependent_files
 from ..operators.maintenance import cascade_delete, delete_keys, upsert
 from ..schemas import KEYS
+from ..sources.versions import materialize
 
 #: Tables whose rows belong to a file of a project, and where they name the two.
 BY_FILE = {"refs": ("in_project_id", "file_path"), "comments": ("project_id", "file_path")}
@@ -45,23 +46,27 @@ def apply_changes(ix: Index, changes: DataFrame, fresh: dict[str, DataFrame]) ->
     added and changed files. Symbols keep their id by name, so what other files hold on
     them stays; a symbol that is gone takes it along.
     """
-    files = changes.select("project_id", "file_path").distinct()
+    # written, as many tables leave out rows by them: their sizes are known to each join
+    files = materialize(changes.select("project_id", "file_path").distinct())
     own = ix.symbols.join(files, ["project_id", "file_path"], "left_semi")
     new = fresh.get("symbols", ix.symbols.filter(F.lit(False)))
-    held = own.join(new.select("project_id", "fqn"), ["project_id", "fqn"], "left_anti").select("id")
+    held = materialize(own.join(new.select("project_id", "fqn"), ["project_id", "fqn"], "left_anti").select("id").distinct())
     out = cascade_delete(ix, symbols=held)
     tables: dict[str, DataFrame] = {"symbols": upsert(out.symbols, new, KEYS["symbols"], "last_indexed_at")}
     for name, (project, path) in BY_FILE.items():
         rest = delete_keys(out[name], files, {project: "project_id", path: "file_path"})
         tables[name] = rest.unionByName(fresh[name]) if name in fresh else rest
-    # a call is of its caller's project
+    # a call is of its caller's project; only calls in files of a changed one's name are joined with their callers
     callers = ix.symbols.select(F.col("id").alias("caller_symbol_id"), "project_id")
-    made = out.call_graph.join(callers, "caller_symbol_id").join(files.withColumnRenamed("file_path", "call_site_file"), ["project_id", "call_site_file"], "left_semi")
-    rest = delete_keys(out.call_graph, made.select("id"), {"id": "id"})
-    tables["call_graph"] = rest.unionByName(fresh["call_graph"]) if "call_graph" in fresh else rest
+    names = files.select(F.col("file_path").alias("call_site_file")).distinct()
+    near = out.call_graph.join(names, "call_site_file", "left_semi")
+    made = near.join(callers, "caller_symbol_id").join(files.withColumnRenamed("file_path", "call_site_file"), ["project_id", "call_site_file"], "left_semi")
+    rest = out.call_graph.join(names, "call_site_file", "left_anti").unionByName(delete_keys(near, made.select("id"), {"id": "id"}))
+    tables["call_graph"] = materialize((rest.unionByName(fresh["call_graph"]) if "call_graph" in fresh else rest).select(*ix.call_graph.columns))
     calls = tables["call_graph"].select(F.col("id").alias("call_graph_id"))
     for name in ("argument_flow", "return_flow"):
-        rest = out[name].join(calls, "call_graph_id", "left_semi")
+        # without new calls those that are left are among those of the cascade, which needs no join of its own then
+        rest = (out if "call_graph" in fresh else ix)[name].join(calls, "call_graph_id", "left_semi")
         tables[name] = rest.unionByName(fresh[name]) if name in fresh else rest
     from_file = own.select("id")
     rest = delete_keys(out.relationships, from_file, {"from_symbol_id": "id"})
