@@ -198,7 +198,41 @@ def _block_size(step: int) -> int:
 
 
 def _postings(columns: int):
-    """Documents (id, length, block, t0, ...) in order of (block, id) to rows of POSTINGS; the last block of a batch waits for the next one."""
+    """Documents (id, length, block, t0, ...) in order of (block, id) to rows of POSTINGS; the last block of a batch waits for the next one.
+
+    What it calls is inside, so that workers needn't import this module.
+    """
+
+    def whole(docs: pa.RecordBatch) -> pa.RecordBatch:
+        """The rows of POSTINGS of whole blocks."""
+        doc, spot, word = [], [], []
+        for k in range(columns):
+            lists = docs.column(f"t{k}")
+            n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            doc.append(np.repeat(np.arange(len(n)), n))
+            spot.append(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + (k << PART_BITS))
+            word.append(lists.flatten())
+        doc, spot, words = np.concatenate(doc), np.concatenate(spot), pa.concat_arrays(word).dictionary_encode()
+        block = docs.column("block").to_numpy()
+        nth = np.cumsum(np.diff(block, prepend=block[:1]) != 0)
+        code = words.indices.to_numpy().astype(np.int64)
+        key = nth[doc] * len(words.dictionary) + code
+        # stable sorts: by (block, term), then document, then spot
+        by = np.argsort(doc, kind="stable")
+        by = by[np.argsort(key[by], kind="stable")]
+        key, doc = key[by], doc[by]
+        held = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+        spots = pa.ListArray.from_arrays(pa.array(np.append(held, len(by)).astype(np.int32)), pa.array(spot[by]))
+        tf, of = np.diff(np.append(held, len(by))), doc[held]
+        length = docs.column("length").take(pa.array(of))
+        entries = pa.StructArray.from_arrays([docs.column("id").take(pa.array(of)), length, spots], ["id", "length", "spots"])
+        first = np.flatnonzero(np.diff(key[held], prepend=-1))
+        ends, at = np.append(first, len(held)).astype(np.int32), held[first]
+        most, least = (np.maximum.reduceat(tf, first), np.minimum.reduceat(length.to_numpy(), first)) if len(first) else (tf, tf)
+        return pa.RecordBatch.from_arrays([
+            words.dictionary.take(pa.array(code[by][at])), pa.array(block[doc[at]]), pa.array(np.diff(ends).astype(np.int64)),
+            pa.array(most.astype(np.int32)), pa.array(least.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), entries),
+        ], ["term", "block", "n", "max_tf", "min_len", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
@@ -216,44 +250,12 @@ def _postings(columns: int):
             at = 0
             while at < len(starts) - 1:
                 end = max(at + 1, int(np.searchsorted(starts, starts[at] + DOCS_AT_ONCE, "right")) - 1)
-                yield _blocks(docs.slice(starts[at], starts[end] - starts[at]), columns)
+                yield whole(docs.slice(starts[at], starts[end] - starts[at]))
                 at = end
 
     return run
 
 
-def _blocks(docs: pa.RecordBatch, columns: int) -> pa.RecordBatch:
-    """The rows of POSTINGS of whole blocks."""
-    doc, spot, word = [], [], []
-    for k in range(columns):
-        lists = docs.column(f"t{k}")
-        n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        doc.append(np.repeat(np.arange(len(n)), n))
-        spot.append(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + (k << PART_BITS))
-        word.append(lists.flatten())
-    doc, spot, words = np.concatenate(doc), np.concatenate(spot), pa.concat_arrays(word).dictionary_encode()
-    block = docs.column("block").to_numpy()
-    nth = np.cumsum(np.diff(block, prepend=block[:1]) != 0)
-    code = words.indices.to_numpy().astype(np.int64)
-    key = nth[doc] * len(words.dictionary) + code
-    # stable sorts: by (block, term), then document, then spot
-    by = np.argsort(doc, kind="stable")
-    by = by[np.argsort(key[by], kind="stable")]
-    key, doc = key[by], doc[by]
-    held = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
-    spots = pa.ListArray.from_arrays(pa.array(np.append(held, len(by)).astype(np.int32)), pa.array(spot[by]))
-    tf, of = np.diff(np.append(held, len(by))), doc[held]
-    length = docs.column("length").take(pa.array(of))
-    entries = pa.StructArray.from_arrays([docs.column("id").take(pa.array(of)), length, spots], ["id", "length", "spots"])
-    first = np.flatnonzero(np.diff(key[held], prepend=-1))
-    ends, at = np.append(first, len(held)).astype(np.int32), held[first]
-    most, least = (np.maximum.reduceat(tf, first), np.minimum.reduceat(length.to_numpy(), first)) if len(first) else (tf, tf)
-    return pa.RecordBatch.from_arrays([
-        words.dictionary.take(pa.array(code[by][at])), pa.array(block[doc[at]]), pa.array(np.diff(ends).astype(np.int64)),
-        pa.array(most.astype(np.int32)), pa.array(least.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), entries),
-    ], ["term", "block", "n", "max_tf", "min_len", "docs"])
-
-
 def _only(blocks: DataFrame, names: list[tuple[str, int]]) -> DataFrame:
     """Blocks of these (segment, block), named in a filter that reaches the files."""
     by: dict[str, list[int]] = {}
