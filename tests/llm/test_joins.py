@@ -67,3 +67,21 @@ def test_vectors_equal_all_pairs(spark):
         got = {r.id: (r.n_links, r.component) for r in vectors.near_duplicates(df, tile=tile).collect()}
         assert got == want
     assert vectors.near_duplicates(df.filter(F.lit(False))).count() == 0
+
+
+def test_lines_are_cut_and_hashed_once(spark, monkeypatch):
+    """Sets are made once a line, texts hashed once a text, and lines that stay not cut from the text one by one."""
+    plans = {}
+
+    class Seen(lines.Scratch):
+        def __init__(self, df, label, **more):
+            plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+            super().__init__(df, label, **more)
+
+    monkeypatch.setattr(lines, "Scratch", Seen)
+    out = lines.dedup(spark.createDataFrame([(1, "a b\nc d\na b"), (2, "a b\n\ne f")], "doc_id long, text string"))
+    assert sorted(map(tuple, out.collect())) == [(1, "a b\nc d"), (2, "\ne f")]
+    sets = plans["lines-sets"]
+    assert sets.count("array_distinct(") == 1
+    assert sets.index("Generate") < sets.index("xxhash64(text")
+    assert "lambdafunction(element_at(lines" in out._jdf.queryExecution().optimizedPlan().toString()

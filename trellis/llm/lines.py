@@ -29,7 +29,7 @@ from .common import Scratch, steps
 OTHER_SPACE = "\t\x0b\x0c\r"
 BUCKETS = 1 << 16
 THRESHOLD = Fraction(4, 5)
-#: The joins run in as many slices of the words, one after the other: only one slice's shuffle is on disk.
+#: The first join runs in as many slices of the words, one after the other: only one slice's shuffle is on disk.
 SLICES = 4
 PARITIES = ["parity0", "parity1", "parity2", "parity3"]
 
@@ -40,12 +40,12 @@ def even_spaces(text: Column) -> Column:
     return F.when(odd, F.translate(text, OTHER_SPACE, " " * len(OTHER_SPACE))).otherwise(text)
 
 
-def bucket_levels(lines: DataFrame) -> list[int]:
+def bucket_levels(texts: DataFrame) -> list[int]:
     """For each of BUCKETS hash buckets of words how frequent its words are, on a scale of logarithms.
 
-    It counts every word of every line; what comes to the driver has BUCKETS rows at most.
+    It counts every word of every text (column text); what comes to the driver has BUCKETS rows at most.
     """
-    words = lines.select(F.explode(F.split("line", " ")).alias("w"))
+    words = texts.select(F.explode(F.split(F.replace(even_spaces(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = words.select(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).groupBy("b").count()
     levels = [0] * BUCKETS
     for r in counts.select("b", F.floor(F.log2("count") * 6).cast("int").alias("level")).collect():
@@ -55,10 +55,10 @@ def bucket_levels(lines: DataFrame) -> list[int]:
 
 def set_of(line: Column, levels: list[int]) -> Column:
     """Distinct words of a line as sorted longs, the rarest first: a level of frequency, then 55 bits of the hash."""
-    table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
-    level = lambda h: F.element_at(table, (h.bitwiseAND(F.lit(BUCKETS - 1)) + 1).cast("int"))
+    table = F.split(F.lit(",".join(str(x << 55) for x in levels)), ",").cast("array<bigint>")
+    level = lambda h: F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
     words = F.array_remove(F.split(line, " "), "")
-    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.shiftleft(level(F.xxhash64(w)), 55).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << 55) - 1))))))
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: level(F.xxhash64(w)).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << 55) - 1))))))
 
 
 def _parity(mask: int = 0, part: int = 0) -> Column:
@@ -123,9 +123,12 @@ def removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     t = Fraction(threshold)
     handle = [F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash")]
     rows = docs.filter(F.col(text_col).isNotNull())
-    lines = rows.select(*handle, F.posexplode(F.split(even_spaces(F.col(text_col)), "\n")).alias("pos", "line"))
-    levels = bucket_levels(lines)
-    sets = lines.select("id", "text_hash", "pos", set_of(F.col("line"), levels).alias("words")).filter(F.size("words") > 0)
+    # hashed in a step before: beside the generator the text would travel with each line, to be hashed there
+    cut = rows.select(*handle, F.split(even_spaces(F.col(text_col)), "\n").alias("lines"))
+    lines = cut.select("id", "text_hash", F.posexplode("lines").alias("pos", "line"))
+    levels = bucket_levels(rows.select(F.col(text_col).alias("text")))
+    # a filter on the sets themselves would be pushed below them and make them twice
+    sets = lines.filter(F.trim("line") != "").select("id", "text_hash", "pos", set_of(F.col("line"), levels).alias("words"))
     key = [F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2")]
     wide = Scratch(measured(sets, t).select("id", "text_hash", "pos", *key, "n", "prefix", *PARITIES), "lines-sets")
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("text_hash"), F.col("pos"))
@@ -138,29 +141,31 @@ def removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     def partnered(part: int) -> DataFrame:
         p = _postings(candidates, t, part)
-        return p.alias("a").join(p.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("a.k1") != F.col("b.k1")) & _fits("a", "b", t), "left_semi").select("k1")
+        return p.alias("a").join(p.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("a.k1") != F.col("b.k1")) & _fits("a", "b", t), "left_semi").select("k1", "i")
 
-    maybe = Scratch(_sliced(partnered, "lines-maybe"), "lines-maybe").read()
+    # postings that fit another class's: what both classes of a similar pair have is among them, at the first word that their prefixes share
+    maybe = Scratch(_sliced(partnered, "lines-maybe").groupBy("k1").agg(F.collect_list("i").alias("at")), "lines-maybe").read()
     classes = Scratch(grouped.read().select("k1", "k2", "rows", "first"), "lines-first").read()
     grouped.drop()
 
     # whole sets of the first lines of classes that may have a partner
-    wanted = classes.join(maybe, "k1", "left_semi").select("k1", "k2", "first", F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash"), F.col("first.pos").alias("pos"))
+    wanted = classes.join(maybe, "k1").select("k1", "k2", "first", "at", F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash"), F.col("first.pos").alias("pos"))
     wanted = Scratch(wanted, "lines-wanted").read()
-    places = wanted.groupBy(F.col("id").alias("w_id"), F.col("text_hash").alias("w_hash")).agg(F.collect_list(F.struct("pos", "k1", "k2", "first")).alias("places"))
+    places = wanted.groupBy(F.col("id").alias("w_id"), F.col("text_hash").alias("w_hash")).agg(F.collect_list(F.struct("pos", "k1", "k2", "first", "at")).alias("places"))
     if wanted.count() * 64 <= broadcast_bytes:
         places = F.broadcast(places)
     texts = rows.select(*handle, even_spaces(F.col(text_col)).alias("text")).join(places, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")))
-    at = texts.withColumn("lines", F.split("text", "\n")).select("lines", F.explode("places").alias("p")).select("p.k1", "p.k2", "p.first", set_of(F.element_at("lines", F.col("p.pos") + 1), levels).alias("words"))
-    whole = Scratch(at.groupBy("k1", "k2").agg(F.min("first").alias("first"), F.min("words").alias("words")), "lines-whole").read()
-    full = measured(whole, t)
+    at = texts.withColumn("lines", F.split("text", "\n")).select("lines", F.explode("places").alias("p")).select("p.k1", "p.k2", "p.first", "p.at", set_of(F.element_at("lines", F.col("p.pos") + 1), levels).alias("words"))
+    whole = Scratch(at.groupBy("k1", "k2").agg(F.min("first").alias("first"), F.min("words").alias("words"), F.min("at").alias("at")), "lines-whole").read()
+    full = Scratch(measured(whole, t).drop("prefix"), "lines-full").read()
+    postings = full.select("*", F.explode("at").alias("i")).drop("at").withColumn("word", F.element_at("words", F.col("i") + 1))
     similar = F.size(F.array_intersect("a.words", "b.words")) >= _need(F.col("a.n"), F.col("b.n"), t)
 
-    def beaten(part: int) -> DataFrame:
-        p = _postings(full, t, part)
-        return p.alias("a").join(p.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("b.first") < F.col("a.first")) & _fits("a", "b", t) & similar, "left_semi").select("k1", "k2")
-
-    gone = Scratch(_sliced(beaten, "lines-gone").withColumn("gone", F.lit(True)), "lines-gone").read()
+    # an earlier class is another one; said so, both sides have the same columns and are shuffled once
+    other = (F.col("a.k1") != F.col("b.k1")) | (F.col("a.k2") != F.col("b.k2"))
+    fits = (F.col("a.word") == F.col("b.word")) & (F.col("b.first") < F.col("a.first")) & other & _fits("a", "b", t) & similar
+    beaten = postings.alias("a").join(postings.alias("b").hint("merge"), fits, "left_semi").select("k1", "k2").distinct()
+    gone = Scratch(beaten.withColumn("gone", F.lit(True)), "lines-gone").read()
 
     fate = classes.join(gone, ["k1", "k2"], "left").filter("gone or rows > 1").select("k1", "k2", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     judged = every.select("id", "text_hash", "pos", "k1", "k2").join(fate, ["k1", "k2"]).filter(F.col("gone") | (order != F.col("first")))
@@ -180,11 +185,12 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     both = rows.join(lost, F.col("id").eqNullSafe(F.col("l_id")) & (F.col("text_hash") == F.col("l_hash")), "left")
     both = both.select("row", "lost", F.col("row").getField(text_col).alias("text"))
-    # places of the lines that stay: what array_except leaves, in order and by hashing
-    lines = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("lost"))
+    both = both.withColumn("lines", F.when(F.col("lost").isNotNull(), F.split("text", "\n")))
+    # places of the lines that stay: what array_except leaves, in order and by hashing; lines are named
+    # twice, since what a lambda alone names is put into it and cut anew for each line that stays
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("lost"))
     new = F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at(F.col("lines"), i + 1)), "\n"))
-    both = both.withColumn("lines", F.when(F.col("lost").isNotNull(), lines)).select("row", "lost", new.alias("new"))
+    both = both.select("row", "lost", new.alias("new"))
     out = [F.col("new").alias(c) if c == text_col else F.length("new").cast("long").alias(c) if c == length_col else F.col("row").getField(c).alias(c) for c in docs.columns]
     if count_col:
         out.append(F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias(count_col))
