@@ -56,3 +56,21 @@ def test_more_parts_than_buckets(spark, monkeypatch):
     finally:
         spark.conf.set(common.MOST_BUCKETS[0], before)
     assert got[1] == want[1] and got[0].keys() == want[0].keys() and all(np.isclose(got[0][k], want[0][k], atol=0.01) for k in got[0])
+
+
+def test_hpyp_asks_in_halves(spark, monkeypatch):
+    """Requests are written in two halves, each with its own shuffle; one task's documents are all in one of them."""
+    made = []
+
+    class Seen(common.Buckets):
+        def __init__(self, df, key, buckets, label):
+            super().__init__(df, key, buckets, label)
+            made.append({r.chunk >> 32 for r in self.read().select("chunk").collect()})
+
+    monkeypatch.setattr(hpyp, "Buckets", Seen)
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(k, " ".join(rng.choices(["one", "two", "three"], k=9))) for k in range(40)], "doc_id long, text string")
+    for tasks, want in ((4, [{0, 2}, {1, 3}]), (1, [{0}, set()])):
+        made.clear()
+        assert sorted(r.doc_id for r in hpyp.score(docs.repartition(tasks)).collect()) == list(range(40))
+        assert made == want

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import Buckets, Scratch
 
 CHUNK_TOKENS, PART_BYTES = 600_000, 12 << 20
+#: Chunks are asked for and answered in two halves, by the tasks that read them: only one half's shuffles are on disk.
+HALVES = 2
 EXACT = 64
 #: Hashed like words; neither can be one.
 END, START = xxhash.xxh64_intdigest(b" "), xxhash.xxh64_intdigest(b"")
@@ -159,8 +162,9 @@ def _deal(contexts: np.ndarray, values: np.ndarray, parts: int) -> list[np.ndarr
 
 
 def _merge(parts: int):
-    def run(key: tuple, t: pa.Table) -> pa.Table:
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         """Training counts of all (word, context) of a part, from its requests; contexts that are only asked for are listed too."""
+        t = pa.concat_tables([x for x in (left, right) if x.num_rows])
         words, sizes, contexts = (_read(t, n, d) for n, d in (("words", np.uint64), ("sizes", np.uint32), ("contexts", np.uint64)))
         counts, places = ([unpack(x.as_py()) for x in t.column(n)] for n in ("counts", "places"))
         have = np.unique(np.concatenate(contexts))
@@ -390,11 +394,13 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
-    asked = rows.mapInArrow(_requests(parts, folds), REQUESTS)
+    # a half holds the rows of every second task that reads
+    half = [rows.filter(F.spark_partition_id() % HALVES == k) for k in range(HALVES)]
     # bucketed by part, so that later passes need no shuffle of requests
     buckets = max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    requests = Buckets(asked.repartition(buckets, "part"), "part", buckets, "hpyp-requests").read()
-    counted = Scratch(requests.groupBy("part").applyInArrow(_merge(parts), PART), "hpyp-counts").read()
+    asked = [Buckets(r.mapInArrow(_requests(parts, folds), REQUESTS).repartition(buckets, "part"), "part", buckets, "hpyp-requests") for r in half]
+    left, right = (a.read().groupBy("part") for a in asked)
+    counted = Scratch(left.cogroup(right).applyInArrow(_merge(parts), PART), "hpyp-counts").read()
     g = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "pairs", "ones", "twos")]).first()
     by_home = lambda df, *names: df.select("part", F.posexplode(F.arrays_zip(*names)).alias("home", "z")).select("part", "home", "z.*")
     sent = by_home(counted, "contexts", "ctx_customers", "ctx_tables").withColumnsRenamed({"ctx_customers": "customers", "ctx_tables": "tables"})
@@ -422,9 +428,13 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
     right = right.unionByName(slots.select("part", F.lit(-1).alias("sample"), "home", "customers"), allowMissingColumns=True)
     for _, s in kept:
         right = right.unionByName(s, allowMissingColumns=True)
-    answers = requests.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(_answers([m for m, _ in kept]), TOKENS)
-    told = rows.mapInArrow(_tokens(parts, folds), TOKENS).unionByName(answers)
-    out = told.groupBy("chunk").applyInArrow(_score(folds), SCORES)
+    out = []
+    for r, a in zip(half, asked, strict=True):
+        answers = a.read().groupBy("part").cogroup(right.groupBy("part")).applyInArrow(_answers([m for m, _ in kept]), TOKENS)
+        told = r.mapInArrow(_tokens(parts, folds), TOKENS).unionByName(answers)
+        out.append(Scratch(told.groupBy("chunk").applyInArrow(_score(folds), SCORES), "hpyp-scores", result=True).read())
+        a.drop()
+    out = reduce(DataFrame.unionByName, out)
     norm = float(np.log10(g.tokens + 0.1 * (g.types + 1)))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(g.tokens).cast("long").alias("train_tokens"), (F.col("base_sum") - F.col("n_tokens") * norm).alias("base_score"), "score")
 
