@@ -29,6 +29,19 @@ def test_callees_are_walked_over_written_calls(spark):
     assert not any("lineitem" in f for f in op.call_hierarchy(from_star(spark, SF), "none", "callees", 2).inputFiles())
 
 
+def test_a_walk_without_places_writes_no_files(spark, monkeypatch):
+    """What nobody asked for is neither shuffled nor written at each level."""
+    ix, written = from_star(spark, SF), []
+    name = ix.symbols.join(ix.call_graph, F.col("caller_symbol_id") == ix.symbols["id"]).select("fqn").orderBy("fqn").first().fqn
+    write = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df: written.append(df.columns) or write(df))
+    bare = op.call_hierarchy(ix, name, "callees", 2, places=False)
+    assert not any("call_site_file" in columns for columns in written)
+    whole = op.call_hierarchy(ix, name, "callees", 2)
+    assert any("call_site_file" in columns for columns in written)
+    assert sorted(bare.collect()) == sorted(whole.select(*bare.columns).collect()) != []
+
+
 def test_reach_counts_what_the_walk_lists(spark, monkeypatch):
     """Counted over pairs of symbols, with calls of symbols that aren't indexed, repeated calls and cycles; each task with few rows."""
     calls = [(1, 2, 1), (1, 2, 5), (2, 3, 1), (3, 1, 1), (2, 9, 1), (9, 4, 1), (9, 4, 2), (4, 5, 1), (7, 9, 3), (8, 8, 1), (8, 8, 2)]

@@ -43,20 +43,21 @@ def _roots(ix: Index, fqn: str) -> DataFrame:
     return ix.symbols.filter(F.col("fqn") == fqn).orderBy("id").limit(1).select(F.col("id").alias("root"), F.col("id").alias("node"))
 
 
-def call_hierarchy(ix: Index, symbol_fqn: str, direction: str = "callers", depth: int = 5, source: DataFrame | None = None) -> DataFrame:
+def call_hierarchy(ix: Index, symbol_fqn: str, direction: str = "callers", depth: int = 5, source: DataFrame | None = None, places: bool = True) -> DataFrame:
     """One row a call edge met: its symbol, depth and place. Any direction but callees means callers.
 
-    With source (file_path, text) each has the lines around the call.
+    With source (file_path, text) each has the lines around the call; without places files and lines of calls are left out.
     """
-    met = call_hierarchies(ix, _roots(ix, symbol_fqn), direction, depth)
+    met = call_hierarchies(ix, _roots(ix, symbol_fqn), direction, depth, places or source is not None)
     return met if source is None else with_context(met, source, "call_site_file", "call_site_line")
 
 
-def call_hierarchies(ix: Index, roots: DataFrame, direction: str = "callers", depth: int = 5) -> DataFrame:
+def call_hierarchies(ix: Index, roots: DataFrame, direction: str = "callers", depth: int = 5, places: bool = True) -> DataFrame:
+    place = ("call_site_file", "call_site_line") if places else ()
     src, dst = ("caller_symbol_id", "callee_symbol_id") if direction == "callees" else ("callee_symbol_id", "caller_symbol_id")
-    edges = ix.call_graph.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.col("id").alias("edge_id"), "call_site_file", "call_site_line")
+    edges = ix.call_graph.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.col("id").alias("edge_id"), *place)
     met = bfs_edges(edges, roots, max(1, min(depth, ix.config.max_depth)))
-    return met.join(ix.symbols.select(F.col("id").alias("dst"), "fqn", "file_path"), "dst").select("root", "edge_id", F.col("dst").alias("symbol_id"), "fqn", "depth", "call_site_file", "call_site_line")
+    return met.join(ix.symbols.select(F.col("id").alias("dst"), "fqn", "file_path"), "dst").select("root", "edge_id", F.col("dst").alias("symbol_id"), "fqn", "depth", *place)
 
 
 def call_reach(ix: Index, roots: DataFrame, direction: str = "callees", depth: int = 3) -> DataFrame:

@@ -182,7 +182,7 @@ def trace_destinations(ix):
 
 def _calls(ix, direction, depth):
     name = _busiest(ix, ix.call_graph, "caller_symbol_id" if direction == "callees" else "callee_symbol_id")
-    return op.call_hierarchy(ix, name, direction, depth).select("edge_id", "symbol_id", "fqn", F.col("depth").cast("long").alias("depth"))
+    return op.call_hierarchy(ix, name, direction, depth, places=False).select("edge_id", "symbol_id", "fqn", F.col("depth").cast("long").alias("depth"))
 
 
 @query
