@@ -1,4 +1,6 @@
 import os
+import tracemalloc
+from itertools import count
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +101,37 @@ def test_repeats_and_small_chunks(spark, monkeypatch):
     texts = [f"the {k % 3} same words {k % 2} again" for k in range(40)]
     got = pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id: r.ids for r in got} == {k: path(t, p, cut) for k, t in enumerate(texts)} and len(got) == 40
+
+
+def chunk_of(cut, texts):
+    words, first, size = {}, [], 0
+    for t in texts:
+        found = cut.words(t)
+        first.append(pieces.np.fromiter(map(words.setdefault, found, count(size)), pieces.np.uint32, len(found)))
+        size += len(found)
+    return words, first
+
+
+def test_chunk_is_whole_in_small_blocks(monkeypatch):
+    monkeypatch.setattr(pieces, "SLICE", 2)
+    monkeypatch.setattr(pieces, "BLOCK", 3)
+    cut = pieces.cutter(pieces.load())
+    for texts in ([t or "" for t in TEXTS], ["", "", "a b c", "", "a b", ""], ["", ""], ["the of and", "the"]):
+        c = pieces.Chunk(cut, *chunk_of(cut, texts))
+        ends = pieces.np.cumsum(c.lengths).tolist()
+        assert [[c.units[k] for k in c.flat[e - n : e]] for e, n in zip(ends, c.lengths.tolist(), strict=True)] == [cut(t) for t in texts]
+
+
+def test_chunk_takes_little_memory(monkeypatch):
+    """Making a chunk holds little beside its places; it took several arrays of eight bytes a word, and all words' units as texts."""
+    cut = pieces.cutter(pieces.load())
+    monkeypatch.setattr(pieces, "BLOCK", 20_000)
+    words, first = chunk_of(cut, ["the same few words of one text again and again "] * 60_000)
+    n = sum(map(len, first))
+    tracemalloc.start()
+    try:
+        pieces.Chunk(cut, words, first)
+        few = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert few < 20 * n, few / n

@@ -53,13 +53,18 @@ CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
-def _tidy(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
+def setting(spark: SparkSession, key: str, value: str, usual: str) -> Iterator[None]:
+    """The session's setting while the body runs; usual: what holds if it has none."""
+    before = spark.conf.get(key, usual)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(CLEAN_UP, before)
+        spark.conf.set(key, before)
+
+
+def _tidy(spark: SparkSession):
+    return setting(spark, CLEAN_UP, "true", "false")
 
 
 #: Tables of the steps that are going on, the innermost last.

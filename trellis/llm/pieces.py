@@ -25,7 +25,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Buckets, Scratch
+from .common import Buckets, Scratch, setting
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIT, LEAD = 512, 3
 #: Words of a chunk and about their bytes, units of a task, units packed at once, units of a chunk that are put together at once.
-CHUNK_WORDS, CHUNK_BYTES, TASK_UNITS, PACK_UNITS, BLOCK = 3_000_000, 16 << 20, 50_000, 500_000, 200_000
+CHUNK_WORDS, CHUNK_BYTES, TASK_UNITS, PACK_UNITS, BLOCK, SLICE = 3_000_000, 16 << 20, 50_000, 500_000, 200_000, 20_000
 
 
 @dataclass
@@ -292,23 +292,44 @@ class Chunk:
     """Some documents' units as places among the chunk's distinct units."""
 
     def __init__(self, cut: Cutter, words: dict[str, int], first: list[np.ndarray]):
-        """words: the distinct words; first: for each document where in the chunk each of its words came first."""
-        units, counts = cut.units(list(words))
-        names = sorted(set(units))
-        place = dict(zip(names, count()))
-        of_word = np.fromiter(map(place.__getitem__, units), np.int64, len(units))
+        """words: the distinct words; first: for each document where in the chunk each of its words came first; it is emptied."""
+        # some words at a time, so that only distinct units are held as texts
+        place, found = {}, []
+        rest = iter(words)
+        while some := list(islice(rest, SLICE)):
+            units, n = cut.units(some)
+            found.append((np.fromiter((place.setdefault(u, len(place)) for u in units), np.int64, len(units)), n))
+        of_word, counts = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        names = sorted(place)
+        alphabetic = np.empty(len(names), np.int64)
+        alphabetic[np.fromiter(map(place.__getitem__, names), np.int64, len(names))] = np.arange(len(names))
+        of_word = alphabetic[of_word]
         at = np.concatenate(first)
-        at = (np.cumsum(at == np.arange(len(at), dtype=np.uint32), dtype=np.int32) - 1)[at]
+        del words, place, found
+        first_at = np.flatnonzero(at == np.arange(len(at), dtype=np.uint32)).astype(np.uint32)  # of each distinct word
+        ends = np.cumsum([len(x) for x in first])
+        first.clear()
+        blocks = range(0, len(at), BLOCK)
+        for k in blocks:
+            at[k : k + BLOCK] = np.searchsorted(first_at, at[k : k + BLOCK])
         # the more frequent ones get the smaller places, so that places compress well; within a power of two they stay in order
-        often = np.bincount(of_word, np.bincount(at, minlength=len(words))[np.repeat(np.arange(len(words)), counts)], len(names))
+        seen = np.zeros(len(counts), np.int64)
+        for k in blocks:
+            seen += np.bincount(at[k : k + BLOCK], minlength=len(seen))
+        often = np.bincount(of_word, np.repeat(seen, counts), len(names))
         order = np.argsort(-np.floor(np.log2(often)), kind="stable")
         self.units, rank = [names[k] for k in order.tolist()], np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order))
         of_word, begin, counts = rank[of_word], np.cumsum(counts) - counts, counts.astype(np.int32)
-        blocks = [at[k : k + BLOCK] for k in range(0, len(at), BLOCK)]
-        self.flat = np.concatenate([np.zeros(0, np.uint32), *(_gather(begin[x], counts[x], of_word) for x in blocks)])
-        ends = np.concatenate(([0], np.cumsum(counts[at], dtype=np.int64)))
-        self.lengths = np.diff(ends[np.concatenate(([0], np.cumsum([len(x) for x in first])))])
+        long = [counts[at[k : k + BLOCK]].sum(dtype=np.int64) for k in blocks]
+        self.flat, upto, edge = np.empty(sum(long), np.uint32), np.zeros(len(ends), np.int64), 0
+        for k, n in zip(blocks, long, strict=True):
+            x = at[k : k + BLOCK]
+            self.flat[edge : edge + n] = _gather(begin[x], counts[x], of_word)
+            a, b = np.searchsorted(ends, (k, k + len(x)), side="right")  # texts that end in this block
+            upto[a:b] = edge + np.cumsum(counts[x])[ends[a:b] - k - 1]
+            edge += n
+        self.lengths = np.diff(upto, prepend=0)
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -320,6 +341,8 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
+#: Texts that go to a worker at once; a batch of the usual size holds a whole split's, in both processes.
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000", "10000")
 CHUNKS = "chunk long, doc_ids array<long>, sums array<long>, lengths binary, flat binary, units array<string>"
 _KINDS = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.string())]
 OUT = "doc_id long, n_tokens long, ids array<int>, intact boolean"
@@ -459,7 +482,8 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     spark = docs.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // CHUNK_BYTES))
-    chunks = Buckets(rows.mapInArrow(_chunks(pieces), CHUNKS), "chunk", buckets, "pieces-chunks")
+    with setting(spark, *BATCH):
+        chunks = Buckets(rows.mapInArrow(_chunks(pieces), CHUNKS), "chunk", buckets, "pieces-chunks")
     named = chunks.read().select("chunk", F.posexplode("units").alias("place", "unit"))
     # dealt by the unit once, for the distinct ones and their edges; more units make more tasks
     n = chunks.read().agg(F.sum(F.size("units"))).first()[0] or 0
