@@ -85,3 +85,18 @@ def test_lines_are_cut_and_hashed_once(spark, monkeypatch):
     assert sets.count("array_distinct(") == 1
     assert sets.index("Generate") < sets.index("xxhash64(text")
     assert "lambdafunction(element_at(lines" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_reread_only_texts_with_places(spark, monkeypatch):
+    """The filter of the texts that are read again loses none, null ids included, leaves out most others, and changes no result."""
+    monkeypatch.setattr(lines, "FILTER", 1 << 20)
+    keys = ["id", "text_hash"]
+    rows = spark.range(20_000).select("id", F.xxhash64("id").alias("text_hash")).unionByName(spark.createDataFrame([(None, 5)], "id long, text_hash long"))
+    wanted = rows.filter("id % 7 = 0 or id is null")
+    met = lines._only(rows, keys, wanted, keys)
+    assert met.exceptAll(rows).isEmpty() and wanted.exceptAll(met).isEmpty()
+    assert met.count() < 1.05 * wanted.count()
+    texts = [(i, "\n".join(f"w{i * j % 50} a{i % 9} b{j} c d e f g h" for j in range(6))) for i in range(60)] + [(None, "x y z w v u t s\nx y z w v u t s")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    few, many = lines.removed(docs), lines.removed(docs, broadcast_bytes=0)
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) != []

@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 from .common import Scratch, steps
 
 OTHER_SPACE = "\t\x0b\x0c\r"
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 THRESHOLD = Fraction(4, 5)
 #: The first join runs in as many slices of the words, one after the other: only one slice's shuffle is on disk.
 SLICES = 4
+#: Bits of the filter of texts that are read again: at most 8 MB, whatever the input.
+FILTER = 1 << 26
 PARITIES = ["parity0", "parity1", "parity2", "parity3"]
 
 
@@ -118,6 +120,19 @@ def _sliced(find, label: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [Scratch(find(k).distinct(), label).read() for k in range(SLICES)]).distinct()
 
 
+def _bit(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(FILTER)) + 1
+
+
+def _only(rows: DataFrame, on: list[str], wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """rows that may be in wanted by its keys: all that are, and few others (as many as bits of the filter are set)."""
+    set_bits = wanted.select(_bit(*keys).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    at = rows.withColumn("bit", _bit(*on)).withColumn("place", F.bitmap_bit_position("bit"))
+    met = at.join(F.broadcast(set_bits), F.bitmap_bucket_number("bit") == F.col("bucket"))
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(place div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return met.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(place % 8 as int))")) != 0).select(*rows.columns)
+
+
 def removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: Fraction = THRESHOLD, broadcast_bytes: int = 4 << 20) -> DataFrame:
     """(id, text_hash, lost): for each text that loses lines their places, from 0."""
     t = Fraction(threshold)
@@ -152,9 +167,12 @@ def removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     wanted = classes.join(maybe, "k1").select("k1", "k2", "first", "at", F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash"), F.col("first.pos").alias("pos"))
     wanted = Scratch(wanted, "lines-wanted").read()
     places = wanted.groupBy(F.col("id").alias("w_id"), F.col("text_hash").alias("w_hash")).agg(F.collect_list(F.struct("pos", "k1", "k2", "first", "at")).alias("places"))
+    texts = rows.select(*handle, F.col(text_col).alias("text"))
     if wanted.count() * 64 <= broadcast_bytes:
         places = F.broadcast(places)
-    texts = rows.select(*handle, even_spaces(F.col(text_col)).alias("text")).join(places, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")))
+    else:  # texts without a place stay where they are
+        texts = _only(texts, ["id", "text_hash"], wanted, ["id", "text_hash"])
+    texts = texts.withColumn("text", even_spaces(F.col("text"))).join(places, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")))
     at = texts.withColumn("lines", F.split("text", "\n")).select("lines", F.explode("places").alias("p")).select("p.k1", "p.k2", "p.first", "p.at", set_of(F.element_at("lines", F.col("p.pos") + 1), levels).alias("words"))
     whole = Scratch(at.groupBy("k1", "k2").agg(F.min("first").alias("first"), F.min("words").alias("words"), F.min("at").alias("at")), "lines-whole").read()
     full = Scratch(measured(whole, t).drop("prefix"), "lines-full").read()
