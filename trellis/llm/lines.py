@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, steps
 
 OTHER_SPACE = "\t\x0b\x0c\r"
-BUCKETS = 1 << 18
+BUCKETS = 1 << 16
 THRESHOLD = Fraction(4, 5)
 #: The first join runs in as many slices of the words, one after the other: only one slice's shuffle is on disk.
 SLICES = 4
