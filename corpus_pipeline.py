@@ -12,8 +12,14 @@ from trellis.llm import lines, mixing, pieces, quality, simhash
 from trellis.llm.common import Scratch, table
 
 
+def few_texts(spark: SparkSession) -> None:
+    """Texts go to Python 1,000 at once from here on; by the usual 10,000 a task sends its whole split, which both processes hold."""
+    spark.conf.set(*pieces.BATCH[:2])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject (probability of good quality at least 0.3)."""
+    few_texts(spark)
     return quality.keep(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -24,6 +30,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    few_texts(spark)
     return simhash.keep_similar(docs)
 
 
@@ -34,6 +41,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document that the mix holds."""
+    few_texts(spark)
     return pieces.encode(docs)
 
 
