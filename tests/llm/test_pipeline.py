@@ -28,3 +28,18 @@ def test_stages(spark):
     copies = {r.id: r.copies for r in mixing.plan(seen[3]).collect()}
     assert {r.doc_id: r["count"] for r in seen[4].groupBy("doc_id").count().collect()} == {i: c for i, c in copies.items() if c}
     assert seen[5].count() == seen[4].count() and all(r.intact for r in rows[5].values())
+
+
+def test_stages_send_few_texts_to_python(spark):
+    """Before, a task sent 10,000 texts at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        docs = spark.read.parquet(f"{SF}/documents.parquet").limit(50)
+        for name, stage in corpus_pipeline.STAGES:
+            if name in ("quality classifier", "SimHash near-dedup", "SentencePiece encoding and decoding"):
+                spark.conf.set(key, "10000")
+                stage(spark, docs, SF)
+                assert int(spark.conf.get(key)) <= 1000, name
+    finally:
+        spark.conf.set(key, before)
